@@ -38,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give compute-heavy row-local work at least one task per core.
+
+    A scan of many files is left alone; only an input with fewer splits than
+    cores (a few small files) is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)

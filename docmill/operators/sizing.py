@@ -1,0 +1,19 @@
+"""Size checks that decide how a side of a join travels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Does the frame hold at most ``rows`` rows?  Stops counting just past it."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow side only after counting it; otherwise leave it to a shuffle
+    join, where adaptive execution splits skewed keys."""
+    return F.broadcast(df) if at_most(df, rows) else df

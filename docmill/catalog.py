@@ -116,9 +116,11 @@ class Catalog(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(self._tables)
 
-    def register_views(self) -> "Catalog":
-        for name, df in self._tables.items():
-            df.createOrReplaceTempView(name)
+    def register_views(self, query: str | None = None) -> "Catalog":
+        """Register the tables as views; with a query only those it may mention."""
+        for name in self:
+            if query is None or name in query.lower():
+                self[name].createOrReplaceTempView(name)
         return self
 
     @classmethod

@@ -6,6 +6,8 @@ Spark has no function for; those two are Arrow UDFs of one line.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import unicodedata
 from functools import cache
@@ -67,14 +69,23 @@ def ascii_fold(text: Column) -> Column:
     only on rows that hold one.
     """
     source, target, several = _ascii_table()
-    pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    wide = F.array_join(F.transform(
-        F.split(text, ""), lambda c: F.coalesce(F.element_at(pairs, c), c)), "")
-    klass = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
-    simple = F.when(text.rlike(klass), wide).otherwise(text)
+    # One literal instead of a map of literals keeps the plan small.
+    pairs = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    wide = let(pairs, lambda m: F.array_join(F.transform(
+        F.split(text, ""), lambda c: F.coalesce(F.element_at(m, c), c)), ""))
+    simple = F.when(text.rlike(_char_class(tuple(several))), wide).otherwise(text)
     return F.regexp_replace(F.translate(simple, source, target), r"[^\x00-\x7F]", "")
 
 
+@cache
+def _char_class(chars: tuple[str, ...]) -> str:
+    """A character class of the given characters, runs written as ranges."""
+    codes = sorted(map(ord, chars))
+    runs = [list(g) for _, g in itertools.groupby(
+        enumerate(codes), lambda pair: pair[1] - pair[0])]
+    return "[" + "".join(f"\\x{{{r[0][1]:X}}}-\\x{{{r[-1][1]:X}}}" for r in runs) + "]"
+
+
 def latin_ascii_fold(text: Column) -> Column:
     """ascii_fold without the multi-character map, for text known to be Latin."""
     source, target, _ = _ascii_table()

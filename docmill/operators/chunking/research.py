@@ -65,10 +65,14 @@ def fixed(docs: DataFrame, size_tokens: int = 300, overlap_tokens: int = 40) ->
     # The last window is the first one that reaches the end of the text.
     last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")) * step
     starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step)))
-    rows = docs.filter(n > 0).select("doc_id", "text", F.posexplode(starts).alias("i", "start"))
-    text = F.substring("text", F.col("start") + 1, F.lit(size))
+    # Windows are cut inside the row: no exploded row carries the whole text.
+    windows = F.transform(starts, lambda a: F.struct(
+        a.alias("start"), F.substring("text", a + 1, F.lit(size)).alias("text")))
+    rows = docs.filter(n > 0).select("doc_id", F.posexplode(windows).alias("i", "w"))
+    text = F.col("w.text")
     return rows.select("doc_id", F.lit("fixed").alias("method"), F.col("i").alias("chunk_index"),
-                       "start", (F.col("start") + F.length(text)).alias("end"),
+                       F.col("w.start").alias("start"),
+                       (F.col("w.start") + F.length(text)).alias("end"),
                        estimate_tokens(text).alias("tokens"), text.alias("text"))
 
 
@@ -433,7 +437,8 @@ def section_density(docs: DataFrame, size: int = 500, overlap: int = 100) -> Dat
     carried = F.aggregate("_titles", F.array().cast("array<string>"), lambda acc, t: F.concat(
         acc, F.array(F.coalesce(t, F.try_element_at(acc, F.lit(-1)), F.lit("Introduction")))))
     staged = stage(staged, _section=carried)
-    rows = staged.select("doc_id", F.size("_p").alias("total_chunks"), F.posexplode(
+    rows = stage(staged, total_chunks=F.size("_p")).select(
+        "doc_id", "total_chunks", F.posexplode(
         F.arrays_zip("_p", "_section")).alias("chunk_index", "c"))
     words = F.regexp_extract_all(F.lower("c._p.text"), F.lit(r"(?U)(\b\w+\b)"), 1)
     stop = F.array(*[F.lit(w) for w in DENSITY_STOPWORDS])
@@ -450,9 +455,9 @@ def code_segments(docs: DataFrame, size: int = 100, overlap: int = 15,
                   language: str = "python") -> DataFrame:
     """Code chunks tagged as function, class, import or segment (first that fits)."""
     ladder = sp.PYTHON if language == "python" else sp.CODE
-    rows = docs.withColumn("_p", sp.recursive_split(F.col("text"), size, overlap, ladder)) \
-        .select("doc_id", F.size("_p").alias("total_chunks"),
-                F.posexplode("_p").alias("chunk_index", "c"))
+    split = docs.withColumn("_p", sp.recursive_split(F.col("text"), size, overlap, ladder))
+    rows = stage(split, total_chunks=F.size("_p")).select(
+        "doc_id", "total_chunks", F.posexplode("_p").alias("chunk_index", "c"))
     text = F.col("c.text")
     name = r"([a-zA-Z_][a-zA-Z0-9_]*)"
     function = F.regexp_extract(text, r"def\s+" + name + r"\s*\(", 1)
@@ -476,7 +481,8 @@ def context_windows(docs: DataFrame, size: int = 500, overlap: int = 50,
     rows = stage(staged, _c=F.transform("_t", lambda t, i: F.concat_ws(" ", F.array_join(F.concat(
         F.slice("_t", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))),
         F.slice("_t", i + 2, F.lit(window))), " "))))
-    rows = rows.select("doc_id", F.size("_t").alias("total_chunks"), F.posexplode(
+    rows = stage(rows, total_chunks=F.size("_t")).select(
+        "doc_id", "total_chunks", F.posexplode(
         F.arrays_zip("_t", "_c")).alias("chunk_index", "c"))
     context = F.col("c._c")
     return rows.select(
@@ -510,8 +516,8 @@ def paragraph_packs(docs: DataFrame, max_chunks: int = 20, limit: int = 500) ->
         F.sequence(F.lit(0), F.size("_k") - 1, per),
         lambda i: F.array_join(F.slice("_k", i + 1, per), "\n\n"))).otherwise(F.col("_k"))
     staged = stage(staged, _g=groups)
-    rows = staged.select("doc_id", F.size("_g").alias("total_chunks"),
-                         F.posexplode("_g").alias("chunk_index", "text"))
+    rows = stage(staged, total_chunks=F.size("_g")).select(
+        "doc_id", "total_chunks", F.posexplode("_g").alias("chunk_index", "text"))
     return with_word_statistics(rows)
 
 
@@ -529,9 +535,9 @@ def with_word_statistics(rows: DataFrame) -> DataFrame:
 
 def fallback_recursive(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """What remains of model-driven chunking when no model answers."""
-    rows = docs.withColumn("_p", sp.recursive_split(F.col("text"), size, overlap, sp.PROSE)) \
-        .select("doc_id", F.size("_p").alias("total_chunks"),
-                F.posexplode("_p").alias("chunk_index", "c"))
+    split = docs.withColumn("_p", sp.recursive_split(F.col("text"), size, overlap, sp.PROSE))
+    rows = stage(split, total_chunks=F.size("_p")).select(
+        "doc_id", "total_chunks", F.posexplode("_p").alias("chunk_index", "c"))
     return with_word_statistics(rows.withColumn("text", F.col("c.text")).drop("c"))
 
 
@@ -610,9 +616,9 @@ def typed_sections(docs: DataFrame) -> DataFrame:
         s["kind"].alias("kind"), F.coalesce(F.get("_c", i), F.get("_x", i), F.array(s["text"]))
         .alias("texts")))
     rows = staged.select("doc_id", F.posexplode(parts).alias("section", "s"))
-    return rows.select("doc_id", "section", F.col("s.kind").alias("kind"),
-                       F.size("s.texts").alias("total"),
-                       F.posexplode("s.texts").alias("index", "text"))
+    rows = stage(rows, kind=F.col("s.kind"), total=F.size("s.texts"), _t=F.col("s.texts"))
+    return rows.select("doc_id", "section", "kind", "total",
+                       F.posexplode("_t").alias("index", "text"))
 
 
 def with_nearest_heading(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -626,7 +632,8 @@ def with_nearest_heading(docs: DataFrame, size: int = 500, overlap: int = 50) ->
     staged = staged.withColumn("_p", sp.recursive_split(F.col("text"), size, overlap))
     staged = stage(staged, _hit=F.transform("_p", lambda p: F.try_element_at(
         F.filter("_h", lambda h: h["start"] <= p["start"]), F.lit(-1))))
-    return staged.select("doc_id", F.size("_p").alias("total_chunks"), F.posexplode(
+    return stage(staged, total_chunks=F.size("_p")).select(
+        "doc_id", "total_chunks", F.posexplode(
         F.arrays_zip("_p", "_hit")).alias("chunk_index", "c")) \
         .select("doc_id", "chunk_index", "total_chunks", F.col("c._hit.title").alias("section"),
                 F.col("c._hit.level").alias("section_level"), F.col("c._p.text").alias("text"))
@@ -702,10 +709,11 @@ def context_blocks(docs: DataFrame, target_tokens: int = 1500, min_tokens: int =
             F.try_element_at(keep, F.lit(1)).alias("a"),
             F.try_element_at(keep, F.lit(-1)).alias("b"), r["n"].alias("n"))))
     staged = stage(staged, _r=F.filter(trimmed, lambda r: r["a"].isNotNull()))
-    rows = staged.select("doc_id", "_l", F.posexplode("_r").alias("chunk_index", "r")) \
-        .select("doc_id", "chunk_index", (F.col("r.a") + 1).alias("start_line"),
-                (F.col("r.b") + 1).alias("end_line"), F.col("r.n").alias("token_count"),
-                piece(F.col("_l"), F.col("r.a"), F.col("r.b")).alias("text"))
+    staged = stage(staged, _t=F.transform("_r", lambda r: F.struct(
+        (r["a"] + 1).alias("start_line"), (r["b"] + 1).alias("end_line"),
+        r["n"].alias("token_count"), piece(F.col("_l"), r["a"], r["b"]).alias("text"))))
+    rows = staged.select("doc_id", F.posexplode("_t").alias("chunk_index", "t")) \
+        .select("doc_id", "chunk_index", "t.*")
     return rows.withColumn("contains_table", contains_table(F.col("text")))
 
 
@@ -746,14 +754,12 @@ def evidence_spans(docs: DataFrame, min_block: int = 180) -> DataFrame:
     staged = stage(staged, _big=big)
     staged = stage(staged, _cut=F.transform("_big", lambda b: _line_cuts(
         b["start"], b["end"], b["text"], 1400, 220)))
-    rows = staged.select("doc_id", "text", F.posexplode(F.flatten(F.zip_with(
-        "_big", "_cut", lambda b, cs: F.transform(cs, lambda c: F.struct(
-            b["heading"].alias("heading"), c["start"].alias("start"), c["end"].alias("end"))))))
-        .alias("span_index", "s"))
-    evidence = strip(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    return rows.select("doc_id", "span_index", F.col("s.heading").alias("heading"),
-                       F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-                       evidence.alias("text"))
+    staged = stage(staged, _spans=F.flatten(F.zip_with("_big", "_cut", lambda b, cs: F.transform(
+        cs, lambda c: F.struct(
+            b["heading"].alias("heading"), c["start"].alias("start"), c["end"].alias("end"),
+            strip(F.substring("text", c["start"] + 1, c["end"] - c["start"])).alias("text"))))))
+    return staged.select("doc_id", F.posexplode("_spans").alias("span_index", "s")) \
+        .select("doc_id", "span_index", "s.*")
 
 
 def _line_cuts(start: Column, end: Column, text: Column, most: int, least: int) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_relational",)
+MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval")
 
 
 def load_all():

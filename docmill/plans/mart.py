@@ -7,10 +7,12 @@ is sampled: every source row becomes a domain row.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 from docmill.catalog import Catalog
-from docmill.session import TABLES, table
+from docmill.session import table
 
 DOMAIN_SQL: dict[str, str] = {
     "d_companies": """
@@ -116,14 +118,33 @@ DOMAIN_SQL: dict[str, str] = {
 }
 
 
+class DriverCatalog(Catalog):
+    """Domain tables over the driver tables, each defined when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, {})
+        self._sf_dir = sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            text = DOMAIN_SQL[f"d_{name}"]
+            for source in set(re.findall(r"(?:FROM|JOIN) (\w+)", text)):
+                # Prefixed, so a registered domain view never shadows a driver table.
+                table(self.spark, self._sf_dir, source).createOrReplaceTempView(f"driver_{source}")
+            prefixed = re.sub(r"(FROM|JOIN) (\w+)", r"\1 driver_\2", text)
+            self._tables[name] = self.spark.sql(prefixed)
+        return self._tables[name]
+
+    def __iter__(self):
+        return (name[2:] for name in DOMAIN_SQL)
+
+    def __len__(self) -> int:
+        return len(DOMAIN_SQL)
+
+
 def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The domain catalogue over the driver tables (lazy; nothing is stored)."""
-    frames = {}
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    for name, text in DOMAIN_SQL.items():
-        frames[name[2:]] = spark.sql(text)
-    return Catalog(spark, frames)
+    return DriverCatalog(spark, sf_dir)
 
 
 def oracle_ctes(*names: str) -> str:

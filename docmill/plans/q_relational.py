@@ -305,8 +305,8 @@ passthrough("sql_intersect", """
     SELECT company_id FROM documents WHERE document_type = 'BUILDING'
     INTERSECT SELECT company_id FROM plan_types""", "documents", "plan_types")
 passthrough("sql_except", """
-    SELECT id FROM documents EXCEPT SELECT document_id FROM source_tables""",
-            "documents", "source_tables")
+    SELECT id FROM documents EXCEPT SELECT document_id FROM plan_types""",
+            "documents", "plan_types")
 passthrough("sql_recursive_tree", """
     WITH RECURSIVE tree AS (
         SELECT id, code, 0 AS depth FROM benefit_categories WHERE parent_id IS NULL

@@ -118,7 +118,7 @@ def execute_query(db: Catalog, query: str) -> DataFrame:
     if not head.startswith(("SELECT", "WITH", "EXPLAIN QUERY PLAN")):
         raise ValueError("Security Error: Only SELECT queries are allowed.")
     spark = db.spark
-    db.register_views()
+    db.register_views(text)
     explain = head.startswith("EXPLAIN QUERY PLAN")
     if explain:
         text = text[len("EXPLAIN QUERY PLAN"):].strip()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -129,7 +129,7 @@ def apply_quality_caps(cases: DataFrame, order: str = "ord", provider_list: int
     free = flags.filter("NOT (_p OR _h OR _l)").drop("_p", "_h", "_l")
     # Per combination of flags at most the largest cap can ever be accepted, so
     # that many leading cases of each of the seven combinations decide the result.
-    most = provider_list + hotline + low_risk
+    most = max(provider_list, hotline, low_risk)
     combo = F.concat_ws("", F.col("_p").cast("int"), F.col("_h").cast("int"),
                         F.col("_l").cast("int"))
     lead = Window.partitionBy("_g").orderBy(order)
@@ -137,14 +137,18 @@ def apply_quality_caps(cases: DataFrame, order: str = "ord", provider_list: int
         .withColumn("_n", F.row_number().over(lead)).filter(F.col("_n") <= most)
     caps = (provider_list, hotline, low_risk)
 
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = [0, 0, 0], []
-        for row in pdf.sort_values(order)[["_p", "_h", "_l"]].itertuples(index=False):
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows, used, keep = pd.concat(parts).sort_values(order), [0, 0, 0], []
+        for row in rows[["_p", "_h", "_l"]].itertuples(index=False):
             ok = all(not f or u < c for f, u, c in zip(row, used, caps))
             keep.append(ok)
             used = [u + (ok and f) for u, f in zip(used, row)]
-        return pdf.sort_values(order)[keep].drop(columns=["_p", "_h", "_l", "_g", "_n"])
-    accepted = short.groupBy(F.lit(1)).applyInPandas(accept, cases.schema)
+        yield rows[keep].drop(columns=["_p", "_h", "_l", "_g", "_n"])
+    # At most seven combinations times the largest cap: a bounded single task.
+    accepted = short.repartition(1).mapInPandas(accept, cases.schema)
     return free.unionByName(accepted)
 
 

@@ -216,7 +216,7 @@ def ingest(parsed: DataFrame, mapping: DataFrame, companies: DataFrame,
     source_path = F.concat_ws("/", "company_code", doc_name)
     page = ps.page_info(F.element_at(F.split("path", "/"), -1))
     keys = F.array_sort(F.array_distinct(F.transform(F.filter(F.flatten(F.transform(
-        "rows", lambda r: F.map_keys(r))), lambda k: strip(k) != ""), normalize_key_jvm)))
+        "rows", lambda r: F.map_keys(r))), lambda k: strip(k) != ""), lambda k: normalize_key_jvm(k))))
     ok = ok.withColumns({
         "document_id": stable_key(source_path), "source_path": source_path,
         "document_name": doc_name, "source_table_id": stable_key(F.col("path")),

@@ -22,6 +22,9 @@ def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, q: float,
     position; only that bin's distinct values are sorted.  A group with a third
     of all rows is therefore never gathered in one task.
     """
+    if not groups:
+        whole = nearest_rank(df.withColumn("_all", F.lit(0)), ["_all"], value, q, bins)
+        return whole.drop("_all")
     rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
     spread = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"),
                                        F.max("_v").alias("_hi"))

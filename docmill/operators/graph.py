@@ -48,8 +48,7 @@ def build_graph(graph_docs: DataFrame, node_types: DataFrame, edge_types: DataFr
     document (decided inside the row).  The last write wins per node and pair;
     max_by combines map-side.
     """
-    allowed_nodes = node_types.agg(F.collect_set("label").alias("n")).select("n").scalar()
-    allowed_edges = edge_types.agg(F.collect_set("label").alias("e")).select("e").scalar()
+    allowed_nodes, allowed_edges = vocabulary(node_types), vocabulary(edge_types)
     kept = graph_docs.select("ord", F.filter("nodes", lambda n: F.array_contains(
         allowed_nodes, n["type"])).alias("nodes"), "relationships")
     ids = F.transform("nodes", lambda n: n["id"])
@@ -68,6 +67,14 @@ def build_graph(graph_docs: DataFrame, node_types: DataFrame, edge_types: DataFr
                          F.col("v.properties").alias("props")))
 
 
+def vocabulary(types: DataFrame, most: int = 10_000) -> Column:
+    """The labels of a schema contract as an array literal; its size is checked."""
+    labels = [row.label for row in types.select("label").limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"A schema contract holds at most {most} labels.")
+    return F.array(*[F.lit(x) for x in labels]).cast("array<string>")
+
+
 def match_chunks_to_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each file with the chunk of the same path, else of its name where that is unique."""
     meta = ["document_id", "document_name", "company_code"]

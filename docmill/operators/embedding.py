@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.functions.arrays import let
+from docmill.functions.arrays import islands, let
 from docmill.functions.text import SEARCH_STOPWORDS, strip_marks
 
 VECTOR = T.ArrayType(T.FloatType())
@@ -26,7 +26,7 @@ def dot(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     return let(F.sqrt(dot(vector, vector)), lambda n: F.when(n == 0, vector).otherwise(
-        F.transform(vector, lambda x: (x / n).cast("float"))))
+        F.transform(vector, lambda x: x / n)))
 
 
 def resize(vector: Column, dimensions: int) -> Column:
@@ -66,16 +66,20 @@ def term_bucket(term: Column, dimensions: int = 128) -> Column:
 def term_hash_embedding(terms: Column, dimensions: int = 128) -> Column:
     """Unit vector of signed term counts.
 
-    Hash pairs are sorted by bucket once, so the dense vector costs one pass
-    per bucket over its own entries instead of one pass over all terms.
+    Sorting the (bucket, sign) pairs turns each
+    bucket into one run, whose sum comes from a slice instead of a full pass.
     """
-    pairs = F.transform(terms, lambda t: term_bucket(t, dimensions))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: b)
+    pairs = F.sort_array(F.transform(terms, lambda t: term_bucket(t, dimensions)))
 
     def dense(ps: Column) -> Column:
-        return F.transform(sums, lambda b: F.aggregate(
-            F.filter(ps, lambda p: p["bucket"] == b), F.lit(0.0),
-            lambda acc, p: acc + p["sign"]).cast("float"))
+        runs = islands(ps, lambda a, b: a["bucket"] == b["bucket"])
+        sums = F.map_from_entries(F.transform(runs, lambda r: F.struct(
+            F.get(ps, r["first"])["bucket"].alias("key"),
+            F.aggregate(F.slice(ps, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0.0),
+                        lambda acc, p: acc + p["sign"]).alias("value"))))
+        return let(sums, lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0.0))))
     return l2_normalize(let(pairs, dense))
 
 

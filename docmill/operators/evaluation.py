@@ -518,10 +518,12 @@ def snap_quote(lines_: Column, quote_tokens: Column, threshold: float = 0.58) ->
     threshold or for quotes of fewer than four tokens.
     """
     def best(ls: Column) -> Column:
-        windows = F.flatten(F.array(*[F.filter(F.transform(ls, lambda ln, i, w=w: F.struct(
-            F.array_join(F.transform(F.slice(ls, i + 1, F.lit(w)), lambda x: x["t"]), " ")
-            .alias("text"), ln["n"].alias("first"), F.get(ls, i + w - 1)["n"].alias("last"))),
-            lambda s: s["last"].isNotNull()) for w in (1, 2, 3)]))
+        def of_size(w: int) -> Column:
+            return F.filter(F.transform(ls, lambda ln, i: F.struct(
+                F.array_join(F.transform(F.slice(ls, i + 1, F.lit(w)), lambda x: x["t"]), " ")
+                .alias("text"), ln["n"].alias("first"), F.get(ls, i + w - 1)["n"].alias("last"))),
+                lambda s: s["last"].isNotNull())
+        windows = F.concat(of_size(1), of_size(2), of_size(3))
         asked = F.array_distinct(quote_tokens)
         scored = F.transform(windows, lambda s: let(
             F.array_distinct(tx.lexical_tokens(s["text"])), lambda c: F.struct(

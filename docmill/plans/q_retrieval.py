@@ -124,7 +124,7 @@ DENSE = BM25 + f""",
     qv AS ({_hash_vectors('benchmark', 'item_id')}),
     ds AS (SELECT qv.id AS query_id, dv.id AS chunk_id, round(coalesce(
              list_dot_product(qv.raw, dv.raw) / nullif(sqrt(list_dot_product(qv.raw, qv.raw)
-             * list_dot_product(dv.raw, dv.raw)), 0), 0), 4) AS score FROM qv, dv),
+             * list_dot_product(dv.raw, dv.raw)), 0), 0), 6) AS score FROM qv, dv),
     dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
            AS rank FROM ds)"""
 
@@ -140,12 +140,21 @@ def dense_hash(spark, sf, k):
     return rt.dense_topk(asked, embedded(corpus(spark, sf)), k)
 
 
-@query("dense_hash_top10")
+@query("dense_hash_top10", DENSE + """
+    SELECT query_id, chunk_id, score, rank FROM dr WHERE rank <= 10""")
 def dense_hash_top10(spark, sf):
     return dense_hash(spark, sf, 10)
 
 
-@query("hybrid_fusion_top10")
+@query("hybrid_fusion_top10", DENSE + """,
+    arms AS (SELECT query_id, chunk_id, rank, score AS ds, NULL AS ss FROM dr WHERE rank <= 30
+             UNION ALL SELECT query_id, chunk_id, rank, NULL, score FROM b WHERE rank <= 30),
+    fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score,
+                  max(ds) AS dense_score, max(ss) AS sparse_score FROM arms GROUP BY ALL),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+           AS rank FROM fu)
+    SELECT query_id, chunk_id, score, dense_score, sparse_score, rank FROM fr
+    WHERE rank <= 10""")
 def hybrid_fusion(spark, sf):
     asked = questions(spark, sf).withColumn("embedding", em.term_hash_embedding(
         em.content_terms(F.col("query"))))

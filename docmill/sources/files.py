@@ -38,8 +38,8 @@ def markdown_corpus(spark: SparkSession, root: str, limit: int | None = None,
     Preferred paths come first, then path order; ``exclude`` drops paths with a
     marker; ``normalise`` composes, unifies line ends and drops blank files.
     """
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.md").text(root))
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.md").text(root, wholetext=True))
     rows = raw.select(_relative(root).alias("source_path"), F.col("value").alias("text"))
     if exclude:
         rows = rows.filter(~F.lower("source_path").rlike("|".join(exclude)))
@@ -63,8 +63,8 @@ def one_document(spark: SparkSession, root: str, path: str) -> DataFrame:
 
 def extraction_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every extraction JSON, reports of earlier runs excluded."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.json").text(root))
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").text(root, wholetext=True))
     rows = raw.select(_relative(root).alias("path"), F.col("value").alias("content"))
     return rows.filter(~F.col("path").rlike("classification_output|schema_mapping"))
 

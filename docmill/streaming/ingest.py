@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 def markdown_stream(spark: SparkSession, root: str, files_per_trigger: int = 100) -> DataFrame:
     """(source_path, provider, text) of Markdown files as they arrive."""
-    raw = (spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    raw = (spark.readStream.option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_per_trigger)
-           .text(root))
+           .text(root, wholetext=True))
     path = F.col("_metadata.file_path")
     base = "/" + root.strip("/") + "/"
     rel = F.substring_index(F.url_decode(path), base, -1)

@@ -270,23 +270,24 @@ def _stopword_array(words: tuple[str, ...]) -> Column:
 def significant_tokens(normalized: Column) -> Column:
     """Content tokens of an answer_text() result, citation marks removed first."""
     words = F.regexp_extract_all(normalized, F.lit(r"([a-z0-9à-ỹ]+)"), 1)
-    stop = _stopword_array(ANSWER_STOPWORDS)
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*ANSWER_STOPWORDS)
                     & ~w.startswith("số"))
 
 
-def block_terms(text: Column) -> Column:
-    """Distinct accent-free content terms."""
-    words = F.regexp_extract_all(strip_marks(text), F.lit("([a-z0-9]{3,})"), 1)
-    kept = F.filter(words, lambda w: ~w.rlike("^[0-9]+$"))
-    return F.array_distinct(F.array_except(kept, _stopword_array(SEARCH_STOPWORDS)))
+# A run of three or more characters that holds at least one letter.
+WORD = "((?=[0-9]*[a-z])[a-z0-9]{3,})"
 
 
 def search_words(text: Column) -> Column:
     """Accent-free content words in order, repeats kept."""
-    words = F.regexp_extract_all(strip_marks(text), F.lit("([a-z0-9]{3,})"), 1)
-    stop = _stopword_array(SEARCH_STOPWORDS)
-    return F.filter(words, lambda w: ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+    words = F.regexp_extract_all(strip_marks(text), F.lit(WORD), 1)
+    return F.filter(words, lambda w: ~w.isin(*SEARCH_STOPWORDS))
+
+
+def block_terms(text: Column) -> Column:
+    """Distinct accent-free content terms."""
+    words = F.regexp_extract_all(strip_marks(text), F.lit(WORD), 1)
+    return F.array_except(words, _stopword_array(SEARCH_STOPWORDS))
 
 
 def top_keywords(words: Column, limit: int = 10, ties: str = "first") -> Column:

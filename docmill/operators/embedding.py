@@ -50,8 +50,7 @@ def prepare_text(text: Column, purpose: str, family: str,
 def content_terms(text: Column) -> Column:
     """Accent-free terms of at least three characters, function words dropped."""
     words = F.regexp_extract_all(strip_marks(text), F.lit("([a-z0-9_]{3,})"), 1)
-    stop = F.array(*[F.lit(w) for w in SEARCH_STOPWORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*SEARCH_STOPWORDS))
 
 
 def term_bucket(term: Column, dimensions: int = 128) -> Column:

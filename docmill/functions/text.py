@@ -23,6 +23,9 @@ from docmill.functions.arrays import islands, let, lines
 WS = r"[\s\x0B\x1C-\x1F\u0085   -     　]"
 
 
+NON_ASCII = r"[^\x00-\x7F]"
+
+
 # --- Unicode folding -------------------------------------------------------------
 
 def _fold_table(form: str, ascii_only: bool) -> tuple[str, str, dict[str, str]]:
@@ -74,7 +77,9 @@ def ascii_fold(text: Column) -> Column:
     wide = let(pairs, lambda m: F.array_join(F.transform(
         F.split(text, ""), lambda c: F.coalesce(F.element_at(m, c), c)), ""))
     simple = F.when(text.rlike(_char_class(tuple(several))), wide).otherwise(text)
-    return F.regexp_replace(F.translate(simple, source, target), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(simple, source, target), r"[^\x00-\x7F]", "")
+    # Plain ASCII text, the common case, skips every per-character step.
+    return F.when(text.rlike(NON_ASCII), folded).otherwise(text)
 
 
 @cache
@@ -102,7 +107,8 @@ def strip_marks(text: Column) -> Column:
     """Lowercase, drop nonspacing marks, đ→d; other letters stay."""
     source, target = _mark_table()
     plain = F.translate(F.lower(text), "đ" + source, "d" + target)
-    return F.regexp_replace(plain, r"\p{Mn}+", "")
+    return F.when(text.rlike(NON_ASCII), F.regexp_replace(plain, r"\p{Mn}+", "")) \
+        .otherwise(F.lower(text))
 
 
 @F.pandas_udf(StringType())

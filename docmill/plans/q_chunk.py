@@ -156,8 +156,30 @@ def shaped(name, build, corpus):
 
 for _name, _build in st.STRATEGIES.items():
     shaped(f"strategy_{_name}", _build, pages_corpus)
+
+def cut_sql(method: str, pattern: str) -> str:
+    """Spans between heading lines, from line offsets."""
+    return LINES + rf""",
+    o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (
+            PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS start FROM l),
+    c AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start),
+            (SELECT length(text) FROM pages_md p WHERE p.page_id = o.doc_id)) AS stop
+          FROM o WHERE i = 1 OR regexp_matches(line, '{pattern}')),
+    t AS (SELECT c.doc_id, start, stop, trim(substr(text, CAST(start AS BIGINT) + 1,
+            CAST(stop - start AS BIGINT)), chr(10) || ' ') AS t
+          FROM c JOIN pages_md p ON p.page_id = c.doc_id)
+    SELECT doc_id, '{method}' AS method, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1
+             AS chunk_index, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end",
+           CAST(ceil(length(t) / 4.0) AS INT) AS tokens, length(t) AS n_chars, md5(t) AS text_md5
+    FROM t WHERE t <> ''"""
+
+
+for _name, _pattern in (("markdown", r"^#{1,3}\s+.+$"), ("regex", r"^#{1,4}\s+.+$")):
+    query(f"method_{_name}", cut_sql(_name, _pattern))(
+        lambda spark, sf, build=rs.METHODS[_name]: digest(build(pages(spark, sf))))
 for _name, _build in rs.METHODS.items():
-    if _name != "fixed":
+    if _name not in ("fixed", "markdown", "regex"):
         shaped(f"method_{_name}", _build, pages if "markdown" in _name or _name == "regex"
                else docs)
 for _name in ("adaptive_semantic_density", "late_context", "context_blocks",

@@ -194,7 +194,32 @@ def filtered_hybrid_rerank(spark, sf):
 
 
 
-@query("tfidf_top5")
+def _grams(key: str, name: str) -> str:
+    return f"""SELECT {key} AS id, unnest(list_concat(ws, list_transform(range(1, len(ws)),
+        lambda i: ws[i] || ' ' || ws[i + 1]))) AS term
+    FROM (SELECT {key}, regexp_extract_all({MARKLESS.format(c='text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}')
+          AS ws FROM {name}) WHERE len(ws) > 0"""
+
+
+TFIDF = f"""WITH dc AS (SELECT id, term, count(*) AS tf FROM ({_grams('doc_id', 'documents')})
+                      GROUP BY ALL),
+    qc AS (SELECT id, term, count(*) AS tf FROM ({_grams('item_id', 'benchmark')}) GROUP BY ALL),
+    f AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
+          FROM dc GROUP BY term),
+    dw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM dc JOIN f USING (term)),
+    qw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM qc JOIN f USING (term)),
+    dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY id),
+    qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY id),
+    s AS (SELECT qw.id AS query_id, dw.id AS chunk_id,
+                 round(sum(qw.w / qn.norm * dw.w / dn.norm), 6) AS score
+          FROM qw JOIN qn ON qn.id = qw.id JOIN dw ON dw.term = qw.term JOIN dn ON dn.id = dw.id
+          GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+          AS rank FROM s)
+    SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 5"""
+
+
+@query("tfidf_top5", TFIDF)
 def tfidf_top5(spark, sf):
     return rt.tfidf_topk(questions(spark, sf), corpus(spark, sf), 5)
 

@@ -489,3 +489,82 @@ def plan_node(company_code: Column, plan_code: Column) -> Column:
 def chunk_node(document_id: Column, chunk_index: Column) -> Column:
     return F.concat_ws(":", F.lit("source_chunk"), slugify(document_id, "_", "unknown"),
                        chunk_index.cast("string"))
+
+
+# --- cleaning ----------------------------------------------------------------------------------
+
+# How generated image captions begin.
+CAPTION_STARTS = ("a ", "an ", "the ", "aia logo", "circular diagram", "downward arrow", "icon ",
+                  "illustration ", "man ", "map ", "qr code", "red booklet", "woman ")
+IMAGE_TOKEN = r"(?i)!\[[^\]]*]\([^)]*_img\.(?:jpe?g|png|webp)\)"
+
+
+def clean_image_noise(text: Column) -> Column:
+    """Drop generated image lines with the captions that follow, and inline image marks.
+
+    Lines form runs of image, blank and text lines; after an image, blank runs and
+    caption paragraphs go until a real paragraph comes.  At most two blank lines
+    stay together.
+    """
+    kept = "array<string>"
+
+    def kind(ln: Column) -> Column:
+        return F.when(ln.rlike(r"^\s*" + IMAGE_TOKEN + r"\s*$"), "image") \
+            .when(strip(ln) == "", "blank").otherwise("text")
+
+    def caption(paragraph: Column) -> Column:
+        body = F.array_join(F.transform(paragraph, strip), " ")
+        low = F.lower(body)
+        starts = low.startswith(CAPTION_STARTS[0])
+        for lead in CAPTION_STARTS[1:]:
+            starts = starts | low.startswith(lead)
+        return starts & ~body.rlike(r"^[#\-*|\[(<>]")
+
+    def clean(ls: Column) -> Column:
+        kinds = F.transform(ls, kind)
+        runs = islands(kinds, lambda a, b: a == b)
+        start = F.struct(F.array().cast(kept).alias("out"), F.lit(False).alias("noise"))
+
+        def step(acc: Column, r: Column) -> Column:
+            block = F.slice(ls, r["first"] + 1, r["last"] - r["first"] + 1)
+            what = kind(F.get(ls, r["first"]))
+            drop = (what == "image") | (acc["noise"] & ((what == "blank") | caption(block)))
+            tidy = F.transform(block, lambda ln: F.regexp_replace(F.regexp_replace(
+                F.regexp_replace(ln, IMAGE_TOKEN, ""), "[ \t]{2,}", " "), r"\s+$", ""))
+            return F.struct(F.when(drop, acc["out"]).otherwise(F.concat(acc["out"], tidy))
+                            .alias("out"), drop.alias("noise"))
+        return F.aggregate(runs, start, step, lambda acc: acc["out"])
+    joined = F.array_join(let(lines(text), clean), "\n")
+    joined = F.regexp_replace(F.regexp_replace(joined, r"\n{4,}", "\n\n\n"), r"^\n+|\n+$", "")
+    return F.when(strip(joined) == "", F.lit("")).otherwise(F.concat(joined, F.lit("\n")))
+
+
+def first_json_object(text: Column) -> Column:
+    """The first complete JSON object in a model's answer; NULL without one.
+
+    Code fences are dropped, then the shortest prefix that parses is taken at
+    the first opening brace that has one.
+    """
+    bare = F.regexp_replace(text, r"```(?:json)?", "")
+
+    def from_brace(t: Column) -> Column:
+        tails = F.filter(F.transform(F.split(t, r"(?=\{)", -1), lambda p, i: F.array_join(
+            F.slice(F.split(t, r"(?=\{)", -1), i + 1, F.lit(1 << 20)), "")),
+            lambda s: s.startswith("{"))
+
+        def shortest(tail: Column) -> Column:
+            parts = F.split(tail, r"(?<=\})", -1)
+            return let(parts, lambda ps: F.aggregate(
+                F.sequence(F.lit(1), F.size(ps)), F.lit(None).cast("string"),
+                lambda acc, n: F.coalesce(acc, let(
+                    F.array_join(F.slice(ps, F.lit(1), n), ""),
+                    lambda c: F.when(F.try_parse_json(c).isNotNull() & c.endswith("}"), c)))))
+        return F.aggregate(tails, F.lit(None).cast("string"),
+                           lambda acc, s: F.coalesce(acc, shortest(s)))
+    return let(bare, from_brace)
+
+
+def sanitize_metadata(metadata: Column, dropped: tuple[str, ...], limit: int = 1000) -> Column:
+    """Metadata map without heavy keys, long values cut."""
+    kept = F.map_filter(metadata, lambda k, v: ~k.isin(*dropped))
+    return F.transform_values(kept, lambda k, v: F.substring(v, 1, limit))

@@ -547,3 +547,32 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
             .select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]))
 
 
+
+
+# The compared retrieval scenarios (mode, company filter, rerank).
+SCENARIOS = {
+    "vector": ("vector", False, False),
+    "hybrid": ("hybrid", False, False),
+    "hybrid_company_filter": ("hybrid", True, False),
+    "hybrid_rerank": ("hybrid", False, True),
+    "hybrid_company_filter_rerank": ("hybrid", True, True),
+}
+
+
+def with_scenarios(cases: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Every case once per scenario: the fixed scenario list is exploded in the row."""
+    chosen = SCENARIOS if names is None else {n: SCENARIOS[n] for n in names}
+    listed = F.array(*[F.struct(F.lit(n).alias("scenario_name"), F.lit(m).alias("mode"),
+                                F.lit(c).alias("company_filter_applied"),
+                                F.lit(r).alias("rerank_applied"))
+                       for n, (m, c, r) in chosen.items()])
+    return cases.select("*", F.inline(listed))
+
+
+def first_primary_sources(cases: DataFrame, corpus: DataFrame, limit: int) -> DataFrame:
+    """The first distinct primary sources, in case order, that exist in the corpus."""
+    primary = cases.select("ord", primary_source(F.col("expected_sources")).alias("source_path"))
+    first = primary.filter("source_path <> ''").groupBy("source_path").agg(
+        F.min("ord").alias("ord"))
+    return first.join(corpus.select("source_path").distinct(), "source_path", "left_semi") \
+        .orderBy("ord").limit(limit)

@@ -181,3 +181,15 @@ def test_graph_build_last_write_wins(spark):
     assert [(r.src, r.dst) for r in edges.collect()] == [("a", "b")]
     back = gr.read_node_link(gr.node_link_json(nodes, edges))
     assert back[0].count() == 2 and back[1].first().props == {"v": "1"}
+
+
+def test_scenarios_and_primary_sources(spark):
+    source = "ARRAY<STRUCT<source_path STRING, relationship STRING>>"
+    cases = spark.createDataFrame(
+        [(1, [("x.md", "other"), ("a.md", "primary")]), (2, [("b.md", "other")]),
+         (3, [("a.md", "primary")]), (4, [])], f"ord INT, expected_sources {source}")
+    corpus = spark.createDataFrame([("a.md",), ("b.md",)], "source_path STRING")
+    got = ev.first_primary_sources(cases, corpus, 5).collect()
+    assert [r.source_path for r in got] == ["a.md", "b.md"]
+    assert ev.with_scenarios(cases).count() == 20
+    assert ev.with_scenarios(cases, ["vector"]).first()["mode"] == "vector"

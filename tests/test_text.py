@@ -102,3 +102,25 @@ def test_top_keywords(one):
     assert one(tx.top_keywords(words, 2), t="beta alpha beta alpha gamma") == ["beta", "alpha"]
     assert one(tx.top_keywords(words, 2, "alphabet"), t="beta alpha beta alpha gamma") == \
         ["alpha", "beta"]
+
+
+def test_image_noise(one):
+    text = ("Tiêu đề\n\n![](_page_1_img.jpeg)\n\nA man holding a book\nin the park\n\n"
+            "(3) AON là công ty\n![x](b_img.png) giữ  lại\n\n\n\n\ncuối")
+    assert one(tx.clean_image_noise(F.col("t")), t=text) == \
+        "Tiêu đề\n\n(3) AON là công ty\n giữ lại\n\n\ncuối\n"
+    assert one(tx.clean_image_noise(F.col("t")), t="![](a_img.png)\n") == ""
+
+
+def test_json_recovery(one):
+    found = tx.first_json_object(F.col("t"))
+    assert one(found, t='text ```json\n{"a": {"b": "}"}, "c": 1} tail {"d": 2}\n```') == \
+        '{"a": {"b": "}"}, "c": 1}'
+    assert one(found, t='broken { no, then {"x": 1}') == '{"x": 1}'
+    assert one(found, t="nothing") is None
+
+
+def test_metadata_sanitizing(one):
+    got = one(tx.sanitize_metadata(F.create_map(F.lit("keep"), F.lit("abcdef"), F.lit("heavy"),
+                                                F.lit("x")), ("heavy",), 3))
+    assert got == {"keep": "abc"}

@@ -69,34 +69,54 @@ def ranked_in_group(df: DataFrame, group: str, order: Sequence[str], slices: int
 def related_sources(candidates: DataFrame, top: int = 2, threshold: float = 0.12) -> DataFrame:
     """Quotes of other sources with token Jaccard at or above the threshold, best first.
 
-    Candidates meet through an exact prefix filter: with tokens ordered from rare
-    to frequent, two sets that similar must share a token among their rarest
-    ``n - ceil(t * n) + 1``.  Frequent tokens therefore never build pairs, and
-    every pair found is verified on the full sets.
+    Copies are compared once: quotes are reduced to distinct token sets, sets are
+    matched, and the answer of a (set, source) is given to all its quotes.  Sets
+    meet through an exact prefix filter: with tokens ordered from rare to
+    frequent, two sets that similar share a token among their rarest
+    ``n - ceil(t * n) + 1``, so frequent tokens build no pairs.
     """
+    tokens = F.sort_array(tx.similarity_tokens(F.col("quote")))
     keyed = candidates.select(
-        F.xxhash64("source_path", "line_start").alias("id"), "source_path",
-        tx.similarity_tokens(F.col("quote")).alias("tokens")).filter(F.size("tokens") > 0)
-    exploded = keyed.select("id", F.explode("tokens").alias("t"))
+        F.xxhash64("source_path", "line_start").alias("id"), F.col("source_path").alias("path"),
+        tokens.alias("tokens")).filter(F.size("tokens") > 0) \
+        .withColumn("sid", F.xxhash64(F.array_join("tokens", " ")))
+    sets = keyed.groupBy("sid").agg(F.max("tokens").alias("tokens"))
+    exploded = sets.select("sid", F.explode("tokens").alias("t"))
     frequency = exploded.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = exploded.join(frequency, "t").groupBy("id").agg(F.sort_array(F.collect_list(
-        F.struct("df", "t"))).alias("o"))
+    ranked = exploded.join(frequency, "t").groupBy("sid").agg(F.sort_array(F.collect_list(
+        F.struct("df", "t"))).alias("o"))  # the few tokens of one quote
     n = F.size("o")
-    prefix = ranked.select("id", F.explode(F.slice(
+    prefix = ranked.select("sid", F.explode(F.slice(
         "o", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))).alias("p")) \
-        .select("id", F.col("p.t").alias("t"))
-    pairs = prefix.alias("a").join(prefix.alias("b"), "t") \
-        .filter("a.id <> b.id").select(F.col("a.id").alias("id"), F.col("b.id").alias("other")) \
-        .distinct()
-    left = keyed.select("id", F.col("source_path").alias("path"), F.col("tokens").alias("mine"))
-    right = keyed.select(F.col("id").alias("other"), F.col("source_path").alias("other_path"),
-                         F.col("tokens").alias("theirs"))
-    scored = pairs.join(left, "id").join(right, "other").filter("path <> other_path") \
-        .withColumn("overlap", F.round(F.size(F.array_intersect("mine", "theirs"))
-                                       / F.size(F.array_union("mine", "theirs")), 6))
-    best = Window.partitionBy("id").orderBy(F.desc("overlap"), "other")
-    return scored.filter(F.col("overlap") >= threshold) \
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top) \
+        .select("sid", F.col("p.t").alias("t"))
+    pairs = prefix.alias("a").join(prefix.alias("b"), "t").filter("a.sid <> b.sid") \
+        .select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other_sid")).distinct()
+    theirs = sets.select(F.col("sid").alias("other_sid"), F.col("tokens").alias("theirs"))
+    overlap = F.round(F.size(F.array_intersect("tokens", "theirs"))
+                      / F.size(F.array_union("tokens", "theirs")), 6)
+    matched = pairs.join(sets, "sid").join(theirs, "other_sid") \
+        .select("sid", "other_sid", overlap.alias("overlap"), (
+            F.size(F.array_intersect("tokens", "theirs"))
+            >= threshold * F.size(F.array_union("tokens", "theirs"))).alias("close")) \
+        .filter("close").drop("close")
+    same = sets.select("sid", F.col("sid").alias("other_sid"), F.lit(1.0).alias("overlap"))
+    # Whatever source is left out, the best `top` quotes of a set are among the first
+    # `top` of its `top + 1` earliest sources.
+    first = Window.partitionBy("sid", "path").orderBy("id")
+    members = keyed.select("sid", "path", "id").withColumn("r", F.row_number().over(first)) \
+        .filter(F.col("r") <= top)
+    early = Window.partitionBy("sid").orderBy("lead")
+    lead = members.filter("r = 1").select("sid", "path", F.col("id").alias("lead")) \
+        .withColumn("p", F.row_number().over(early)).filter(F.col("p") <= top + 1)
+    members = members.join(lead.select("sid", "path"), ["sid", "path"]).select(
+        F.col("sid").alias("other_sid"), F.col("path").alias("other_path"),
+        F.col("id").alias("other"))
+    asking = keyed.select("sid", "path").distinct()
+    best = Window.partitionBy("sid", "path").orderBy(F.desc("overlap"), "other")
+    answers = asking.join(matched.unionByName(same), "sid").join(members, "other_sid") \
+        .filter("path <> other_path").withColumn("rank", F.row_number().over(best)) \
+        .filter(F.col("rank") <= top)
+    return keyed.select("id", "sid", "path").join(answers, ["sid", "path"]) \
         .select("id", "other", "path", "other_path", "overlap", "rank")
 
 

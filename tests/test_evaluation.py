@@ -128,12 +128,23 @@ def test_interleave_and_related_sources(spark):
     rng = random.Random(6)
     vocab = [f"token{i:02d}" for i in range(14)]
     lines = [(f"s{i % 5}.md", i, " ".join(rng.sample(vocab, rng.randint(2, 6))))
-             for i in range(60)]
+             for i in range(60)] + [(f"s{i % 3}.md", 100 + i, "token00 token01 token02")
+                                    for i in range(12)]
     df = spark.createDataFrame(lines, "source_path STRING, line_start INT, quote STRING")
-    found = bm.related_sources(df, 1000, 0.4).count()
-    want = sum(1 for a in lines for b in lines if a[0] != b[0] and len(
-        set(a[2].split()) & set(b[2].split())) / len(set(a[2].split()) | set(b[2].split())) >= .4)
-    assert found == want > 0
+    ids = {r.source_path + str(r.line_start): r.i for r in df.select(
+        "*", F.xxhash64("source_path", "line_start").alias("i")).collect()}
+
+    def overlap(a, b):
+        x, y = set(a[2].split()), set(b[2].split())
+        return len(x & y) / len(x | y)
+    for top in (2, 1000):
+        want = set()
+        for a in lines:
+            close = sorted((-round(overlap(a, b), 6), ids[b[0] + str(b[1])]) for b in lines
+                           if a[0] != b[0] and overlap(a, b) >= .4)[:top]
+            want |= {(ids[a[0] + str(a[1])], i, r) for r, (_, i) in enumerate(close, 1)}
+        got = {(r.id, r.other, r["rank"]) for r in bm.related_sources(df, top, .4).collect()}
+        assert got == want and want
 
 
 def test_graph_quality_and_schema(spark):

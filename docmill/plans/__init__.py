@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load")
+MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load", "q_more")
 
 
 def load_all():

@@ -299,16 +299,22 @@ def block_terms(text: Column) -> Column:
 def top_keywords(words: Column, limit: int = 10, ties: str = "first") -> Column:
     """Most frequent words of an array; ties by first occurrence or alphabet.
 
-    Sorting (word, position) pairs makes equal words neighbours, so counting is
-    one pass over runs.
+    Sorting makes equal words neighbours, so counting is one pass over runs; the
+    position travels along only where it decides ties.
     """
     def ranked(pairs: Column) -> Column:
         runs = islands(pairs, lambda a, b: a["w"] == b["w"])
         counted = F.transform(runs, lambda r: F.struct(
             (r["first"] - r["last"] - 1).alias("n"),
-            (F.get(pairs, r["first"])["i"] if ties == "first" else F.lit(0)).alias("i"),
+            F.get(pairs, r["first"])["i"].alias("i"),
             F.get(pairs, r["first"])["w"].alias("word")))
         return F.transform(F.slice(F.sort_array(counted), 1, limit), lambda s: s["word"])
+    def ranked_by_word(ws: Column) -> Column:
+        counted = F.transform(islands(ws, lambda a, b: a == b), lambda r: F.struct(
+            (r["first"] - r["last"] - 1).alias("n"), F.get(ws, r["first"]).alias("word")))
+        return F.transform(F.slice(F.sort_array(counted), 1, limit), lambda s: s["word"])
+    if ties == "alphabet":
+        return let(F.sort_array(words), ranked_by_word)
     pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     return let(F.sort_array(pairs), ranked)
 

@@ -73,10 +73,6 @@ def jaccard(left: Column, right: Column) -> Column:
         F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right)))
 
 
-def ordered_distinct(array: Column) -> Column:
-    return F.array_distinct(array)
-
-
 def running_total(values: Column, block: int = 128) -> Column:
     """Exclusive prefix sums of an int array.
 

@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.catalog import DOMAIN_DDL, SUMMARY_TABLES, Catalog, schema_of
+from docmill.catalog import DOMAIN_DDL, SUMMARY_TABLES, Catalog
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -562,6 +562,3 @@ def create_tables_sql() -> str:
     """DDL script of the relational model for a session with a warehouse."""
     return ";\n".join(f"CREATE TABLE IF NOT EXISTS {n} ({d}) USING parquet"
                       for n, d in DOMAIN_DDL.items())
-
-
-__all__ = ["TOOLS", "call_tool", "clamp_limit", "like", "ranked", "schema_of"]

@@ -119,14 +119,14 @@ def fit(rows: DataFrame, n: int) -> Centroids:
     sample = rows.filter(share).limit(2 * SAMPLE).toArrow().sort_by("id").combine_chunks()
     points = _matrix(sample.column("vec").combine_chunks()).astype(np.float64)
     lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_SIZE), len(points) // 4))
-    return Centroids(bisect(points, lists))
+    # copies of one vector fill many parts, whose centroids are then one list
+    return Centroids(np.unique(bisect(points, lists).round(9), axis=0))
 
 
-def _filed(centroids, counts, k: int):
-    """Arrow function (id, vec) -> (list, id, vec): by ``FILE_RATIO``, or for queries by ``READ_RATIO``."""
+def _filed(centroids, counts, ratio: float, k: int):
+    """Arrow function (id, vec) -> (list, id, vec), for vectors to file or, given the lists' sizes, for queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sizes = centroids.value, None if counts is None else counts.value
-        ratio = FILE_RATIO if sizes is None else READ_RATIO
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
@@ -177,7 +177,8 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+           read_ratio: float = READ_RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows whose id ``every`` divides.
 
     Nearness is the Euclidean distance in double precision, ties go to the smaller id; a
@@ -192,7 +193,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     centroids = fit(rows, n)
     lists, kind = len(centroids.points), dict(rows.dtypes)["vec"]
     shipped = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS points
-    base = written(rows.mapInArrow(_filed(shipped, None, k), f"list long, id long, vec {kind}"), "ann-base")
+    base = written(rows.mapInArrow(_filed(shipped, None, FILE_RATIO, k), f"list long, id long, vec {kind}"), "ann-base")
 
     def per_list(filed: DataFrame) -> np.ndarray:
         counts = np.zeros(lists, np.int64)
@@ -202,7 +203,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
 
     sizes = per_list(base)
     asked = written(rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(
-        _filed(shipped, spark.sparkContext.broadcast(sizes), k), f"list long, id long, vec {kind}"), "ann-queries")
+        _filed(shipped, spark.sparkContext.broadcast(sizes), read_ratio, k), f"list long, id long, vec {kind}"), "ann-queries")
     cuts = F.broadcast(spark.createDataFrame(
         [(i, max(1, math.ceil(b / SLICE)), max(1, math.ceil(q / SLICE))) for i, (b, q) in enumerate(zip(sizes.tolist(), per_list(asked).tolist(), strict=True))],
         "list long, base_cuts long, query_cuts long"))

@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text is a bag of hashed byte trigrams with logarithmic counts, weighted by inverse
-document frequencies that are counted over all documents.  A truncated singular value
+A text is a bag of terms: hashed byte trigrams with logarithmic counts, weighted by
+inverse document frequencies that are counted over all documents, and terms for its
+shape (how many of its words are distinct, how its letters and signs are mixed).  A truncated singular value
 decomposition of labelled texts gives the latent space.  The labelled vectors are
 broadcast; each document's exact cosine with every one of them is computed in blocks,
 and its nearest neighbours vote with their similarities.
@@ -9,7 +10,9 @@ and its nearest neighbours vote with their similarities.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +25,34 @@ from docmill.llm.common import fold_of, utf8
 BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 1 << 11, 48, 25, 256
 #: At most so many labelled rows of each class fit the classifier (documented bound of the model).
 PER_CLASS = 1500
+#: Limits of the shape terms' bins, and the weight of a shape term beside a unit vector of trigrams.
+SHAPES = ((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8), (0.02, 0.05, 0.1, 0.2, 0.5), (0.02, 0.05, 0.1, 0.2), (0.05, 0.1, 0.3, 0.6))
+SHAPE_WEIGHT = 0.5
+TERMS = BUCKETS + sum(len(limits) + 1 for limits in SHAPES)
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'")
+UPPER = bytes(range(65, 91))
 #: Similarities are raised to this power before they vote.
-SHARPNESS = 4
+SHARPNESS = 8
 ACCEPT = 0.3
 
 
 def bag(data: bytes) -> np.ndarray:
-    """Logarithmic counts of the hashed byte trigrams of a text."""
-    codes = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(codes) < 3:
-        return np.zeros(BUCKETS, np.float32)
+    """Logarithmic counts of the hashed byte trigrams of a text, and its shape terms."""
+    out = np.zeros(TERMS, np.float32)
+    codes, words = np.frombuffer(data, np.uint8).astype(np.uint32), data.split()
+    if len(codes) < 3 or not words:
+        return out
     trigrams = codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]
     trigrams *= np.uint32(2654435761)
-    return np.log1p(np.bincount(trigrams >> np.uint32(21), minlength=BUCKETS)).astype(np.float32)
+    out[:BUCKETS] = np.log1p(np.bincount(trigrams >> np.uint32(21), minlength=BUCKETS))
+    n, size = len(words), len(data)
+    shares = (len(set(words)) / n, sum(map(eq, words, words[1:])) / n,
+              (size - len(data.translate(None, SIGNS))) / size, (size - len(data.translate(None, UPPER))) / size)
+    at = BUCKETS
+    for share, limits in zip(shares, SHAPES, strict=True):
+        out[at + bisect_right(limits, share)] = 1
+        at += len(limits) + 1
+    return out
 
 
 def normed(rows: np.ndarray) -> np.ndarray:
@@ -42,13 +60,18 @@ def normed(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
 
+def weighted(bags: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Unit vectors of bags of terms."""
+    return normed(np.concatenate([normed(bags[:, :BUCKETS] * weights), bags[:, BUCKETS:] * np.float32(SHAPE_WEIGHT)], axis=1))
+
+
 def bucket_frequencies(docs: DataFrame) -> np.ndarray:
     """Documents in which each bucket occurs, and at the end all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for data in utf8(batch.column("text")):
-                counts[:-1] += bag(data) > 0
+                counts[:-1] += bag(data)[:BUCKETS] > 0
                 counts[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(counts)], ["bucket", "n"])
 
@@ -69,8 +92,8 @@ class Model:
         """``prior`` is the share of label 1 among all training rows."""
         weights = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])).astype(np.float32) + 1
         if not len(labels):
-            return cls(weights, np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
-        rows = normed(bags * weights)
+            return cls(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
+        rows = weighted(bags, weights)
         values, axes = np.linalg.eigh((rows.T @ rows).astype(np.float64))
         axes = axes[:, ::-1][:, :min(DIMENSIONS, len(rows))].astype(np.float32)
         # each class votes with its share of all training rows, however many of it are here
@@ -80,7 +103,7 @@ class Model:
 
     def scores(self, bags: np.ndarray) -> np.ndarray:
         out = np.full(len(bags), self.prior)
-        latent = normed(normed(bags * self.weights) @ self.axes)
+        latent = normed(weighted(bags, self.weights) @ self.axes)
         some = np.flatnonzero(np.abs(latent).sum(1) > 0)
         if not len(self.vectors) or not len(some):
             return out
@@ -112,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     picked = (docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
               .select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag binary").collect())
     picked.sort(key=lambda r: r.doc_id)
-    matrix = np.array([np.frombuffer(r.bag, np.float16) for r in picked], np.float32).reshape(len(picked), BUCKETS)
+    matrix = np.array([np.frombuffer(r.bag, np.float16) for r in picked], np.float32).reshape(len(picked), TERMS)
     n = sum(counts.values())
     return Model.fit(matrix, np.array([r.label for r in picked], np.float32), bucket_frequencies(docs),
                      (counts.get(1, 0) / n) if n else 0.5)

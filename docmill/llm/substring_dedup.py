@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import packed, utf8
+from docmill.llm.common import fresh, packed, utf8
 
 WINDOW = 50
 #: Text bytes whose windows meet in one bucket, words buffered by a task, and word hashes a task remembers.
@@ -239,32 +239,32 @@ def covered_words(found: list[bytes] | None, n: int, window: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with ``_found``: packed intervals of removed window starts, or null.
+def removals(docs: DataFrame, found: str, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with ``found``: packed intervals of removed window starts, or null.
 
     A row's identity is (doc_id, hash of the text): repeated rows have the same removals,
     and a null doc_id is larger than any other.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_row": F.xxhash64("doc_id", body), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))})
+    body, row, doc = F.coalesce(F.col("text"), F.lit("")), fresh("row"), fresh("doc")
+    rows = docs.withColumns({row: F.xxhash64("doc_id", body), doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))})
+    texts = rows.select(F.col(row).alias("_row"), F.col(doc).alias("_doc"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(rows, window))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(texts, window))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(window, buckets, hot.value)
         for batch in batches:
-            for rid, doc, text in zip(batch.column("_row").to_pylist(), batch.column("_doc").to_pylist(),
+            for rid, own, text in zip(batch.column("_row").to_pylist(), batch.column("_doc").to_pylist(),
                                       utf8(batch.column("text")), strict=True):
-                buffer.add(rid, doc, text.split())
+                buffer.add(rid, own, text.split())
                 if buffer.words >= BUFFER_WORDS:
                     yield from buffer.flush()
         yield from buffer.flush()
 
-    found = (rows.select("_row", "_doc", "text").mapInArrow(hashed, SHUFFLED)
-             .groupBy("bucket").applyInArrow(_settle, "_row long, _doc long, found binary")
-             .groupBy("_row", "_doc").agg(F.collect_list("found").alias("_found")))
-    return rows.join(found, ["_row", "_doc"], "left").drop("_row", "_doc")
+    places = (texts.mapInArrow(hashed, SHUFFLED).groupBy("bucket").applyInArrow(_settle, "_row long, _doc long, found binary")
+              .groupBy(F.col("_row").alias(row), F.col("_doc").alias(doc)).agg(F.collect_list("found").alias(found)))
+    return rows.join(places, [row, doc], "left").drop(row, doc)
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -273,10 +273,12 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A null or empty text has no words; texts shorter than a window lose nothing; other
     columns are ignored.
     """
+    places = fresh("found")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, shas = [], [], []
-            for text, found in zip(utf8(batch.column("text")), batch.column("_found").to_pylist(), strict=True):
+            for text, found in zip(utf8(batch.column("text")), batch.column(places).to_pylist(), strict=True):
                 words = text.split()
                 if found:
                     keep = ~covered_words(found, len(words), window)
@@ -290,20 +292,20 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return removals(docs.select("doc_id", "text"), window).mapInArrow(
+    return removals(docs.select("doc_id", "text"), places, window).mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated windows cut from the text; the kept words of a changed text
     are joined by one space, other texts and all other columns stay as they are."""
-    names = docs.columns
+    names, places = docs.columns, fresh("found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for own, text, found in zip(batch.column("text").to_pylist(), utf8(batch.column("text")),
-                                        batch.column("_found").to_pylist(), strict=True):
+                                        batch.column(places).to_pylist(), strict=True):
                 if found:
                     words = text.split()
                     keep = ~covered_words(found, len(words), window)
@@ -311,4 +313,4 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return removals(docs, window).mapInArrow(run, docs.schema)
+    return removals(docs, places, window).mapInArrow(run, docs.schema)

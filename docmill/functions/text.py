@@ -554,9 +554,9 @@ def first_json_object(text: Column) -> Column:
     bare = F.regexp_replace(text, r"```(?:json)?", "")
 
     def from_brace(t: Column) -> Column:
-        tails = F.filter(F.transform(F.split(t, r"(?=\{)", -1), lambda p, i: F.array_join(
-            F.slice(F.split(t, r"(?=\{)", -1), i + 1, F.lit(1 << 20)), "")),
-            lambda s: s.startswith("{"))
+        tails = let(F.split(t, r"(?=\{)", -1), lambda parts: F.filter(
+            F.transform(parts, lambda p, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "")),
+            lambda s: s.startswith("{")))
 
         def shortest(tail: Column) -> Column:
             parts = F.split(tail, r"(?<=\})", -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import parse as ps
 from docmill.functions import text as tx
 from docmill.functions.arrays import lines
-from docmill.operators.sizing import broadcast_if_small
+from docmill.operators.numbering import ranked
 
 # Contexts per case type, in reporting order.
 CONTEXTS = {"single_context": 1, "two_context": 2, "three_context": 3, "table_context": 1}
@@ -35,37 +35,14 @@ def candidate_lines(docs: DataFrame, keywords: str = ps.KEYWORDS, low_value: str
 def interleave(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
     """Round-robin over providers, the largest provider first in every round.
 
-    The round is the candidate's rank inside its provider; ranked_in_group splits
-    a provider with a third of all rows over many windows.
+    The round is the candidate's rank inside its provider.
     """
-    placed = ranked_in_group(candidates, "provider", order)
+    placed = ranked(candidates, ["provider"], order, "position")
     size = candidates.groupBy("provider").agg(F.count("*").alias("provider_size"))
-    rows = placed.join(broadcast_if_small(size), "provider")
+    rows = placed.join(size, "provider")
     return rows.orderBy("position", F.desc("provider_size"), "provider")
 
 
-def ranked_in_group(df: DataFrame, group: str, order: Sequence[str], slices: int = 64
-                    ) -> DataFrame:
-    """Exact 0-based ``position`` per group without one task per group.
-
-    Rows are bucketed by approximate quantiles of the leading order column, which
-    must be numeric; a bucket's offset is the count before it, the rest a small
-    window.
-    """
-    lead = order[0]
-    edges = df.groupBy(group).agg(F.array_distinct(F.percentile_approx(
-        lead, [i / slices for i in range(1, slices)], 10000)).alias("edges"))
-    rows = df.join(broadcast_if_small(edges), group)
-    rows = rows.withColumn("_b", F.size(F.filter("edges", lambda e: e < F.col(lead)))) \
-        .drop("edges")
-    counts = rows.groupBy(group, "_b").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = Window.partitionBy(group, "_b").orderBy(*order)
-    return rows.join(broadcast_if_small(offsets), [group, "_b"]) \
-        .withColumn("position", F.col("_o") + F.row_number().over(inside) - 1).drop("_b", "_o")
-
-
 def related_sources(candidates: DataFrame, top: int = 2, threshold: float = 0.12) -> DataFrame:
     """Quotes of other sources with token Jaccard at or above the threshold, best first.
 
@@ -173,13 +150,13 @@ def apply_quality_caps(cases: DataFrame, order: str = "ord", provider_list: int
 
 
 def renumber(cases: DataFrame, prefix: str = "case_") -> DataFrame:
-    """Contiguous ids in case-type order, then id (an accepted set is quota-sized)."""
+    """Contiguous ids in case-type order, then id."""
     position = F.coalesce(F.element_at(F.create_map(*[
         F.lit(x) for kv in zip(CONTEXTS, range(len(CONTEXTS))) for x in kv]),
         F.col("case_type")), F.lit(999))
-    order = Window.orderBy(position, "id")
-    number = F.format_string("%s%05d", F.lit(prefix), F.row_number().over(order))
-    return cases.withColumn("new_id", number)
+    placed = ranked(cases.withColumn("_t", position), [], ["_t", "id"], "_n")
+    return placed.withColumn("new_id", F.format_string("%s%05d", F.lit(prefix), F.col("_n") + 1)) \
+        .drop("_t", "_n")
 
 
 def context_candidates(blocks: DataFrame, distribution: dict[str, int], seed: int = 42

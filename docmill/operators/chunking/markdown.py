@@ -300,7 +300,7 @@ def definitions(text: Column) -> Column:
         inside = F.coalesce(F.get(ls, head).rlike("(?iu)định nghĩa|diễn giải"), F.lit(False))
         cells = F.transform(F.split(F.regexp_replace(strip(ln), r"^\|+|\|+$", ""), r"\|"), strip)
         term = clean(cells[0])
-        meaning = clean(F.array_join(F.slice(cells, 2, 9999), " "))
+        meaning = clean(F.array_join(F.slice(cells, F.lit(2), F.size(cells)), " "))
         ok = (ln.contains("|") & ~(ln.startswith("#") & ln.rlike("(?iu)định nghĩa|diễn giải"))
               & (F.size(cells) >= 2) & (term != "") & (meaning != "")
               & (F.length(term) <= 80) & (F.length(meaning) >= 20) & ~term.rlike("^[-: ]+$")

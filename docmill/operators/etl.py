@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from docmill.functions import parse as ps
 
 from docmill.functions.text import normalize_key_jvm, strip, truncate
-from docmill.operators.sizing import broadcast_if_small
 
 ROWS = "array<map<string,string>>"
 ROLE = "struct<role:string,column:string,plan_normalized_code:string,plan_level:int>"
@@ -97,7 +96,7 @@ def classify_files(parsed: DataFrame) -> DataFrame:
 def apply_keyset_classes(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     """Class per key set applied to every file; unknown key sets become misc."""
     joined = parsed.select("path", "keyset_id").join(
-        broadcast_if_small(classes.select("keyset_id", "table_type")), "keyset_id", "left")
+        classes.select("keyset_id", "table_type"), "keyset_id", "left")
     return joined.select(
         "path", "keyset_id", F.coalesce("table_type", F.lit("misc")).alias("table_type"),
         F.when(F.col("table_type").isNull(), "not_in_cache").otherwise("keyset")
@@ -198,8 +197,8 @@ def ingest(parsed: DataFrame, mapping: DataFrame, companies: DataFrame,
     """
     files = parsed.withColumn("company_code", ps.company_code(F.col("path")))
     known = companies.select(F.col("id").alias("company_id"), F.col("code").alias("company_code"))
-    files = files.join(broadcast_if_small(known), "company_code", "left")
-    files = files.join(broadcast_if_small(mapping), "keyset_id", "left")
+    files = files.join(known, "company_code", "left")
+    files = files.join(mapping, "keyset_id", "left")
     size = F.size(F.coalesce("rows", F.array().cast(ROWS)))
     status = ps.first_match([
         (F.col("company_id").isNull(), "skipped_no_company"),

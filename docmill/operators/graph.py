@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators.sizing import broadcast_if_small
+from docmill.operators.numbering import ranked
+from docmill.session import scratch_path
 
 
 # --- build ----------------------------------------------------------------------------------
@@ -44,22 +45,22 @@ def build_graph(graph_docs: DataFrame, node_types: DataFrame, edge_types: DataFr
                 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from documents with ``ord``, ``nodes`` and ``relationships`` arrays.
 
-    Only allowed types stay, and only edges whose ends are kept nodes of the same
-    document (decided inside the row).  The last write wins per node and pair;
-    max_by combines map-side.
+    Only types of the label tables stay, and only edges whose ends are kept nodes of the
+    same document.  The last write wins per node and pair; max_by combines map-side.
     """
-    allowed_nodes, allowed_edges = vocabulary(node_types), vocabulary(edge_types)
-    kept = graph_docs.select("ord", F.filter("nodes", lambda n: F.array_contains(
-        allowed_nodes, n["type"])).alias("nodes"), "relationships")
-    ids = F.transform("nodes", lambda n: n["id"])
-    kept = kept.select("ord", "nodes", F.filter("relationships", lambda r: F.array_contains(
-        allowed_edges, r["type"]) & F.array_contains(ids, r["source"])
-        & F.array_contains(ids, r["target"])).alias("relationships"))
-    nodes = kept.select("ord", F.posexplode("nodes").alias("i", "n")).groupBy(
-        F.col("n.id").alias("id")).agg(F.max_by(F.struct("n.type", "n.properties"),
-                                                F.struct("ord", "i")).alias("v"))
-    edges = kept.select("ord", F.posexplode("relationships").alias("i", "r")).groupBy(
-        F.col("r.source").alias("src"), F.col("r.target").alias("dst")).agg(
+    def allowed(rows: DataFrame, kind: str, types: DataFrame) -> DataFrame:
+        return rows.join(types.select(F.col("label").alias(kind)).distinct(), kind, "left_semi")
+
+    own = allowed(graph_docs.select("ord", F.posexplode("nodes").alias("i", "n"))
+                  .withColumn("kind", F.col("n.type")), "kind", node_types)
+    places = own.select("ord", F.col("n.id").alias("id")).distinct()
+    links = allowed(graph_docs.select("ord", F.posexplode("relationships").alias("i", "r"))
+                    .withColumn("kind", F.col("r.type")), "kind", edge_types)
+    for end in ("source", "target"):
+        links = links.withColumn("id", F.col(f"r.{end}")).join(places, ["ord", "id"], "left_semi")
+    nodes = own.groupBy(F.col("n.id").alias("id")).agg(
+        F.max_by(F.struct("n.type", "n.properties"), F.struct("ord", "i")).alias("v"))
+    edges = links.groupBy(F.col("r.source").alias("src"), F.col("r.target").alias("dst")).agg(
         F.max_by(F.struct("r.type", "r.properties"), F.struct("ord", "i")).alias("v"))
     return (nodes.select("id", F.col("v.type").alias("entity_type"),
                          F.col("v.properties").alias("props")),
@@ -67,14 +68,6 @@ def build_graph(graph_docs: DataFrame, node_types: DataFrame, edge_types: DataFr
                          F.col("v.properties").alias("props")))
 
 
-def vocabulary(types: DataFrame, most: int = 10_000) -> Column:
-    """The labels of a schema contract as an array literal; its size is checked."""
-    labels = [row.label for row in types.select("label").limit(most + 1).collect()]
-    if len(labels) > most:
-        raise ValueError(f"A schema contract holds at most {most} labels.")
-    return F.array(*[F.lit(x) for x in labels]).cast("array<string>")
-
-
 def match_chunks_to_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each file with the chunk of the same path, else of its name where that is unique."""
     meta = ["document_id", "document_name", "company_code"]
@@ -121,8 +114,8 @@ def quality_issues(nodes: DataFrame, edges: DataFrame, documents: DataFrame,
         return df.select(F.lit(name).alias("issue"), F.col(subject).alias("subject"))
     orphans = nodes.filter(~F.col("id").startswith("document:")).select("id") \
         .join(degrees(edges), "id", "left_anti")
-    unknown = flat.join(broadcast_if_small(edge_types.select(
-        F.col("label").alias("relationship_type"))), "relationship_type", "left_anti")
+    unknown = flat.join(edge_types.select(
+        F.col("label").alias("relationship_type")), "relationship_type", "left_anti")
     known = documents.select("document_id").distinct()
     chunk_known = chunk_documents.select("document_id").distinct()
     node_docs = nodes.withColumn("document_id", _prop("document_id")).filter(
@@ -157,14 +150,23 @@ def type_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
-    """Nodes reachable within ``hops`` directed steps, with their distance."""
-    reached = start.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = reached
+    """Nodes reachable within ``hops`` directed steps, with their distance.
+
+    Each hop's frontier is written to the shared checkpoint folder, so that the next hop
+    reads it instead of planning all hops before it again.
+    """
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch_path(df.sparkSession, "hop")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    frontier = kept(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    reached = frontier
     for depth in range(1, hops + 1):
-        step = edges.join(broadcast_if_small(frontier.select(F.col("id").alias("src"))), "src") \
-            .select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached.select("id"), "id", "left_anti") \
-            .withColumn("depth", F.lit(depth))
+        step = edges.select("src", F.col("dst").alias("id")).join(
+            frontier.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct()
+        frontier = kept(step.join(reached.select("id"), "id", "left_anti")
+                        .withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -208,7 +210,7 @@ def aggregate_labels(proposals: DataFrame, canonical: DataFrame | None = None) -
 def canonical_labels(proposals: DataFrame, canonical: DataFrame | None) -> DataFrame:
     if canonical is None:
         return proposals
-    small = broadcast_if_small(canonical.select("label", "canonical_label"))
+    small = canonical.select("label", "canonical_label")
     return proposals.join(small, "label", "left").withColumn(
         "label", F.coalesce("canonical_label", "label")).drop("canonical_label")
 
@@ -262,7 +264,7 @@ def select_labels(items: DataFrame, allowed: DataFrame, limit: int) -> DataFrame
     """
     if limit <= 0:
         raise ValueError("limit must be positive.")
-    rows = items.join(broadcast_if_small(allowed), "label")
+    rows = items.join(allowed, "label")
     return rows.orderBy(F.desc("occurrence_count"), F.desc("source_file_count"),
                         "position").limit(limit)
 
@@ -270,7 +272,7 @@ def select_labels(items: DataFrame, allowed: DataFrame, limit: int) -> DataFrame
 def per_file_labels(proposals: DataFrame, kept: DataFrame) -> DataFrame:
     """(file_path, label) pairs of kept labels."""
     return proposals.select("file_path", "label").distinct() \
-        .join(broadcast_if_small(kept.select("label")), "label", "left_semi")
+        .join(kept.select("label"), "label", "left_semi")
 
 
 def canonicalization_report(labels: DataFrame, kind: str = "node") -> DataFrame:
@@ -283,16 +285,11 @@ def canonicalization_report(labels: DataFrame, kind: str = "node") -> DataFrame:
 
 
 def batches(items: DataFrame, size: int, kind: str = "node") -> DataFrame:
-    """Labels ordered by family, then label, numbered into batches.
-
-    The label table is aggregated already (its size is that of a vocabulary).
-    """
-    from pyspark.sql import Window
-
+    """Labels ordered by family, then label, numbered into batches."""
     keyed = items.withColumn("family", tx.label_family(
         F.col("label"), F.coalesce("aliases", F.array().cast("array<string>")), kind))
-    order = Window.orderBy("family", "label")
-    return keyed.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
+    return ranked(keyed, [], ["family", "label"], "_n").withColumn(
+        "batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
 def compact_properties(contract: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from docmill.operators import etl
 from docmill.operators import evaluation as ev
 from docmill.operators import graph as gr
 from docmill.operators.chunking import research as rs
+from docmill.operators.numbering import ranked
 from docmill.plans.corpus import DOCS_CTE, documents_corpus
 from docmill.plans.registry import query
 from docmill.session import scratch_path, spread, table
@@ -481,11 +482,9 @@ def schema_label_merge(spark, sf):
     JOIN w USING (label) ORDER BY occurrence_count DESC, source_file_count DESC, position
     LIMIT 4""")
 def schema_label_selection(spark, sf):
-    from pyspark.sql import Window
-
     items = gr.keep_stable_labels(schema_label_aggregate(spark, sf))
     words = canonical(spark, sf).select(F.col("canonical_label").alias("label")).distinct()
-    allowed = words.withColumn("position", F.row_number().over(Window.orderBy("label")))
+    allowed = ranked(words, [], ["label"], "position")
     return gr.select_labels(items, allowed, 4).drop("position")
 
 
@@ -618,8 +617,7 @@ def stream_ingest(spark, sf):
 
     root = scratch_path(spark, "ingest")
     schema = table(spark, sf, "documents").schema
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-            .parquet(sf)
+    docs = (spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet")
             .select(F.col("doc_id").cast("string").alias("source_path"), "doc_id", "text"))
     def chunk(batch):
         return rs.fixed(batch).join(batch.select("doc_id", "source_path"), "doc_id")

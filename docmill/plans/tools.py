@@ -548,7 +548,7 @@ def call_tool(db: Catalog, name: str, **arguments):
         if isinstance(result, DataFrame):
             result = [row.asDict(recursive=True) for row in result.toLocalIterator()]
             if name == "get-raw-source":
-                result = result[0] if result else {}
+                return result[0] if result else {}
         return result or []
     except Exception as error:
         return json.dumps({

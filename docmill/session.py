@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ def build_session(app: str = "docmill", master: str | None = None,
     if master:
         builder = (builder.master(master)
                    .config("spark.ui.enabled", "false")
+                   .config("docmill.spread", re.sub(r"\D", "", master) or "8")
                    .config("spark.driver.memory", "12g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -39,19 +41,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give compute-heavy row-local work at least one task per core.
+    """Redistribute a scan to as many partitions as ``docmill.spread`` says, if it is set.
 
-    A scan of many files is left alone; only an input with fewer splits than
-    cores (a few small files) is redistributed.
+    A large table has splits enough and the setting stays unset; a session over a few
+    small files sets it, because one row group cannot be split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.sparkSession.conf.get("docmill.spread", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         named = tempfile.mkdtemp(prefix="docmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

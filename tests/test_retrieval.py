@@ -37,7 +37,7 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_dense_matches_matrix_product(spark):
+def test_dense_matches_matrix_product(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 8))
     base[7] = base[3]
@@ -50,8 +50,11 @@ def test_dense_matches_matrix_product(spark):
         scores = np.round(base @ base[q], 6)
         order = sorted(range(300), key=lambda j: (-scores[j], j))[:5]
         want += [(q, j, r) for r, j in enumerate(order, 1)]
-    for block in (1 << 20, 8 * 8 * 2):  # one block, then many blocks of two queries
-        got = rt.dense_topk(asked, items, 5, block_bytes=block)
+    for block, tile in ((512, 2048), (2, 7)):  # one block and tile, then many in several passes
+        monkeypatch.setattr(rt, "QUERY_BLOCK", block)
+        monkeypatch.setattr(rt, "TILE_ROWS", tile)
+        monkeypatch.setattr(rt, "PASS_BLOCKS", 2)
+        got = rt.dense_topk(asked, items, 5)
         assert rows(got, "query_id", "chunk_id", "rank") == sorted(want)
 
 

@@ -100,7 +100,7 @@ def test_free_sql_guard(db):
 
 def test_lookup_schema_and_registry(db):
     assert tools.call_tool(db, "get-raw-source", source_table_id=5)["raw_json"] == "{}"
-    assert tools.call_tool(db, "get-raw-source", source_table_id=6) == []
+    assert tools.call_tool(db, "get-raw-source", source_table_id=6) == {}
     ddl = tools.get_schema(db, ["companies", "nope"])
     assert ddl[0].startswith("CREATE TABLE companies (") and "not found for table: nope" in ddl[1]
     assert len(tools.TOOLS) == 21 and "companies" in tools.list_tables(db)

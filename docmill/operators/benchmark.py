@@ -235,4 +235,18 @@ def stride_sample(candidates: DataFrame, per_doc: int, total: int, group: str =
 
 
 def case_type_counts(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("case_type").agg(F.count("*").alias("cases"))
+    """(position, case_type, cases): configured types first, in their order, then the
+    others; types that do not occur are left out."""
+    place = F.coalesce(F.element_at(F.create_map(*[
+        F.lit(x) for kv in zip(CONTEXTS, range(len(CONTEXTS))) for x in kv]),
+        F.col("case_type")), F.lit(len(CONTEXTS)))
+    return cases.select(F.coalesce("case_type", F.lit("")).alias("case_type")) \
+        .groupBy("case_type").agg(F.count("*").alias("cases")) \
+        .select(place.alias("position"), "case_type", "cases")
+
+
+def sampled_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Distinct chunks that cases ask for (``required_chunk_ids``), with the first case's order."""
+    asked = cases.select("ord", F.posexplode("required_chunk_ids").alias("i", "chunk_id"))
+    first = asked.groupBy("chunk_id").agg(F.min(F.struct("ord", "i")).alias("first_asked"))
+    return chunks.join(first, "chunk_id").select(*chunks.columns, F.col("first_asked.ord").alias("first_ord"))

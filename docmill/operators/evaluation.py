@@ -279,6 +279,34 @@ def chunk_relevance(chunk: tuple[Column, Column], evidence: tuple[Column, Column
     return F.least(F.lit(1.0), overlap_chars(*chunk, *evidence) / size)
 
 
+def context_efficiency(results: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
+    """Per query: the largest evidence overlap of its first k chunks over their characters.
+
+    ``results``: query_id, rank, doc_id, start, end, n_chars.  ``evidence``: query_id,
+    doc_id, start, end.  A query without retrieved characters scores 0.
+    """
+    wanted = evidence.select("query_id", F.col("doc_id").alias("_d"), F.col("start").alias("_s"),
+                             F.col("end").alias("_e"))
+    top = results.filter(F.col("rank") <= k).join(wanted, "query_id")
+    overlap = F.when(F.col("doc_id") == F.col("_d"), overlap_chars(
+        F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))).otherwise(0)
+    per = top.groupBy("query_id").agg(F.max(overlap).alias("best"), F.sum("n_chars").alias("chars"))
+    return per.select("query_id", F.round(F.when(F.col("chars") > 0, F.col("best") / F.col("chars"))
+                                          .otherwise(0.0), 6).alias("context_efficiency_5"))
+
+
+def judge_inputs(retrieved: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per strategy and case: the case's columns and its chunks in rank order.
+
+    ``retrieved``: strategy, case_id, rank, chunk_id (a handful per case); chunks of
+    unknown cases are left out.
+    """
+    grouped = retrieved.groupBy("strategy", "case_id").agg(F.sort_array(F.collect_list(
+        F.struct("rank", "chunk_id"))).alias("chunks"))
+    return grouped.join(cases, "case_id").withColumn(
+        "chunk_ids", F.transform("chunks", lambda c: c["chunk_id"])).drop("chunks")
+
+
 def overall_score(retrieval: Column, quality: Column) -> Column:
     return 0.78 * retrieval + 0.22 * quality
 

@@ -313,4 +313,4 @@ def pending_chunks(chunks: DataFrame, log: DataFrame) -> DataFrame:
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
     """Node and edge tables, one row per key as a uniqueness constraint would ask."""
     nodes.dropDuplicates(["entity_type", "id"]).write.mode("overwrite").parquet(f"{root}/nodes")
-    edges.dropDuplicates(["src", "dst"]).write.mode("overwrite").parquet(f"{root}/edges")
+    edges.dropDuplicates(["src", "dst", "relationship_type"]).write.mode("overwrite").parquet(f"{root}/edges")

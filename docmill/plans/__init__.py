@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load", "q_more")
+MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load", "q_more", "q_extra")
 
 
 def load_all():

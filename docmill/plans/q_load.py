@@ -617,7 +617,8 @@ def stream_ingest(spark, sf):
 
     root = scratch_path(spark, "ingest")
     schema = table(spark, sf, "documents").schema
-    docs = (spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet")
+    # a pattern: the table may be one file or a folder of part files
+    docs = (spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
             .select(F.col("doc_id").cast("string").alias("source_path"), "doc_id", "text"))
     def chunk(batch):
         return rs.fixed(batch).join(batch.select("doc_id", "source_path"), "doc_id")

@@ -1,7 +1,8 @@
 """Chunk index and caches kept as Parquet tables in shared storage.
 
-A table is a folder of numbered versions; a writer finishes a new version
-before readers can see it, so a lost executor never leaves a half-written one.
+A table is a folder of numbered batches; a write adds its own batch and touches no
+other, and readers see a batch only once it is complete, so a lost executor never
+leaves a half-written one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from docmill.operators.evaluation import latest_per_key
 
 
 class VersionedTable:
-    """Append-free Parquet table: every write makes the next complete version."""
+    """Parquet table of batches; every write adds the next one."""
 
     def __init__(self, spark: SparkSession, root: str, partition_by: Sequence[str] = ()):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), list(partition_by)
@@ -26,7 +27,7 @@ class VersionedTable:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def versions(self) -> list[int]:
-        """Versions with a success marker, oldest first."""
+        """Batches with a success marker, oldest first."""
         fs, path = self._fs()
         if not fs.exists(path):
             return []
@@ -39,7 +40,14 @@ class VersionedTable:
         return bool(self.versions())
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.versions()[-1]:08d}")
+        """The rows of all batches; an absent column is NULL."""
+        paths = [f"{self.root}/v{v:08d}" for v in self.versions()]
+        frames = [self.spark.read.parquet(p).withColumn("batch", F.lit(v))
+                  for v, p in zip(self.versions(), paths, strict=True)]
+        out = frames[0]
+        for df in frames[1:]:
+            out = out.unionByName(df, allowMissingColumns=True)
+        return out
 
     def write(self, df: DataFrame) -> int:
         version = (self.versions() or [0])[-1] + 1
@@ -49,37 +57,42 @@ class VersionedTable:
         writer.parquet(f"{self.root}/v{version:08d}")
         return version
 
-    def ensure(self, empty: DataFrame, recreate: bool = False) -> None:
-        if recreate or not self.exists():
+    def ensure(self, empty: DataFrame) -> None:
+        if not self.exists():
             self.write(empty)
 
 
 class ChunkIndex:
-    """Chunks keyed by a stable numeric id, partitioned by company for hard filters."""
+    """Chunks keyed by a stable numeric id, partitioned by company for hard filters.
+
+    An upsert or a deletion writes its own rows only; a reader takes the latest batch of
+    every id, and ids whose latest row is a deletion are gone.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.table = VersionedTable(spark, root, ["company_code"])
 
     def upsert(self, chunks: DataFrame, order: str = "ingested_at") -> int:
         """Add chunks; an existing id is replaced.  The search text is the ASCII form."""
-        rows = chunks.withColumns({"point_id": point_id(F.col("chunk_id")),
+        rows = chunks.withColumns({"point_id": point_id(F.col("chunk_id")), "deleted": F.lit(False),
                                    "search_text": search_text(F.col("text"))})
         if order not in rows.columns:
             rows = rows.withColumn(order, F.lit(1))
-        if self.table.exists():
-            old = self.table.read().withColumn(order, F.lit(0).cast(rows.schema[order].dataType))
-            rows = old.unionByName(rows, allowMissingColumns=True)
         return self.table.write(latest_per_key(rows, ["point_id"], [order]))
 
     def delete(self, ids: DataFrame) -> int | None:
         """Drop chunk ids; nothing is written when there are none."""
         if ids.isEmpty():
             return None
-        return self.table.write(self.table.read().join(
-            ids.select("chunk_id").distinct(), "chunk_id", "left_anti"))
+        return self.table.write(ids.select("chunk_id").distinct().select(
+            "chunk_id", point_id(F.col("chunk_id")).alias("point_id"), F.lit(True).alias("deleted"),
+            F.lit("").alias("company_code")))
 
     def read(self) -> DataFrame:
-        return self.table.read()
+        rows = self.table.read()
+        last = rows.groupBy("point_id").agg(F.max(F.struct("batch", "deleted")).alias("l")) \
+            .filter("NOT l.deleted").select("point_id", F.col("l.batch").alias("batch"))
+        return rows.join(last, ["point_id", "batch"], "left_semi").drop("batch", "deleted")
 
 
 def source_key(config: dict[str, object], text: str = "text"):
@@ -90,14 +103,19 @@ def source_key(config: dict[str, object], text: str = "text"):
 
 def chunk_with_cache(docs: DataFrame, cache: VersionedTable, config: dict[str, object],
                      chunk) -> DataFrame:
-    """Chunks of all documents; only documents without a valid cached entry are chunked."""
+    """Chunks of all documents; only texts without a valid cached entry are chunked.
+
+    Equal texts share an entry: one of their documents is chunked and each gets the
+    chunks under its own id.
+    """
     keyed = docs.withColumn("cache_key", source_key(config))
-    if not cache.exists():
-        cache.write(chunk(keyed))
-        return cache.read()
-    known = cache.read()
-    misses = keyed.join(known.select("cache_key").distinct(), "cache_key", "left_anti")
-    if not misses.isEmpty():
-        cache.write(known.unionByName(chunk(misses), allowMissingColumns=True))
-        known = cache.read()
-    return known.join(keyed.select("cache_key"), "cache_key", "left_semi")
+    misses = keyed
+    if cache.exists():
+        known = cache.read().select("cache_key").distinct()
+        misses = keyed.join(known, "cache_key", "left_anti")
+    first = misses.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id"))
+    misses = misses.join(first, ["cache_key", "doc_id"], "left_semi")
+    if not cache.exists() or not misses.isEmpty():
+        cache.write(chunk(misses))
+    found = cache.read().drop("batch", "doc_id")
+    return found.join(keyed.select("cache_key", "doc_id"), "cache_key")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+RESULTS = "source_path string, n_chars int, chunk_count bigint, status string"
+
 
 def markdown_stream(spark: SparkSession, root: str, files_per_trigger: int = 100) -> DataFrame:
     """(source_path, provider, text) of Markdown files as they arrive."""
@@ -28,7 +30,14 @@ def markdown_stream(spark: SparkSession, root: str, files_per_trigger: int = 100
 
 def ingest_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], out: str,
                   checkpoint: str) -> StreamingQuery:
-    """Chunk every arriving document and log one result row per file."""
+    """Chunk every arriving document and log one result row per file.
+
+    An empty first batch gives the result table its schema, so that no input reads as
+    no rows.
+    """
+    docs.sparkSession.createDataFrame([], RESULTS).write.mode("overwrite").parquet(
+        f"{out}/results/batch=-1")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         chunks = chunk(batch)
         target = f"{out}/chunks/batch={batch_id}"
@@ -54,14 +63,3 @@ def remaining_work(items: DataFrame, done: DataFrame, signature: list[str]) -> D
 def record_stream(spark: SparkSession, root: str, schema) -> DataFrame:
     """An append-only record log read as a stream of Parquet files."""
     return spark.readStream.schema(schema).parquet(root)
-
-
-def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input and return what it produced.
-
-    For checks and small results: a memory sink keeps its rows on the driver.
-    """
-    query = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return df.sparkSession.table(name)

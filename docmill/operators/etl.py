@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import parse as ps
 
-from docmill.functions.text import normalize_key_jvm, strip, truncate
+from docmill.functions.text import nfc, normalize_key_jvm, strip, truncate
 
 ROWS = "array<map<string,string>>"
 ROLE = "struct<role:string,column:string,plan_normalized_code:string,plan_level:int>"
@@ -27,16 +27,20 @@ def parse_extractions(files: DataFrame, path: str = "path", content: str = "cont
                       ) -> DataFrame:
     """(path, raw_json) to parsed rows; a single object counts as one row.
 
-    Text that is no JSON object keeps ``rows`` NULL and ``bad_json`` true.
+    Text that is no JSON object keeps ``rows`` NULL and ``bad_json`` true.  Everything is
+    read from the composed text, so decomposed keys name the same columns; only texts with
+    combining marks cross to Python for that, and ``raw_json`` stays as it came.
     """
-    value = F.col(content)
+    marked = F.when(F.col(content).rlike(r"[\u0300-\u036f]"), F.col(content))
+    files = files.withColumn("_composed", F.coalesce(nfc(marked), F.col(content)))
+    value = F.col("_composed")
     kind = F.get_json_object(value, "$.structured_data")
     listed = F.from_json(kind, ROWS)
     single = F.array(F.from_json(kind, "map<string,string>"))
     rows = F.when(kind.startswith("["), listed).when(kind.startswith("{"), single)
     parsed = F.from_json(value, "map<string,string>", {"mode": "PERMISSIVE"})
     return files.select(
-        F.col(path).alias("path"), value.alias("raw_json"),
+        F.col(path).alias("path"), F.col(content).alias("raw_json"),
         (F.try_parse_json(value).isNull() | parsed.isNull()).alias("bad_json"),
         rows.alias("rows"),
         F.coalesce(F.get_json_object(value, "$.content_type"), F.lit("table"))

@@ -485,6 +485,29 @@ def _split_pairs(spark, sf):
         d.filter("doc_id % 5 > 0").select(F.concat(F.lit("json/"), key, F.lit(".json")).alias("path")))
 
 
+@query("etl_outcome_kinds", """
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'skipped_no_company' WHEN 1 THEN 'skipped_bad_json'
+             WHEN 2 THEN 'skipped_no_mapping' WHEN 3 THEN 'skipped_unknown_table' ELSE 'files_ok' END AS status,
+           CASE WHEN p_partkey % 5 = 4 THEN 2 ELSE 0 END AS row_count FROM part""")
+def etl_outcome_kinds(spark, sf):
+    """Files of every fate: unknown company, broken text, unmapped keys, unknown target, loaded."""
+    kind = F.col("p_partkey") % 5
+    cell = F.when(kind == 2, "Không rõ").when(kind == 3, "Lạ").otherwise("Tên")
+    rows = F.array(F.create_map(cell, F.col("p_name")), F.create_map(cell, F.lit("x")))
+    text = F.when(kind == 1, "no { json").otherwise(F.to_json(F.struct(rows.alias("structured_data"))))
+    path = F.concat_ws("/", F.when(kind == 0, "nobody.example").otherwise("bic.vn"), F.lit("doc"),
+                       F.concat(F.col("p_partkey").cast("string"), F.lit(".json")))
+    files_ = table(spark, sf, "part").select(path.alias("path"), text.alias("content"))
+    role = ("row_label", "name_vi", None, None)
+    mapping = spark.createDataFrame(
+        [("Tên", "hospitals", "", {"Tên": role}), ("Lạ", "nowhere", "", {"Lạ": role})],
+        f"keyset_id STRING, target_table STRING, map_description STRING, key_roles MAP<STRING, {etl.ROLE}>")
+    companies = spark.createDataFrame([(3, "bic")], "id BIGINT, code STRING")
+    done = etl.ingest(etl.parse_extractions(files_), mapping, companies).outcomes
+    key = F.regexp_extract("path", r"(\d+)\.json$", 1).cast("bigint")
+    return done.select(key.alias("p_partkey"), "status", "row_count")
+
+
 # --- resuming and caches ---------------------------------------------------------------------
 
 @query("stream_remaining_work", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.operators import embedding as em
@@ -183,7 +184,24 @@ def rerank_two_stage(spark, sf):
                                          "rerank_rank")
 
 
-@query("filtered_hybrid_rerank")
+WITHIN = "FROM (SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3'))"
+
+
+@query("filtered_hybrid_rerank", DENSE.replace("FROM documents", WITHIN) + f""",
+    arms AS (SELECT query_id, chunk_id, rank, score AS ds, NULL AS ss FROM dr WHERE rank <= 30
+             UNION ALL SELECT query_id, chunk_id, rank, NULL, score FROM b WHERE rank <= 30),
+    fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score,
+                  max(ds) AS dense_score, max(ss) AS sparse_score FROM arms GROUP BY ALL),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+           AS rank FROM fu),
+    lx AS (SELECT fr.*, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ts)) / len(qs) END AS raw
+           FROM (SELECT *, list_distinct({TOK.format(c='q.text')}) AS qs FROM fr
+                 JOIN benchmark q ON q.item_id = query_id WHERE rank <= 30) fr JOIN d USING (chunk_id)),
+    rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, rank)
+           AS rerank_rank FROM lx)
+    SELECT query_id, chunk_id, score, dense_score, sparse_score, rank, raw AS raw_rerank_score,
+           rerank_rank, round(raw, 6) AS rerank_score, 'cross_encoder' AS rerank_method
+    FROM rr WHERE rerank_rank <= 10""")
 def filtered_hybrid_rerank(spark, sf):
     asked = questions(spark, sf).withColumn("embedding", em.term_hash_embedding(
         em.content_terms(F.col("query"))))
@@ -500,24 +518,24 @@ def refinement_suggestions(spark, sf):
 
 
 def scored_answers(spark, sf):
-    """Assistant turns as answers to their conversation, user turns as contexts."""
-    turns = table(spark, sf, "conversations")
-    contexts = evd.labelled_contexts(turns.filter("role = 'user'").select(
-        F.col("conv_id").alias("case_id"), (F.col("turn") + 1).alias("rank"),
-        F.lit("conv").alias("source_path"), "text"))
-    said = turns.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("case_id")).agg(
-        F.min_by("text", "turn").alias("said"))
-    asked = turns.filter("role = 'user'").groupBy(F.col("conv_id").alias("case_id")).agg(
-        F.min_by("text", "turn").alias("asked"))
+    """Every assistant turn as an answer, the user turns shortly before it as contexts."""
     from docmill.functions.text import cite_statements
 
-    answers = said.join(asked, "case_id").select(
-        "case_id", cite_statements(F.col("said"), F.lit("S1")).alias("answer"),
-        F.lit("conv").alias("source_path"), F.col("asked").alias("expected_answer"),
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-10, -1)
+    said = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    turns = table(spark, sf, "conversations").withColumn("asked", F.collect_list(said).over(before)) \
+        .filter("role = 'assistant'").withColumn("case_id", F.concat_ws(
+            ":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    contexts = evd.labelled_contexts(turns.select("case_id", F.explode("asked").alias("a")).select(
+        "case_id", (F.col("a.turn") + 1).alias("rank"), F.lit("conv").alias("source_path"),
+        F.col("a.text").alias("text")))
+    answers = turns.select(
+        "case_id", cite_statements(F.col("text"), F.lit("S1")).alias("answer"),
+        F.lit("conv").alias("source_path"), F.get("asked", F.lit(0))["text"].alias("expected_answer"),
         F.lit("").alias("evidence_quote"), F.array().cast("array<string>")
         .alias("expected_evidence"), F.lit(True).alias("must_cite_source"),
-        (F.col("case_id") % 3).cast("string").alias("provider"),
-        F.when(F.col("case_id") % 2 == 0, "low").otherwise("high").alias("risk"))
+        (F.col("conv_id") % 3).cast("string").alias("provider"),
+        F.when(F.col("conv_id") % 2 == 0, "low").otherwise("high").alias("risk"))
     return ev.score_answers(answers, contexts)
 
 

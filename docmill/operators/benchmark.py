@@ -12,6 +12,7 @@ from docmill.functions import parse as ps
 from docmill.functions import text as tx
 from docmill.functions.arrays import lines
 from docmill.operators.numbering import ranked
+from docmill.session import scratch_path
 
 # Contexts per case type, in reporting order.
 CONTEXTS = {"single_context": 1, "two_context": 2, "three_context": 3, "table_context": 1}
@@ -54,9 +55,14 @@ def related_sources(candidates: DataFrame, top: int = 2, threshold: float = 0.12
     """
     tokens = F.sort_array(tx.similarity_tokens(F.col("quote")))
     keyed = candidates.select(
-        F.xxhash64("source_path", "line_start").alias("id"), F.col("source_path").alias("path"),
+        F.concat_ws("#", "source_path", F.format_string("%06d", F.col("line_start"))).alias("id"),
+        F.col("source_path").alias("path"),
         tokens.alias("tokens")).filter(F.size("tokens") > 0) \
         .withColumn("sid", F.xxhash64(F.array_join("tokens", " ")))
+    # every later step starts here: texts are read and cut into tokens once
+    path = scratch_path(candidates.sparkSession, "quotes")
+    keyed.write.parquet(path)
+    keyed = candidates.sparkSession.read.schema(keyed.schema).parquet(path)
     sets = keyed.groupBy("sid").agg(F.max("tokens").alias("tokens"))
     exploded = sets.select("sid", F.explode("tokens").alias("t"))
     frequency = exploded.groupBy("t").agg(F.count("*").alias("df"))

@@ -533,10 +533,18 @@ def benchmark_interleave(spark, sf):
 
 
 
-@query("benchmark_related_sources")
+@query("benchmark_related_sources", CANDIDATES + r""",
+    q AS (SELECT source_path || '#' || lpad(CAST(line_start AS VARCHAR), 6, '0') AS id, source_path AS path,
+            list_distinct(list_filter(string_split_regex(regexp_replace(lower(quote), '[^\p{L}\p{N}_\s]', ' ', 'g'),
+                                                         '\s+'), lambda w: length(w) >= 5)) AS ts FROM k),
+    t AS (SELECT id, path, len(ts) AS n, unnest(ts) AS t FROM q),
+    p AS (SELECT a.id, b.id AS other, a.n AS an, b.n AS bn, count(*) AS c
+          FROM t a JOIN t b ON a.t = b.t AND a.path <> b.path GROUP BY ALL),
+    o AS (SELECT id, other, round(c / (an + bn - c), 6) AS overlap FROM p WHERE c >= 0.12 * (an + bn - c)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS rank FROM o)
+    SELECT id, other, overlap, rank FROM r WHERE rank <= 2""")
 def benchmark_related_sources(spark, sf):
-    return bm.related_sources(candidates(spark, sf), 2, 0.3).groupBy("rank", "overlap").agg(
-        F.count("*").alias("n"))
+    return bm.related_sources(candidates(spark, sf)).select("id", "other", "overlap", "rank")
 
 
 @query("benchmark_unique_questions", r"""
@@ -592,7 +600,23 @@ def benchmark_verify_quotes(spark, sf):
     return bm.verify_quotes(sources, documents_corpus(spark, sf))
 
 
-@query("benchmark_quality_caps")
+@query("benchmark_quality_caps", """
+    WITH RECURSIVE c AS (
+        SELECT o_orderkey AS ord, o_orderpriority AS question,
+               CASE WHEN o_orderkey % 5 = 0 THEN 'call the hotline' ELSE 'x' END AS gold_answer,
+               CASE WHEN o_orderstatus = 'P' THEN 'provider_list' ELSE 'claim' END AS task_type,
+               CASE WHEN o_orderkey % 3 = 0 THEN 'low' ELSE 'high' END AS risk_level,
+               CAST(o_orderstatus = 'P' AS INT) AS p, CAST(o_orderkey % 5 = 0 AS INT) AS h,
+               CAST(o_orderkey % 3 = 0 AS INT) AS l FROM orders),
+    f AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM c WHERE p + h + l > 0),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ord, 0 AS a, 0 AS b, 0 AS d, false AS ok
+        UNION ALL
+        SELECT n, ord, a + k * p, b + k * h, d + k * l, k = 1 FROM (
+            SELECT f.n, f.ord, a, b, d, p, h, l, CASE WHEN (p = 0 OR a < 15) AND (h = 0 OR b < 15)
+                   AND (l = 0 OR d < 45) THEN 1 ELSE 0 END AS k
+            FROM r JOIN f ON f.n = r.n + 1 WHERE a < 15 OR b < 15 OR d < 45))
+    SELECT ord, question, gold_answer, task_type, risk_level FROM c
+    WHERE p + h + l = 0 OR ord IN (SELECT ord FROM r WHERE ok)""")
 def benchmark_quality_caps(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("question"),

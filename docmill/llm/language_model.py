@@ -28,14 +28,16 @@ from docmill.llm.common import fold_of, utf8, written
 #: Words of the vocabulary, words of a class, size of embedding and state.
 VOCABULARY, CLASS_WORDS, SIZE = 4096, 64, 32
 #: Windows of so many tokens (in training and in scoring) over so many texts at once; tokens that a task buffers.
-WINDOW, SCORE_WINDOW, LANES, BUFFER = 32, 64, 192, 1 << 20
+WINDOW, SCORE_WINDOW, LANES, BUFFER = 32, 64, 256, 1 << 22
+#: Training cuts longer texts into sequences of so many tokens; scoring never does.
+SEQUENCE = 512
 #: Rounds, one in how many training documents a round takes, the step size, and the least tokens of a step.
 ROUNDS, ROUND_SHARE, STEP, STEP_TOKENS = 3, 16, 8e-3, 4096
 #: A word with a greater share of the tokens than one in so many is known to every task;
 #: so at most this many words are broadcast.
 COMMON = 1 << 20
 #: Distinct words a task counts before it hands them on.
-COUNTED = 1 << 18
+COUNTED = 1 << 19
 OTHER, END = 0, 1  # the first two tokens; the end token also precedes a text
 END_WORD = b""
 CHUNK = 1 << 10
@@ -236,7 +238,7 @@ class Adam:
 def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = WINDOW):
     """(inputs, targets, text of each token or -1, fresh) of successive windows.
 
-    Texts (arrays of token ids that end with END) are dealt to lanes, longest first to
+    Texts (arrays of token ids) are dealt to lanes, longest first to
     the shortest lane; a lane runs through its texts one after the other, so a text's
     windows follow each other and its state is carried.
     """
@@ -318,8 +320,9 @@ def _trained(given, weights, round_: int):
 
         for batch in batches:
             for text in utf8(batch.column("text")):
-                held.append(_ids(words_of(text), number))
-                size += len(held[-1])
+                ids = _ids(words_of(text), number)
+                held += [ids[i:i + SEQUENCE] for i in range(0, len(ids), SEQUENCE)]
+                size += len(ids)
                 if size >= BUFFER:
                     fit_held()
                     held, size = [], 0
@@ -374,7 +377,11 @@ def score_texts(docs: DataFrame, fold: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know = given.value
         net = Gated(unflat(weights.value.copy(), len(know.number) + 2))
-        logs = {w: float(np.log10(c + 0.5)) for w, c in know.counts.items()}
+        # common words by place: the vocabulary first, with its token ids, then the others
+        place = dict(zip([*know.number, *(w for w in know.counts if w not in know.number)], range(len(know.counts)), strict=True))
+        logs = np.log10(np.array([*(know.counts[w] for w in place), 0]) + 0.5)  # the last is for rare words, which are added later
+        logs[-1] = 0.0
+        inside = len(know.number)
         end = float(np.log10(know.end + 0.5))
         held, out, size = [], [], 0
 
@@ -389,12 +396,12 @@ def score_texts(docs: DataFrame, fold: int = 1) -> DataFrame:
             for doc, held_out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
                                            utf8(batch.column("text")), strict=True):
                 words = words_of(text)
-                ids = _ids(words, know.number)
-                known = [logs.get(w) for w in words]
-                rare = [w for w, x in zip(words, known, strict=True) if x is None]
-                inside = sum(logs[w] for w, i in zip(words, ids.tolist(), strict=False) if i != OTHER)
-                common = sum(x for x in known if x is not None)
-                out.append((doc, held_out, len(ids), int((ids == OTHER).sum()), len(words) - len(rare), common + end, common - inside, rare))
+                at = np.array([place.get(w, -1) for w in words], np.int64)
+                ids = np.append(np.where((at >= 0) & (at < inside), at + 2, OTHER), END).astype(np.int32)
+                rare = [words[i] for i in np.flatnonzero(at < 0)]
+                own = logs[at]
+                out.append((doc, held_out, len(ids), int((ids == OTHER).sum()), len(words) - len(rare), float(own.sum()) + end,
+                            float(own[at >= inside].sum()), rare))
                 held.append(ids)
                 size += len(ids)
                 if size >= BUFFER:

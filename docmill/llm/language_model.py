@@ -28,11 +28,11 @@ from docmill.llm.common import fold_of, utf8, written
 #: Words of the vocabulary, words of a class, size of embedding and state.
 VOCABULARY, CLASS_WORDS, SIZE = 4096, 64, 32
 #: Windows of so many tokens (in training and in scoring) over so many texts at once; tokens that a task buffers.
-WINDOW, SCORE_WINDOW, LANES, BUFFER = 32, 64, 256, 1 << 22
+WINDOW, SCORE_WINDOW, TRAIN_LANES, LANES, BUFFER = 32, 64, 64, 256, 1 << 22
 #: Training cuts longer texts into sequences of so many tokens; scoring never does.
 SEQUENCE = 512
 #: Rounds, one in how many training documents a round takes, the step size, and the least tokens of a step.
-ROUNDS, ROUND_SHARE, STEP, STEP_TOKENS = 3, 16, 8e-3, 4096
+ROUNDS, ROUND_SHARE, STEP, STEP_TOKENS = 3, 16, 8e-3, 1024
 #: A word with a greater share of the tokens than one in so many is known to every task;
 #: so at most this many words are broadcast.
 COMMON = 1 << 20
@@ -312,8 +312,8 @@ def _trained(given, weights, round_: int):
 
         def fit_held():
             nonlocal seen
-            state = np.zeros((max(1, min(LANES, len(held))), SIZE), np.float32)
-            for inputs, targets, owner, fresh in windows(held):
+            state = np.zeros((max(1, min(TRAIN_LANES, len(held))), SIZE), np.float32)
+            for inputs, targets, owner, fresh in windows(held, TRAIN_LANES):
                 grad, state, n = net.gradients(inputs, targets, owner >= 0, fresh, state[:inputs.shape[1]])
                 adam.add(grad, n)
                 seen += n

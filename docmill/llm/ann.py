@@ -26,7 +26,7 @@ SAMPLE, LIST_SIZE, MOST_LISTS = 1 << 15, 256, 1 << 12
 #: (one file suffices for it to be found; further ones serve recall).
 FILE_RATIO, FILES = 1.03, 2
 #: A query reads lists within this ratio.
-READ_RATIO = 1.11
+READ_RATIO = 1.14
 #: Neighbours in the centroid graph, entry points, and candidates a search keeps open.
 DEGREE, ENTRIES, BEAM = 24, 32, 12
 #: Rows and queries of a slice; vectors handled at a time.

@@ -29,7 +29,7 @@ from docmill.llm.common import fresh, packed, utf8
 
 WINDOW = 50
 #: Text bytes whose windows meet in one bucket, words buffered by a task, and word hashes a task remembers.
-BUCKET_BYTES, BUFFER_WORDS, CACHE_SIZE = 4 << 20, 1 << 20, 1 << 19
+BUCKET_BYTES, BUFFER_WORDS, CACHE_SIZE = 4 << 20, 1 << 19, 1 << 18
 #: One in so many documents is looked at for hot anchors; those seen so often are dealt by window.
 SAMPLE, HOT_SEEN, MOST_HOT = 64, 50, 1 << 14
 #: Base of the rolling hash; 3 modulo 8 keeps as many low bits as an odd base can.

@@ -131,8 +131,7 @@ def test_interleave_and_related_sources(spark):
              for i in range(60)] + [(f"s{i % 3}.md", 100 + i, "token00 token01 token02")
                                     for i in range(12)]
     df = spark.createDataFrame(lines, "source_path STRING, line_start INT, quote STRING")
-    ids = {r.source_path + str(r.line_start): r.i for r in df.select(
-        "*", F.xxhash64("source_path", "line_start").alias("i")).collect()}
+    ids = {path + str(line): f"{path}#{line:06d}" for path, line, _ in lines}
 
     def overlap(a, b):
         x, y = set(a[2].split()), set(b[2].split())

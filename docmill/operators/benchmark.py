@@ -256,3 +256,82 @@ def sampled_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = cases.select("ord", F.posexplode("required_chunk_ids").alias("i", "chunk_id"))
     first = asked.groupBy("chunk_id").agg(F.min(F.struct("ord", "i")).alias("first_asked"))
     return chunks.join(first, "chunk_id").select(*chunks.columns, F.col("first_asked.ord").alias("first_ord"))
+
+
+def evidence_items(value: Column) -> Column:
+    """array<struct<chunk_id, quote>> from a JSON list of quote texts or of objects.
+
+    An object's quote may be named ``quote`` or ``evidence_quote``; items without a quote
+    drop out; a value that is no list has no items.
+    """
+    texts = F.from_json(value, "array<string>")
+
+    def item(t: Column) -> Column:
+        parsed = F.from_json(t, "chunk_id STRING, quote STRING, evidence_quote STRING")
+        given = F.when(F.coalesce(parsed["quote"], F.lit("")) != "", parsed["quote"]).otherwise(
+            parsed["evidence_quote"])
+        is_object = t.startswith("{")
+        return F.struct(
+            F.when(is_object, tx.strip(F.coalesce(parsed["chunk_id"], F.lit("")))).otherwise("")
+            .alias("chunk_id"),
+            F.when(is_object, tx.strip(F.coalesce(given, F.lit("")))).otherwise(t).alias("quote"))
+    items = F.transform(F.when(value.startswith("["), texts), item)
+    return F.coalesce(F.filter(items, lambda i: i["quote"] != ""),
+                      F.array().cast("array<struct<chunk_id:string,quote:string>>"))
+
+
+def verify_cases(cases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, error): everything that keeps a case from being accepted.
+
+    ``cases``: case_id, question, gold_answer, context_count, required_chunk_ids, needs_table,
+    sources array<struct<chunk_id, source_path, contains_table, evidence_quote, line_start,
+    line_end>>.  Only the lines that quotes point to are taken from the documents.
+    """
+    size = F.size(F.coalesce("sources", F.array().cast(cases.schema["sources"].dataType)))
+    ids = F.filter(F.transform("sources", lambda s: s["chunk_id"]), lambda c: c != "")
+    asked = F.array_distinct("required_chunk_ids")
+    own = F.array_compact(F.array(
+        F.when(tx.strip(F.coalesce("question", F.lit(""))) == "", "empty_question"),
+        F.when(tx.strip(F.coalesce("gold_answer", F.lit(""))) == "", "empty_gold_answer"),
+        F.when(size <= 0, "missing_sources"),
+        F.when((size > 0) & (size != F.col("context_count")), "context_count"),
+        F.when((size > 0) & (F.size(asked) > 0) & (F.array_sort(F.array_distinct(ids)) != F.array_sort(asked)),
+               "chunk_ids"),
+        F.when((size > 0) & F.col("needs_table") & ~F.exists("sources", lambda s: F.coalesce(
+            s["contains_table"], F.lit(False))), "no_table_source")))
+    general = cases.select("case_id", F.explode(own).alias("error"))
+    counts = docs.select("source_path", F.size(lines(F.col("text"))).alias("n"))
+    placed = cases.select("case_id", F.posexplode("sources").alias("i", "s")).select(
+        "case_id", "i", "s.source_path", "s.line_start", "s.line_end",
+        tx.collapse_ws(F.coalesce("s.evidence_quote", F.lit(""))).alias("quote")) \
+        .join(counts, "source_path", "left")
+    no_path = F.coalesce("source_path", F.lit("")) == ""
+    valid = (F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")) \
+        & (F.col("line_end") <= F.col("n"))
+    checked = placed.withColumn("error", ps.first_match([
+        (no_path, "missing_source_path"), (F.col("n").isNull(), "unknown_source_path"),
+        (F.col("quote") == "", "empty_quote"),
+        (~F.coalesce(valid, F.lit(False)), "invalid_line_range")]))
+    wanted = checked.filter("error IS NULL").select(
+        "case_id", "i", "quote", "source_path",
+        F.explode(F.sequence("line_start", "line_end")).alias("line_no"))
+    numbered = docs.select("source_path", F.posexplode(lines(F.col("text"))).alias("p", "line")) \
+        .select("source_path", (F.col("p") + 1).alias("line_no"), "line")
+    spans = wanted.join(numbered, ["source_path", "line_no"]).groupBy("case_id", "i", "quote").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    span = tx.collapse_ws(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    lost = spans.filter(~span.contains(F.col("quote"))).select(
+        "case_id", F.lit("quote_not_found").alias("error"))
+    return general.unionByName(checked.filter("error IS NOT NULL").select("case_id", "error")) \
+        .unionByName(lost)
+
+
+def distribution_errors(cases: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(case_type, expected, found) of every type whose count differs from the plan."""
+    spark = cases.sparkSession
+    plan = spark.createDataFrame(list(expected.items()), "case_type STRING, expected BIGINT")
+    found = case_type_counts(cases).select("case_type", F.col("cases").alias("found"))
+    both = plan.join(found, "case_type", "full").select(
+        "case_type", F.coalesce("expected", F.lit(0)).alias("expected"),
+        F.coalesce("found", F.lit(0)).alias("found"))
+    return both.filter("expected <> found")

@@ -311,6 +311,17 @@ def overall_score(retrieval: Column, quality: Column) -> Column:
     return 0.78 * retrieval + 0.22 * quality
 
 
+def rank_methods(retrieval: DataFrame, quality: DataFrame) -> DataFrame:
+    """Methods by overall score: (method, retrieval_score, quality_score, overall_score, place)."""
+    from docmill.operators.numbering import ranked
+
+    both = retrieval.select("method", "retrieval_score").join(
+        quality.select("method", "quality_score"), "method")
+    scored = both.withColumn("overall_score", F.round(overall_score(
+        F.col("retrieval_score"), F.col("quality_score")), 6)).withColumn("_o", -F.col("overall_score"))
+    return ranked(scored, [], ["_o", "method"], "place").drop("_o")
+
+
 # --- chunk shape -----------------------------------------------------------------------------------------
 
 def chunk_statistics(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
@@ -302,6 +302,23 @@ def compact_properties(contract: DataFrame) -> DataFrame:
         F.min(F.struct("position", "i")).alias("at")).orderBy("at").select("name")
 
 
+def property_definitions(contract: DataFrame) -> DataFrame:
+    """(label, name, description): each label's properties, the first of a name wins.
+
+    ``contract``: position, label, properties array<struct<name, description>>.
+    """
+    rows = contract.select("label", "position", F.posexplode("properties").alias("i", "p"))
+    return rows.groupBy("label", F.col("p.name").alias("name")).agg(
+        F.min_by("p.description", F.struct("position", "i")).alias("description"))
+
+
+def contract_column(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The non-blank trimmed values of one named column of a contract CSV."""
+    value = tx.strip(F.col(column))
+    return spark.read.option("header", True).csv(path).select(value.alias(column)) \
+        .filter(F.col(column) != "")
+
+
 def pending_chunks(chunks: DataFrame, log: DataFrame) -> DataFrame:
     """Chunks without a successful latest record in the append-only log."""
     from docmill.operators.evaluation import latest_per_key

@@ -462,6 +462,101 @@ def benchmark_sampled_chunks(spark, sf):
     return bm.sampled_chunks(cases, chunks)
 
 
+@query("benchmark_verify_cases", """
+    WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT doc_id AS case_id, 'empty_question' AS error FROM c WHERE doc_id % 11 = 0
+    UNION ALL SELECT doc_id, 'empty_gold_answer' FROM c WHERE doc_id % 13 = 0
+    UNION ALL SELECT doc_id, 'missing_sources' FROM c WHERE doc_id % 29 = 0
+    UNION ALL SELECT doc_id, 'context_count' FROM c WHERE doc_id % 29 > 0 AND doc_id % 7 = 0
+    UNION ALL SELECT doc_id, 'chunk_ids' FROM c WHERE doc_id % 29 > 0 AND doc_id % 9 = 0
+    UNION ALL SELECT doc_id, 'no_table_source' FROM c WHERE doc_id % 29 > 0 AND doc_id % 4 = 1
+    UNION ALL SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'missing_source_path'
+             WHEN doc_id % 19 = 0 THEN 'unknown_source_path' WHEN doc_id % 23 = 0 THEN 'empty_quote'
+             WHEN 1 + doc_id % 2 > n THEN 'invalid_line_range' ELSE 'quote_not_found' END
+    FROM c WHERE doc_id % 29 > 0 AND (doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0
+                 OR 1 + doc_id % 2 > n OR doc_id % 5 = 0)""")
+def benchmark_verify_cases(spark, sf):
+    """Every document as a case whose fields break the rules by turns."""
+    d = F.col("doc_id")
+    first = F.element_at(F.split("text", "\n"), 1)
+    path = F.when(d % 17 == 0, "").when(d % 19 == 0, "nowhere.md").otherwise(d.cast("string"))
+    quote = F.when(d % 23 == 0, " ").when(d % 5 == 0, F.concat(first, F.lit("!"))).otherwise(first)
+    source = F.struct(
+        F.when(d % 9 == 0, "other").otherwise("c1").alias("chunk_id"), path.alias("source_path"),
+        (d % 4 == 3).alias("contains_table"), quote.alias("evidence_quote"),
+        F.lit(1).alias("line_start"), (1 + d % 2).cast("int").alias("line_end"))
+    rows = table(spark, sf, "documents")
+    cases = rows.select(
+        d.alias("case_id"), F.when(d % 11 == 0, " ").otherwise("q").alias("question"),
+        F.when(d % 13 > 0, "a").alias("gold_answer"),
+        F.when(d % 7 == 0, 2).otherwise(1).alias("context_count"),
+        F.array(F.lit("c1")).alias("required_chunk_ids"), (d % 2 == 1).alias("needs_table"),
+        F.when(d % 29 > 0, F.array(source)).alias("sources"))
+    return bm.verify_cases(cases, rows.select(d.cast("string").alias("source_path"), "text"))
+
+
+@query("benchmark_distribution_errors", """
+    SELECT t AS case_type, CASE t WHEN 'single_context' THEN 5 ELSE 0 END AS expected, count(*) AS found
+    FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'single_context' WHEN 1 THEN 'table_context'
+                 ELSE 'other' END AS t FROM orders) GROUP BY t
+    UNION ALL SELECT 'three_context', 2, 0""")
+def benchmark_distribution_errors(spark, sf):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "single_context").when(
+        F.col("o_orderkey") % 3 == 1, "table_context").otherwise("other")
+    return bm.distribution_errors(table(spark, sf, "orders").select(kind.alias("case_type")),
+                                  {"single_context": 5, "two_context": 0, "three_context": 2})
+
+
+@query("benchmark_evidence_items", """
+    SELECT p_partkey, 0 AS i, '' AS chunk_id, p_name AS quote FROM part WHERE p_partkey % 3 < 2
+    UNION ALL SELECT p_partkey, 1, 'c' || p_partkey, p_type FROM part WHERE p_partkey % 3 < 2""")
+def benchmark_evidence_items(spark, sf):
+    def named(key):
+        return F.to_json(F.struct(F.concat(F.lit(" c"), F.col("p_partkey").cast("string")).alias("chunk_id"),
+                                  F.col("p_type").alias(key)))
+    odd = F.col("p_partkey") % 2 == 0
+    listed = F.concat(F.lit("["), F.to_json(F.struct(F.col("p_name").alias("x"))), F.lit("]"))
+    text = F.concat(F.lit('["'), F.col("p_name"), F.lit('",'),
+                    F.when(odd, named("quote")).otherwise(named("evidence_quote")), F.lit(', {"chunk_id":"z"}, ""]'))
+    value = F.when(F.col("p_partkey") % 3 < 2, text).otherwise(F.substring(listed, 2, 1 << 10))
+    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(bm.evidence_items(value)).alias("i", "e"))
+    return rows.select("p_partkey", "i", "e.chunk_id", "e.quote")
+
+
+@query("graph_contract_columns", """
+    SELECT trim(p_brand) AS node_type, count(*) AS n FROM part WHERE p_partkey % 3 > 0 GROUP BY 1""")
+def graph_contract_columns(spark, sf):
+    path = scratch_path(spark, "contract")
+    files.write_csv(table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_brand"))
+        .alias("node_type"), "p_partkey"), path)
+    return gr.contract_column(spark, path, "node_type").groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@query("graph_property_definitions", """
+    WITH r AS (SELECT p_brand AS label, p_type AS name, p_name AS description, p_partkey AS k, 0 AS i FROM part
+               UNION ALL SELECT p_brand, 'fixed', CAST(p_partkey AS VARCHAR), p_partkey, 1 FROM part)
+    SELECT label, name, arg_min(description, k * 2 + i) AS description FROM r GROUP BY label, name""")
+def graph_property_definitions(spark, sf):
+    def one(name, text):
+        return F.struct(name.alias("name"), text.alias("description"))
+    return gr.property_definitions(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("position"), F.col("p_brand").alias("label"), F.array(
+            one(F.col("p_type"), F.col("p_name")),
+            one(F.lit("fixed"), F.col("p_partkey").cast("string"))).alias("properties")))
+
+
+@query("chunker_ranking", """
+    WITH s AS (SELECT event_type AS method, round(avg(value), 6) AS r, round(max(value), 6) AS q
+               FROM events GROUP BY 1),
+    o AS (SELECT method, r AS retrieval_score, q AS quality_score, round(0.78 * r + 0.22 * q, 6) AS overall_score FROM s)
+    SELECT *, row_number() OVER (ORDER BY overall_score DESC, method) - 1 AS place FROM o""")
+def chunker_ranking(spark, sf):
+    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("method")).agg(
+        F.round(F.avg("value"), 6).alias("retrieval_score"), F.round(F.max("value"), 6).alias("quality_score"))
+    return ev.rank_methods(rows, rows)
+
+
 @query("etl_pairs", """
     SELECT CAST(doc_id AS VARCHAR) AS stem, 'img/' || doc_id || '.png' AS image,
            'json/' || doc_id || '.json' AS json FROM documents WHERE doc_id % 5 > 0""")

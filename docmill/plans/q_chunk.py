@@ -148,8 +148,8 @@ def discovery_sections(spark, sf):
     return rs.discovery_packs(docs(spark, sf), 12000, 200).drop("text")
 
 
-def shaped(name, build, corpus):
-    @query(name)
+def shaped(name, build, corpus, sql=None):
+    @query(name, sql)
     def run(spark, sf):
         return digest(build(corpus(spark, sf)))
 
@@ -182,13 +182,76 @@ for _name, _build in rs.METHODS.items():
     if _name not in ("fixed", "markdown", "regex"):
         shaped(f"method_{_name}", _build, pages if "markdown" in _name or _name == "regex"
                else docs)
-for _name in ("adaptive_semantic_density", "late_context", "context_blocks",
-              "evidence_spans", "with_nearest_heading", "typed_sections",
-              "protected_structures", "paragraph_packs"):
-    shaped(f"chunk_{_name}", getattr(rs, _name), pages)
+# Packs as a walk over the parts of all documents at once: the state is a pack's number and size.
+PACKED = {
+    "sentence_packs": r"""
+    WITH RECURSIVE s AS (
+        SELECT doc_id, s, length(s) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
+        FROM (SELECT doc_id, unnest(parts) AS s, unnest(range(1, len(parts) + 1)) AS i FROM (
+                SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))
+                       AS parts FROM documents)) WHERE s <> ''),
+    w AS (SELECT doc_id, i, n AS size, 0 AS pack FROM s WHERE i = 1
+          UNION ALL
+          SELECT s.doc_id, s.i, CASE WHEN size + n > 500 THEN n ELSE size + n END,
+                 pack + CAST(size + n > 500 AS INT) FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+    t AS (SELECT doc_id, pack, string_agg(s, ' ' ORDER BY i) AS t FROM w JOIN s USING (doc_id, i) GROUP BY ALL)
+    SELECT doc_id, pack AS chunk_index, length(t) AS n_chars, md5(t) AS text_md5 FROM t""",
+    "paragraph_packs": f"""
+    WITH RECURSIVE {PAGES_CTE}, s AS (
+        SELECT page_id AS doc_id, p, length(p) AS n, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i
+        FROM (SELECT page_id, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM (
+                SELECT page_id, string_split(text, chr(10) || chr(10)) AS parts FROM pages_md))
+        WHERE trim(p, chr(10) || chr(13) || chr(9) || ' ') <> ''),
+    w AS (SELECT doc_id, i, n + 2 AS size, 0 AS pack FROM s WHERE i = 1
+          UNION ALL
+          SELECT s.doc_id, s.i, CASE WHEN size + n >= 500 THEN n + 2 ELSE size + n + 2 END,
+                 pack + CAST(size + n >= 500 AS INT) FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+    t AS (SELECT doc_id, pack, trim(string_agg(p, chr(10) || chr(10) ORDER BY i), chr(10) || chr(13) || chr(9) || ' ')
+                 AS t FROM w JOIN s USING (doc_id, i) GROUP BY ALL),
+    c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS packs FROM t),
+    g AS (SELECT doc_id, CASE WHEN packs > 20 THEN pack // (packs // 20 + 1) ELSE pack END AS chunk_index,
+                 string_agg(t, chr(10) || chr(10) ORDER BY pack) AS t FROM c GROUP BY ALL),
+    k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+                 regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS words FROM g)
+    SELECT doc_id, chunk_index, total_chunks, length(t) AS chunk_size,
+           CAST(round(CAST(chunk_index / total_chunks AS DECIMAL(18, 10)), 2) AS DOUBLE) AS document_position,
+           len(words) AS word_count, len(list_distinct(words)) AS unique_words,
+           CAST(round(CAST(len(list_distinct(words)) / greatest(1, len(words)) AS DECIMAL(18, 10)), 2) AS DOUBLE)
+             AS word_density, length(t) AS n_chars, md5(t) AS text_md5 FROM k""",
+    "context_blocks": f"""
+    WITH RECURSIVE {PAGES_CTE}, l AS (
+        SELECT page_id AS doc_id, i, ls[i] AS line, len(ls) AS last,
+               len(regexp_extract_all(ls[i], '[^ \\t\\n\\r]+')) AS n,
+               length(ls[i]) - length(replace(ls[i], '|', '')) >= 2 AS pipes,
+               regexp_matches(ls[i], '^\\s*\\|?\\s*:?-{{3,}}:?\\s*(\\|\\s*:?-{{3,}}:?\\s*)+\\|?\\s*$') AS ruler
+        FROM (SELECT page_id, string_split(text, chr(10)) AS ls FROM pages_md), unnest(range(1, len(ls) + 1)) AS u(i)),
+    f AS (SELECT *, pipes OR ruler AS tab, coalesce(lead(ruler) OVER (PARTITION BY doc_id ORDER BY i), false) AS under FROM l),
+    e AS (SELECT *, tab OR coalesce(lead(tab) OVER (PARTITION BY doc_id ORDER BY i), false) AS beside FROM f),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS size, 0 AS block, false AS closed
+          FROM l WHERE i = 1
+          UNION ALL
+          SELECT e.doc_id, e.i, CASE WHEN closed THEN 0 ELSE size END + n, block + CAST(closed AS INT),
+                 CASE WHEN closed THEN 0 ELSE size END + n >= 1500 AND NOT beside
+          FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1),
+    b AS (SELECT w.doc_id, block, i, line, n, sum(n) OVER (PARTITION BY w.doc_id, block) AS words,
+                 max(block) OVER (PARTITION BY w.doc_id) AS tail FROM w JOIN l USING (doc_id, i)),
+    m AS (SELECT *, CASE WHEN block = tail AND block > 0 AND words < 80 THEN block - 1 ELSE block END AS home FROM b),
+    x AS (SELECT doc_id, home, min(i) FILTER (trim(line) <> '') AS a, max(i) FILTER (trim(line) <> '') AS z,
+                 sum(n) AS token_count FROM m GROUP BY ALL),
+    t AS (SELECT x.doc_id, home, a, z, token_count, string_agg(line, chr(10) ORDER BY i) AS t,
+                 coalesce(bool_or(pipes AND under AND i < z), false) AS contains_table
+          FROM x JOIN f ON f.doc_id = x.doc_id AND i BETWEEN a AND z GROUP BY ALL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY home) - 1 AS chunk_index, a AS start_line,
+           z AS end_line, CAST(token_count AS BIGINT) AS token_count, contains_table, length(t) AS n_chars, md5(t) AS text_md5
+    FROM t""",
+}
+for _name in ("adaptive_semantic_density", "late_context", "evidence_spans", "with_nearest_heading",
+              "typed_sections", "protected_structures", "paragraph_packs"):
+    shaped(f"chunk_{_name}", getattr(rs, _name), pages, PACKED.get(_name))
+shaped("chunk_context_blocks", rs.context_blocks, pages, PACKED["context_blocks"])
 for _name in ("section_density", "code_segments", "context_windows", "fallback_recursive",
               "sentence_packs"):
-    shaped(f"chunk_{_name}", getattr(rs, _name), docs)
+    shaped(f"chunk_{_name}", getattr(rs, _name), docs, PACKED.get(_name))
 for _name in rs.CONTENT_SIZES:
     shaped(f"chunk_content_{_name}", lambda d, n=_name: rs.by_content_type(d, n), docs)
 shaped("plan_source_units", pl.source_units, pages)

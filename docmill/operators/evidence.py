@@ -86,8 +86,10 @@ def dedupe(evidence: DataFrame, order: str = "ord") -> DataFrame:
 
 def conflicts(evidence: DataFrame, order: str = "ord") -> DataFrame:
     """One row per further distinct content of a source id, beside the first one seen."""
+    # a message shows the first 50 characters: only they travel
     distinct = (evidence.groupBy("source_id", F.md5("content").alias("content_hash"))
-                .agg(F.min(order).alias("ord"), F.min_by("content", order).alias("content")))
+                .agg(F.min(order).alias("ord"),
+                     F.min_by(F.substring("content", 1, 50), order).alias("content")))
     first = distinct.groupBy("source_id").agg(
         F.min("ord").alias("first_ord"), F.min_by("content", "ord").alias("existing"))
     rows = distinct.join(first, "source_id").filter(F.col("ord") > F.col("first_ord"))

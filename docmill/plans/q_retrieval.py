@@ -242,7 +242,34 @@ def tfidf_top5(spark, sf):
     return rt.tfidf_topk(questions(spark, sf), corpus(spark, sf), 5)
 
 
-@query("case_rank_metrics")
+NORM = r"trim(regexp_replace(replace(lower(nfc_normalize({c})), '**', ' '), '\s+', ' ', 'g'))"
+
+
+@query("case_rank_metrics", BM25 + f""",
+    r AS (SELECT query_id, rank, source, {NORM.format(c='d.text')} AS t FROM b JOIN d USING (chunk_id) WHERE rank <= 10),
+    q AS (SELECT item_id AS case_id, {NORM.format(c='text')} AS quote, list_filter(string_split(
+            regexp_replace(text, '\\.\\s+', '.' || chr(1), 'g'), chr(1)), lambda p: length(p) > 3) AS raw FROM benchmark),
+    x AS (SELECT *, list_filter(list_transform(raw, lambda p: {NORM.format(c='p')}), lambda p: p <> '') AS ps FROM q),
+    g AS (SELECT case_id, quote, raw, ps,
+            min(rank) FILTER (r.source = (SELECT source FROM r f WHERE f.query_id = case_id AND f.rank = 1)) AS source_rank,
+            min(rank) FILTER (quote <> '' AND contains(t, quote)) AS quote_rank,
+            coalesce(string_agg(t, ' ' ORDER BY rank) FILTER (rank <= 5), '') AS top5,
+            coalesce(string_agg(t, ' ' ORDER BY rank), '') AS top10
+          FROM x LEFT JOIN r ON query_id = case_id GROUP BY ALL)
+    SELECT case_id, source_rank, quote_rank,
+           CASE WHEN source_rank <= 5 THEN 1.0 ELSE 0.0 END AS source_hit_at_5,
+           CASE WHEN source_rank <= 10 THEN 1.0 ELSE 0.0 END AS source_hit_at_10,
+           CASE WHEN source_rank <= 5 THEN 1.0 / source_rank ELSE 0.0 END AS mrr_at_5,
+           CASE WHEN source_rank <= 10 THEN 1.0 / source_rank ELSE 0.0 END AS mrr_at_10,
+           quote <> '' AS has_evidence_quote,
+           CASE WHEN quote <> '' THEN CASE WHEN quote_rank <= 5 THEN 1.0 ELSE 0.0 END END AS quote_hit_at_5,
+           CASE WHEN quote <> '' THEN CASE WHEN quote_rank <= 10 THEN 1.0 ELSE 0.0 END END AS quote_hit_at_10,
+           len(raw) AS expected_evidence_phrase_count,
+           CASE WHEN len(ps) = 0 THEN 0.0 ELSE len(list_filter(ps, lambda p: contains(top5, p))) / len(ps) END
+             AS evidence_phrase_recall_at_5,
+           CASE WHEN len(ps) = 0 THEN 0.0 ELSE len(list_filter(ps, lambda p: contains(top10, p))) / len(ps) END
+             AS evidence_phrase_recall_at_10
+    FROM g""")
 def case_rank_metrics(spark, sf):
     """Benchmark items score the document search: a hit holds the item's own text."""
     asked = questions(spark, sf)

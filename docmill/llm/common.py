@@ -23,6 +23,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made and nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import written
+from docmill.llm.common import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state, now = mark, written(_small_star(_large_star(now)), "cc")
+        before, state = now, mark
+        now = written(_small_star(_large_star(before)), "cc")
+        forget(before)

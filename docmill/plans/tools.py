@@ -42,6 +42,16 @@ def any_like(keyword: str, *columns: str) -> Column:
     return functools.reduce(Column.__or__, [like(F.col(c), keyword) for c in columns])
 
 
+def any_of(keywords: Sequence[str], *columns: str) -> Column:
+    """Does any column hold any keyword?  Texts are folded once for all plain keywords."""
+    plain = [k for k in keywords if not set(k) & set("%_\\")]
+    tests = [like(F.col(c), k) for k in keywords if k not in plain for c in columns]
+    if plain:
+        folded = "|".join(rf"\Q{k.strip().translate(str.maketrans(UPPER, LOWER))}\E" for k in plain)
+        tests += [F.translate(F.col(c), UPPER, LOWER).rlike(folded) for c in columns]
+    return functools.reduce(Column.__or__, tests)
+
+
 def ranked(df: DataFrame, keys: Sequence[str], output: Sequence[str], limit: int) -> DataFrame:
     """Sort by the documented keys, then by the output columns, and cut."""
     rest = [c for c in output if c not in keys]
@@ -448,8 +458,7 @@ def search_exclusions(db: Catalog, keyword=None, company_code=None, limit=50) ->
 
     def arm(table: str, kind: str, title: str, detail: str, extra: str,
             searched: Sequence[str]) -> DataFrame:
-        hit = functools.reduce(Column.__or__, [any_like(t, *searched) for t in terms])
-        rows = db[table].filter(hit).select(
+        rows = db[table].filter(any_of(terms, *searched)).select(
             F.lit(kind).alias("source_kind"), "source_table_id", "document_id",
             F.col(title).alias("title"), F.col(detail).alias("detail"),
             F.col(extra).alias("extra"))

@@ -83,6 +83,11 @@ def window_hashes(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
     return rolling(ids, window), sliding_least(rolling(ids, half), window - half + 1)
 
 
+def before(lengths: np.ndarray) -> np.ndarray:
+    """How much comes before each of the parts."""
+    return np.cumsum(lengths) - lengths
+
+
 def _bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchors * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(buckets)
 
@@ -122,7 +127,7 @@ def _emit(rids: np.ndarray, docs: np.ndarray, row: np.ndarray, start: np.ndarray
     out: list[tuple] = []
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
         f, n, open_ = first[lo:hi], length[lo:hi], ~done[lo:hi]
-        at = np.repeat(f[open_] - np.append(0, np.cumsum(n[open_])[:-1]), n[open_]) + np.arange(int(n[open_].sum()))
+        at = np.repeat(f[open_] - before(n[open_]), n[open_]) + np.arange(int(n[open_].sum()))
         small = np.ascontiguousarray((hashes[at] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
         out.append((int(bucket[lo]), *(x.tobytes() for x in (
             rids[row[f]], docs[row[f]], start[f].astype(np.int32), n.astype(np.int32), anchors[f[open_]], small))))
@@ -188,7 +193,7 @@ def _settle(table: pa.Table) -> pa.Table:
     # in each packed row the settled runs come first, then those with anchors
     n_runs = np.array([len(b) // 8 for b in table.column("rows").to_pylist()])
     n_open = np.array([len(b) // 8 for b in table.column("anchors").to_pylist()])
-    place = np.arange(len(rows)) - np.repeat(np.append(0, np.cumsum(n_runs)[:-1]), n_runs)
+    place = np.arange(len(rows)) - np.repeat(before(n_runs), n_runs)
     is_open = place >= np.repeat(n_runs - n_open, n_runs)
     out = [(rows[~is_open], docs[~is_open], starts[~is_open], lengths[~is_open])]
     rows, docs, starts, lengths = rows[is_open], docs[is_open], starts[is_open], lengths[is_open]
@@ -202,7 +207,7 @@ def _settle(table: pa.Table) -> pa.Table:
         hashes[:, :6] = raw[windows]
         h = hashes.view("<u8").ravel()
         run = np.repeat(np.flatnonzero(shared), lengths[shared])
-        offset = np.arange(len(run)) - np.repeat(np.append(0, np.cumsum(lengths[shared])[:-1]), lengths[shared])
+        offset = np.arange(len(run)) - np.repeat(before(lengths[shared]), lengths[shared])
         order = np.lexsort((docs[run], h, at[run]))
         run, offset, h = run[order], offset[order], h[order]
         head = np.ones(len(run), bool)

@@ -93,3 +93,9 @@ def test_removal_keeps_rows_and_columns(awkward, nothing):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[2] == "" and texts[4] is None and texts[6] == "   \n\t " and texts[3].startswith("w") is False
     assert S.digest(nothing).count() == 0 and S.remove(nothing).count() == 0
+
+
+@pytest.mark.parametrize("texts", [[" ".join(words(300, 1))], [" ".join(words(60, i)) for i in range(3)], ["a b"] * 3, [None]])
+def test_nothing_to_find(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["x"] * 9) for i, t in enumerate(texts)], DOCS)
+    assert found(docs) == plain(docs.collect())

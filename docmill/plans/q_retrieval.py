@@ -102,6 +102,17 @@ def bm25_top10(spark, sf):
     return rt.bm25_topk(questions(spark, sf), corpus(spark, sf), 10)
 
 
+# The document-frequency factor inside the statement above.
+IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+
+
+@query("bm25_without_idf_top10", BM25.replace(IDF, "1.0")
+       + " SELECT query_id, chunk_id, score, rank FROM b WHERE rank <= 10")
+def bm25_without_idf_top10(spark, sf):
+    """The collection's own form: term weights without a document-frequency modifier."""
+    return rt.bm25_topk(questions(spark, sf), corpus(spark, sf), 10, use_idf=False)
+
+
 STOP = ", ".join(f"'{w}'" for w in em.SEARCH_STOPWORDS)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,6 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch."""
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-    return df.mapInArrow(run, schema)
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5 (null counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -304,7 +304,7 @@ class Knowledge:
         self.end = end
 
 
-def _trained(given, weights, round_: int):
+def _trained(given, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = given.value.number, 0
         net = Gated(unflat(weights.value.copy(), len(number) + 2))
@@ -349,7 +349,7 @@ def train(training: DataFrame, knowledge: Knowledge, given) -> np.ndarray:
     turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUND_SHARE))
     for round_ in range(ROUNDS):
         rows = (training.filter(turn == round_).select("text")
-                .mapInArrow(_trained(given, spark.sparkContext.broadcast(values), round_), "chunk int, seen long, part binary")
+                .mapInArrow(_trained(given, spark.sparkContext.broadcast(values)), "chunk int, seen long, part binary")
                 .groupBy("chunk").applyInArrow(_averaged, "chunk int, part binary").collect())  # the size of the model
         if rows:
             values = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(rows, key=lambda r: r.chunk)])

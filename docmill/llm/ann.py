@@ -4,7 +4,8 @@ Balanced bisection of a bounded sample gives the centroids; a neighbour graph ov
 is searched in memory.  A vector is filed under its nearest centroid and under every
 other one nearly as near, so that vectors at a boundary are found from either side.  A
 query reads the lists whose centroids lie within a ratio of the nearest one's distance;
-distances are then exact.  Lists and queries meet in Spark by list; long lists and
+the ratio is measured in every run, on a bounded set of queries whose neighbours are
+found exactly.  Distances are then exact.  Lists and queries meet in Spark by list; long lists and
 lists that many queries read are cut into slices.
 """
 
@@ -25,8 +26,9 @@ SAMPLE, LIST_SIZE, MOST_LISTS = 1 << 15, 256, 1 << 12
 #: A vector is filed under centroids within this ratio of its nearest one, so many at most
 #: (one file suffices for it to be found; further ones serve recall).
 FILE_RATIO, FILES = 1.03, 2
-#: A query reads lists within this ratio.
-READ_RATIO = 1.14
+#: A query reads lists within this ratio at least, or within the one at which so many
+#: queries have found this share of their neighbours.
+READ_RATIO, PROBES, PROBE_RECALL = 1.14, 128, 0.97
 #: Neighbours in the centroid graph, entry points, and candidates a search keeps open.
 DEGREE, ENTRIES, BEAM = 24, 32, 12
 #: Rows and queries of a slice; vectors handled at a time.
@@ -177,13 +179,64 @@ def _nearest(k: int):
     return run
 
 
+def _exact(probes, k: int):
+    """Arrow function (id, vec) -> (probe, id, score): the k nearest of a task's rows to each probe."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = probes.value
+        near = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                ids, rows = batch.column("id").to_numpy(), _matrix(batch.column("vec")).astype(np.float64)
+                scores = (rows ** 2).sum(1)[:, None] - 2 * rows @ asked.T + (asked ** 2).sum(1)
+                for p, (held, best) in enumerate(near):
+                    edge = best[-1] if len(best) == k else np.inf
+                    other = np.flatnonzero((ids != own[p]) & (scores[:, p] <= edge))
+                    all_ids, score = np.append(held, ids[other]), np.append(best, scores[other, p])
+                    order = np.lexsort((all_ids, score))
+                    # rows that repeat an id count once
+                    firsts = np.sort(np.unique(all_ids[order], return_index=True)[1])[:k]
+                    near[p] = all_ids[order][firsts], score[order][firsts]
+        found = np.concatenate([ids for ids, _ in near])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(own, [len(ids) for ids, _ in near])), pa.array(found), pa.array(np.concatenate([s for _, s in near]))],
+            ["probe", "id", "score"])
+    return run
+
+
+def measured_ratio(rows: DataFrame, base: DataFrame, centroids: Centroids, every: int, k: int) -> float:
+    """The least ratio, of ``READ_RATIO`` or more, at which ``PROBE_RECALL`` of the true neighbours
+    of at most ``PROBES`` queries lie in lists that are read."""
+    spark = rows.sparkSession
+    probes = (rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(PROBES)
+              .toArrow().combine_chunks())
+    if not probes.num_rows:
+        return READ_RATIO
+    own, asked = probes.column("id").to_numpy(), _matrix(probes.column("vec").combine_chunks()).astype(np.float64)
+    nearest = Window.partitionBy("probe").orderBy("score", "id")
+    true = (rows.mapInArrow(_exact(spark.sparkContext.broadcast((own, asked)), k), "probe long, id long, score double")
+            .dropDuplicates(["probe", "id"]).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k))
+    # at most PROBES * k ids, each in few lists
+    places = base.select("list", "id").join(F.broadcast(true.select("probe", "id")), "id").distinct().toPandas()
+    gaps = np.sqrt(np.maximum((asked ** 2).sum(1)[:, None] + centroids.norms - 2 * asked @ centroids.points.T, 0))
+    at = dict(zip(own.tolist(), range(len(own)), strict=True))
+    needed: dict[tuple[int, int], float] = {}
+    for list_, id_, probe in zip(places["list"].tolist(), places["id"].tolist(), places["probe"].tolist(), strict=True):
+        least, gap = gaps[at[probe]].min(), gaps[at[probe], list_]
+        ratio = 1.0 if gap <= least else gap / least if least else math.inf
+        needed[probe, id_] = min(needed.get((probe, id_), math.inf), ratio)
+    ordered = sorted(needed.values())
+    ratio = ordered[math.ceil(PROBE_RECALL * len(ordered)) - 1] if ordered else READ_RATIO
+    return max(READ_RATIO, ratio * (1 + 1e-9))
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-           read_ratio: float = READ_RATIO) -> DataFrame:
+           read_ratio: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows whose id ``every`` divides.
 
     Nearness is the Euclidean distance in double precision, ties go to the smaller id; a
     query's own id is no candidate, and rows that repeat an id count once.  Vectors that
-    take no part are described at ``usable``.
+    take no part are described at ``usable``.  Without ``read_ratio`` the ratio is measured.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -202,6 +255,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
         return counts
 
     sizes = per_list(base)
+    if read_ratio is None:
+        read_ratio = measured_ratio(rows, base, centroids, every, k)
     asked = written(rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(
         _filed(shipped, spark.sparkContext.broadcast(sizes), read_ratio, k), f"list long, id long, vec {kind}"), "ann-queries")
     cuts = F.broadcast(spark.createDataFrame(

@@ -61,6 +61,22 @@ def test_many_lists_keep_recall(spark, monkeypatch):
     assert [i for _, i, _ in got[600]] == list(range(500, 510))
 
 
+def test_measured_ratio_keeps_recall_with_many_lists(spark, monkeypatch):
+    """Vectors without clusters in many lists: the fixed least ratio alone loses neighbours."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    rng = np.random.default_rng(2)
+    made = rng.standard_normal((6000, 64))
+    rows = {i: v.tolist() for i, v in enumerate((made / np.linalg.norm(made, axis=1, keepdims=True)).astype(np.float32))}
+    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows.items()], SCHEMA)
+    want = exact(rows)
+
+    def recall(**options):
+        got = held(ann.search(frame, **options).collect())
+        return sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (10 * len(want))
+
+    assert recall(read_ratio=ann.READ_RATIO) < 0.9 <= recall()
+
+
 def test_vectors_that_take_no_part(spark):
     rng = random.Random(1)
     rows = [(i, [rng.random() for _ in range(4)], 0, "x") for i in range(6)]

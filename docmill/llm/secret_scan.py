@@ -30,7 +30,7 @@ ASSIGN_LEAST = 6
 
 #: Names that open a credential context; each is looked for in lower case.
 NAMES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "apikey", "api_key",
-         "api-key", "access_key", "access-key", "private_key", "private-key", "auth", "bearer")
+         "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "auth", "bearer")
 CONTEXT = re.compile(
     rb"(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key"
     rb"|auth(?:orization)?|bearer)"

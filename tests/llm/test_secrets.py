@@ -77,6 +77,14 @@ def test_cheap_values_are_no_secrets():
     assert S.joined(spans) == "guess:10:22"
 
 
+@pytest.mark.parametrize("name", [
+    "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials", "apikey", "api_key", "api-key",
+    "accessKey", "access_key", "access-key", "privateKey", "private_key", "private-key", "auth", "Authorization", "bearer"])
+def test_every_name_alone_opens_a_context(name):
+    spans = S.Scanner().scan(f"{name}: $9fQ2%vX7z!Lm3p".encode())
+    assert S.joined(spans) == f"guess:{len(name) + 2}:{len(name) + 17}"
+
+
 def test_redaction_keeps_columns(awkward):
     out = S.redact(awkward)
     assert out.columns == awkward.columns

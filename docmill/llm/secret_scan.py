@@ -34,7 +34,8 @@ NAMES = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token
 CONTEXT = re.compile(
     rb"(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key"
     rb"|auth(?:orization)?|bearer)"
-    rb"""["']?(?:\x20*(?:[:=]|=>|:=)\x20*(?:basic\x20+|bearer\x20+)?|\x20+(?:is\x20+)?)["']?([\x21\x23-\x26\x28-\x7e]+)""", re.I)
+    rb"""["']?(?:(?P<sign>\x20*(?:=>|:=|[:=])\x20*(?:basic\x20+|bearer\x20+)?)|\x20+(?:is\x20+)?)"""
+    rb"""(?:"(?P<double>(?:[^"\\\r\n]++|\\[^\r\n])++)"|'(?P<single>(?:[^'\\\r\n]++|\\[^\r\n])++)'|["']?(?P<bare>[\x21\x23-\x26\x28-\x7e]+))""", re.I)
 
 # Common words and passwords, most frequent first.
 WORDS = (
@@ -124,21 +125,27 @@ class Scanner:
         if any(name.encode() in low for name in NAMES):
             found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
             taken = {(s, e) for s, _, e in found}
-            for m in CONTEXT.finditer(data):
-                value = m[1].rstrip(b".,;:!?)]}>").decode("ascii")
-                if len(value) >= LEAST_LENGTH and self.is_strong(value):
-                    span = (m.start(1), m.start(1) + len(value))
-                    if not any(s <= span[0] and span[1] <= e for s, e in taken):
-                        found.append((span[0], 3, span[1]))
+            m = CONTEXT.search(data)
+            while m:
+                start, end = m.span(m.lastgroup)
+                if m["bare"]:
+                    end = start + len(m["bare"].rstrip(b".,;:!?)]}>"))
+                value = data[start:end].decode("utf-8", "replace")
+                strong = len(value) >= LEAST_LENGTH and self.is_strong(value, prose=m["sign"] is None)
+                if strong and not any(s <= start and end <= e for s, e in taken):
+                    found.append((start, 3, end))
+                # a value that is no secret may hold a name and its value
+                m = CONTEXT.search(data, m.end() if strong else m.start(m.lastgroup))
         found.sort()
         if found and not data.isascii():
             found = [(len(data[:s].decode("utf-8", "replace")), k, len(data[:e].decode("utf-8", "replace"))) for s, k, e in found]
         return found
 
-    def is_strong(self, value: str) -> bool:
-        """Whether guessing is dear.  Letters alone are prose in this context, not a secret;
-        a value longer than any password (keys, blobs) is judged by its first pieces' sum."""
-        if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+    def is_strong(self, value: str, prose: bool = True) -> bool:
+        """Whether guessing is dear.  Where a sentence can go on after the name (``prose``: no : or =),
+        letters alone or digits alone are no secret; a value longer than any password (keys,
+        blobs) is judged by its first pieces' sum."""
+        if prose and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             return False
         cost = 0.0
         for at in range(0, len(value), LONGEST_VALUE):

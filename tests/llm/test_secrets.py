@@ -85,6 +85,20 @@ def test_every_name_alone_opens_a_context(name):
     assert S.joined(spans) == f"guess:{len(name) + 2}:{len(name) + 17}"
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("pwd: ", "QzXvBnMkLpWrTy", "."), ("Authorization: Bearer ", "zQkV-mXwP-rTbN-yHcJ", ""), ('passphrase="', "correct-horse-battery-staple", '"'),
+    ("passcode = ", "84092751638204", ", then"), ('"passphrase": "', "purple elephant dances quickly", '", "id": 1'),
+    ("credential => '", "giraffe umbrella \\' notebook", "' end"), ("bearer pwd=", "QzXvBnMkLpWrTy", ""), ("é passphrase: \"", "füßgänger über brücken", '" ñ')])
+def test_a_sign_leaves_the_value_to_its_cost(before, value, after):
+    text = before + value + after
+    assert S.joined(S.Scanner().scan(text.encode())) == f"guess:{len(before)}:{len(before) + len(value)}"
+
+
+def test_prose_and_weak_values_stay():
+    for text in ("the token authentication works", "bearer understanding-of-things", 'pwd is "important information"', "pwd: password", 'pwd="qwerty2019"'):
+        assert not S.Scanner().scan(text.encode())
+
+
 def test_redaction_keeps_columns(awkward):
     out = S.redact(awkward)
     assert out.columns == awkward.columns

@@ -28,11 +28,11 @@ from docmill.llm.common import fold_of, utf8, written
 #: Words of the vocabulary, words of a class, size of embedding and state.
 VOCABULARY, CLASS_WORDS, SIZE = 4096, 64, 32
 #: Windows of so many tokens (in training and in scoring) over so many texts at once; tokens that a task buffers.
-WINDOW, SCORE_WINDOW, TRAIN_LANES, LANES, BUFFER = 32, 64, 64, 256, 1 << 22
+WINDOW, SCORE_WINDOW, TRAIN_LANES, LANES, BUFFER = 32, 64, 256, 256, 1 << 22
 #: Training cuts longer texts into sequences of so many tokens; scoring never does.
 SEQUENCE = 512
-#: Rounds, one in how many training documents a round takes, the step size, and the least tokens of a step.
-ROUNDS, ROUND_SHARE, STEP, STEP_TOKENS = 3, 16, 8e-3, 1024
+#: Rounds, among which the training documents are dealt, the step size, and the least tokens of a step.
+ROUNDS, STEP, STEP_TOKENS = 4, 8e-3, 1024
 #: A word with a greater share of the tokens than one in so many is known to every task;
 #: so at most this many words are broadcast.
 COMMON = 1 << 20
@@ -343,10 +343,10 @@ def _averaged(table: pa.Table) -> pa.Table:
 
 
 def train(training: DataFrame, knowledge: Knowledge, given) -> np.ndarray:
-    """The weights after all rounds; a round takes its own share of the training documents."""
+    """The weights after all rounds, which together take every training document once."""
     spark = training.sparkSession
     values = flat(initial(knowledge.vocabulary, max(knowledge.other_tokens, 0)))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUND_SHARE))
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))  # null ids are told apart by their texts
     for round_ in range(ROUNDS):
         rows = (training.filter(turn == round_).select("text")
                 .mapInArrow(_trained(given, spark.sparkContext.broadcast(values)), "chunk int, seen long, part binary")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -118,3 +119,20 @@ def test_state_is_carried_across_windows():
         fresh[0] = True
         h, _, _ = net.states(inputs, fresh, np.zeros((1, L.SIZE), np.float32))
         assert own == pytest.approx(net.log_probabilities(h[:, 0], text)[0].sum(), rel=1e-4)
+
+
+def test_every_training_document_reaches_the_network(spark, monkeypatch, tmp_path):
+    folder, averaged = str(tmp_path), L._averaged
+
+    def noted(table):
+        if table.column("chunk")[0].as_py() == 0:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(sum(table.column("seen").to_pylist())))
+        return averaged(table)
+
+    monkeypatch.setattr(L, "_averaged", noted)
+    rows = [(i, f"one two three {i}") for i in range(100)] + [(None, f"four five {i}") for i in range(20)] + [(7, "one two three 7")]
+    scored = L.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(seen) == sum(r.n_tokens for r in scored if not r.held_out)
+    assert len(seen) == L.ROUNDS

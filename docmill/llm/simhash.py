@@ -52,13 +52,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.fromiter(map(fingerprint, utf8(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.view(np.int64)), batch.column("text_hash")],
+                                             ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+            .mapInArrow(run, "doc_id long, fp long, text_hash long"))
 
 
 def _segment(values: np.ndarray, k: int) -> np.ndarray:
@@ -150,6 +152,13 @@ def links(prints: DataFrame) -> DataFrame:
             .sortWithinPartitions("key").mapInArrow(_link, "a long, b long").distinct())
 
 
+def _placed(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) and other columns -> also the component, a fingerprint that all of it share."""
+    prints = written(prints, "simhash-prints")
+    found = components(links(prints)).withColumnRenamed("node", "fp")
+    return written(prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-placed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row.
 
@@ -158,9 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each give a row; other columns are ignored.
     """
     rows = written(fingerprints(docs), "simhash")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-prints")
-    found = components(links(prints)).withColumnRenamed("node", "fp")
-    placed = written(prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-placed")
+    placed = _placed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.select("fp", "copies", "component").join(smallest, "component").drop("component")
     n = rows.count()
@@ -178,12 +185,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component.
-
-    A row without doc_id stays only if its component has no numbered document."""
-    firsts = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    text_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = docs.withColumn("_key", text_key).join(firsts.select(text_key.alias("_key")), "_key", "left_semi")
-    # repeated rows share their id; one of them stays
-    first = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    """One row of ``docs`` for each component, that of its smallest document.
+
+    A row without doc_id stays only if its component has no numbered document; among
+    rows of one id the smallest hash of the text decides."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_hash")
+    least = fingerprints(docs).groupBy("fp").agg(F.min(first).alias("first"))
+    chosen = (_placed(least).groupBy("component").agg(F.min("first").alias("first"))
+              .select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_key"), F.col("first.text_hash").alias("_hash")))
+    own = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    kept = docs.withColumn("_key", own).withColumn("_hash", F.xxhash64("text")).join(chosen, ["_key", "_hash"], "left_semi")
+    # repeated rows share their id and text; one of them stays
+    one = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)

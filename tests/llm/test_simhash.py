@@ -105,3 +105,11 @@ def test_one_document_of_each_group_stays(awkward, nothing):
     want = sorted({r.component_id for r in by_doc.values()})
     assert sorted(r.doc_id for r in kept.collect()) == want
     assert S.digest(nothing).count() == 0 and S.keep_first(nothing).count() == 0
+
+
+def test_unnumbered_and_shared_ids_lose_no_component(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (9, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[4])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (4, texts[3]), (4, texts[4])]
+    assert sorted(map(repr, map(tuple, S.keep_first(frame).collect()))) == sorted(map(repr, want))

@@ -20,8 +20,10 @@ from docmill.llm.common import utf8
 #: Least bytes of a class, and the ratios between which its documents are kept.  Texts
 #: below the first class are too short for a ratio to mean anything.
 BANDS = ((256, 0.30, 0.97), (1024, 0.25, 0.80), (4096, 0.20, 0.70), (16384, 0.16, 0.65))
-#: Bytes of a chunk, its band, the share of chunks that may leave it, and the compression level.
-CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (0.20, 0.75), 0.25, 3
+#: Bytes of a chunk and its band, for texts of two such chunks or more; shorter texts have the next size.
+CHUNKS = ((4096, 0.20, 0.75), (1024, 0.25, 0.80), (256, 0.30, 0.97))
+#: The share of a text that may lie in chunks outside their band, and the compression level.
+CHUNK_SHARE, LEVEL = 0.25, 3
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -64,13 +66,20 @@ class Bands:
         return len(self.compress(data)) / len(data) if data else 0.0
 
     def measure(self, data: bytes) -> tuple[float, float, bool]:
-        """(ratio of the whole, share of full chunks outside their band, within all bands)."""
+        """(ratio of the whole, share of the text in chunks outside their band, within all bands).
+
+        What full chunks leave over is judged by the chunk that ends with the text and counts by its own bytes."""
         ratio = self.ratio(data)
         limits = [(low, high) for least, low, high in BANDS if len(data) >= least]
         fine = not limits or limits[-1][0] <= ratio <= limits[-1][1]
-        chunks = [data[i:i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) >= 2 * CHUNK else []
-        outside = sum(not CHUNK_BAND[0] <= self.ratio(c) <= CHUNK_BAND[1] for c in chunks)
-        share = outside / len(chunks) if chunks else 0.0
+        outside = 0
+        for size, low, high in CHUNKS:
+            if len(data) >= 2 * size:
+                for end in [*range(size, len(data), size), len(data)]:
+                    if not low <= self.ratio(data[end - size:end]) <= high:
+                        outside += (end - 1) % size + 1
+                break
+        share = outside / len(data) if data else 0.0
         return ratio, share, fine and share <= CHUNK_SHARE
 
 

@@ -47,6 +47,17 @@ def test_bands():
     assert bands.measure(b"")[2] and bands.measure(b"short")[2]
 
 
+def test_chunks_cover_the_whole_text():
+    rng, bands = np.random.default_rng(0), R.Bands()
+    syllables = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "en", "ir")]
+    prose = " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(3000)).encode()
+    noise, line = rng.integers(33, 127, 3000).astype(np.uint8).tobytes(), b"buy now " * 600
+    for data in (prose[:8192] + line[:4095], prose[:4096] + line[:4095], prose[:5000] + noise, prose[:1000] + line[:600]):
+        assert not bands.measure(data)[2]
+    for n in (512, 1000, 2047, 2048, 5000, 8191, 8192, 12287):
+        assert bands.measure(prose[:n])[1:] == (0.0, True)
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").collect()}

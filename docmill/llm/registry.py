@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import ann, bpe, hard_negatives, language_model, packing, quality_knn, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from docmill.llm import ann, bpe, hard_negatives, language_model, lexical_nra, packing, quality_knn, quality_rules, secret_scan, sharding, simhash, substring_dedup
 from docmill.llm.common import table
 
 
@@ -79,6 +79,32 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
 QUALIFY row_number() OVER w <= 5
 """
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_nra.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, totals WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), totals
+    GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 OP8_SQL = r"""
 WITH texts AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -101,8 +127,8 @@ SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256 FROM kept
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_round_trip, op2_nearest_neighbours, op3_shards, op4_secrets, op5_best_fit_packing, op6_quality,
-        op7_quality_rules, op8_substring_dedup, op9_simhash, op10_language_model, op11_hard_negatives)}
+        op7_quality_rules, op8_substring_dedup, op9_simhash, op10_language_model, op11_hard_negatives, op12_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op8_substring_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_ranked_search": OP12_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import ann, bpe, hard_negatives, language_model, lexical_nra, packing, quality_knn, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from docmill.llm import ann, bpe, hard_negatives, language_id, language_model, lexical_nra, packing, quality_knn, quality_rules, secret_scan, sharding, simhash, substring_dedup
 from docmill.llm.common import table
 
 
@@ -83,6 +83,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_nra.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 OP12_SQL = r"""
 WITH words AS (
     SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -127,7 +131,7 @@ SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256 FROM kept
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_round_trip, op2_nearest_neighbours, op3_shards, op4_secrets, op5_best_fit_packing, op6_quality,
-        op7_quality_rules, op8_substring_dedup, op9_simhash, op10_language_model, op11_hard_negatives, op12_ranked_search)}
+        op7_quality_rules, op8_substring_dedup, op9_simhash, op10_language_model, op11_hard_negatives, op12_ranked_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,8 @@ from docmill.llm.common import fold_of, utf8
 
 #: Hash buckets, latent dimensions, neighbours that vote, and documents per block.
 BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 1 << 11, 48, 25, 256
+#: Steps of the iteration that finds the latent space.
+POWERS = 12
 #: At most so many labelled rows of each class fit the classifier (documented bound of the model).
 PER_CLASS = 1500
 #: Limits of the shape terms' bins, and the weight of a shape term beside a unit vector of trigrams.
@@ -62,8 +64,23 @@ def normed(rows: np.ndarray) -> np.ndarray:
 
 
 def weighted(bags: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Unit vectors of bags of terms."""
-    return normed(np.concatenate([normed(bags[:, :BUCKETS] * weights), bags[:, BUCKETS:] * np.float32(SHAPE_WEIGHT)], axis=1))
+    """Unit vectors of bags of terms, made a block at a time."""
+    out = np.empty(bags.shape, np.float32)
+    for at in range(0, len(bags), BLOCK):
+        part = bags[at:at + BLOCK].astype(np.float32)
+        out[at:at + BLOCK] = normed(np.concatenate([normed(part[:, :BUCKETS] * weights), part[:, BUCKETS:] * np.float32(SHAPE_WEIGHT)], axis=1))
+    return out
+
+
+def leading_axes(rows: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` leading right singular vectors, by subspace iteration from a fixed start:
+    the driver never holds a square matrix of all terms."""
+    wide = min(k + 16, *rows.shape)
+    base = np.random.default_rng(0).standard_normal((rows.shape[1], wide)).astype(np.float32)
+    for _ in range(POWERS):
+        base = np.linalg.qr(rows.T @ (rows @ base))[0]
+    turn = np.linalg.svd(rows @ base, full_matrices=False)[2]
+    return (base @ turn.T)[:, :k]
 
 
 def bucket_frequencies(docs: DataFrame) -> np.ndarray:
@@ -95,8 +112,7 @@ class Model:
         if not len(labels):
             return cls(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
         rows = weighted(bags, weights)
-        values, axes = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-        axes = axes[:, ::-1][:, :min(DIMENSIONS, len(rows))].astype(np.float32)
+        axes = leading_axes(rows, min(DIMENSIONS, len(rows)))
         # each class votes with its share of all training rows, however many of it are here
         ones = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
         votes = np.stack([labels * prior / ones[0], (1 - labels) * (1 - prior) / ones[1]], 1).astype(np.float32)
@@ -139,12 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())],
                                              ["doc_id", "label", "bag"])
 
-    picked = (docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-              .select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag binary").collect())
-    picked.sort(key=lambda r: r.doc_id)
-    matrix = np.array([np.frombuffer(r.bag, np.float16) for r in picked], np.float32).reshape(len(picked), TERMS)
+    # of several texts under one id the one with the least hash teaches
+    first = F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")
+    picked = (docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(first)
+              .select("doc_id", "r.*").mapInArrow(bags, "doc_id long, label int, bag binary")
+              .toArrow().sort_by("doc_id").combine_chunks())  # at most 2 * per_class rows
+    matrix = np.frombuffer(b"".join(picked.column("bag").to_pylist()), np.float16).reshape(-1, TERMS)
     n = sum(counts.values())
-    return Model.fit(matrix, np.array([r.label for r in picked], np.float32), bucket_frequencies(docs),
+    return Model.fit(matrix, picked.column("label").to_numpy().astype(np.float32), bucket_frequencies(docs),
                      (counts.get(1, 0) / n) if n else 0.5)
 
 

@@ -36,6 +36,24 @@ def test_votes_equal_brute_force():
         assert got[i] == pytest.approx(force[:, 0].sum() / force.sum(), abs=1e-4)
 
 
+def test_latent_space_equals_a_plain_decomposition():
+    rng = np.random.default_rng(1)
+    rows = (rng.standard_normal((90, 12)) * 0.8 ** np.arange(12)) @ rng.standard_normal((12, 70)) + 0.001 * rng.standard_normal((90, 70))
+    axes = Q.leading_axes(rows.astype(np.float32), 6)
+    _, values, plain = np.linalg.svd(rows, full_matrices=False)
+    assert np.allclose(axes.T @ axes, np.eye(6), atol=1e-4)
+    assert np.allclose(np.abs(axes.T @ plain[:6].T), np.eye(6), atol=1e-2)
+    assert np.allclose(np.linalg.norm(rows @ axes, axis=0), values[:6], rtol=1e-4)
+
+
+def test_one_of_several_texts_under_an_id_teaches(spark):
+    """The model does not depend on how the rows lie."""
+    docs = spark.createDataFrame([(i % 12, f"text {i} of {'some' if i % 12 < 6 else 'quite other !!'} words " * 5) for i in range(60)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, int(i < 6), 0) for i in range(12)], LABELS)
+    one, two = Q.fit(docs.repartition(3), own), Q.fit(docs.orderBy("text").repartition(5), own)
+    assert (one.vectors == two.vectors).all() and (one.weights == two.weights).all()
+
+
 def test_held_out_accuracy(docs, labels):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = Q.quality(docs, labels).collect()

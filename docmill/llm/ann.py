@@ -5,12 +5,14 @@ is searched in memory.  A vector is filed under its nearest centroid and under e
 other one nearly as near, so that vectors at a boundary are found from either side.  A
 query reads the lists whose centroids lie within a ratio of the nearest one's distance;
 the ratio is measured in every run, on a bounded set of queries whose neighbours are
-found exactly.  Distances are then exact.  Lists and queries meet in Spark by list; long lists and
-lists that many queries read are cut into slices.
+found exactly.  Distances are then exact.  Rows lie sorted by list in ranges of lists; queries
+come in broadcast blocks with the lists they read, and every task keeps the nearest rows of
+each query over all its lists, so that a task hands on k rows a query at most.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import written
+from docmill.llm.common import hash_blocks, written
 
 #: Documented bound of the sample that fits the centroids, vectors of a list, and most lists.
 SAMPLE, LIST_SIZE, MOST_LISTS = 1 << 15, 256, 1 << 12
@@ -31,8 +33,8 @@ FILE_RATIO, FILES = 1.03, 2
 READ_RATIO, PROBES, PROBE_RECALL = 1.14, 128, 0.97
 #: Neighbours in the centroid graph, entry points, and candidates a search keeps open.
 DEGREE, ENTRIES, BEAM = 24, 32, 12
-#: Rows and queries of a slice; vectors handled at a time.
-SLICE, BLOCK = 1 << 12, 1 << 9
+#: Rows of a slice, vectors handled at a time, queries of a broadcast block, rows of a task at most.
+SLICE, BLOCK, QUERIES, TASK_ROWS = 1 << 12, 1 << 9, 1 << 14, 1 << 20
 
 
 def bisect(rows: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
@@ -88,7 +90,7 @@ class Centroids:
         visit(np.repeat(np.arange(n), len(self.entries)), np.tile(self.entries, n))
         while True:
             beam = np.partition(gaps, min(BEAM, k) - 1, axis=1)[:, min(BEAM, k) - 1]
-            limit = np.maximum(gaps.min(1) * ratio, np.where(np.isfinite(beam), beam, -1.0))
+            limit = np.maximum(_reach(gaps, ratio), np.where(np.isfinite(beam), beam, -1.0))
             q, c = np.nonzero((gaps <= limit[:, None]) & ~opened)
             if not len(q):
                 return gaps
@@ -98,6 +100,11 @@ class Centroids:
             visit(fresh // k, fresh % k)
 
 
+def _reach(gaps: np.ndarray, ratio: float) -> np.ndarray:
+    """Distances up to which a ratio reads (an infinite ratio reads all, also from a centroid itself)."""
+    return np.full(len(gaps), np.inf) if math.isinf(ratio) else gaps.min(1) * ratio
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of an Arrow list column of equal lengths."""
     return np.asarray(column.flatten()).reshape(len(column), -1)
@@ -105,14 +112,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of the vectors that take part: a dimension that most of them share, no
-    null or non-finite component, not all zero; a null id takes no part either."""
+    null or non-finite component, not all zero; a null id takes no part either.  Rows that
+    repeat an id count as one, the one with the least vector (component by component)."""
     v = F.col(vec_col)
     fine = (F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
             & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
             & F.exists(v, lambda x: x != 0))
     rows = vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("vec") == (common.d if common else 0))
+    return written(rows.filter(F.size("vec") == (common.d if common else 0)).groupBy("id").agg(F.min("vec").alias("vec")), "ann-rows")
 
 
 def fit(rows: DataFrame, n: int) -> Centroids:
@@ -125,60 +133,96 @@ def fit(rows: DataFrame, n: int) -> Centroids:
     return Centroids(np.unique(bisect(points, lists).round(9), axis=0))
 
 
-def _filed(centroids, counts, ratio: float, k: int):
-    """Arrow function (id, vec) -> (list, id, vec), for vectors to file or, given the lists' sizes, for queries."""
+def _filed(centroids, ratio: float):
+    """Arrow function (id, vec) -> (list, id, vec): every vector under its nearest lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sizes = centroids.value, None if counts is None else counts.value
+        own = centroids.value
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 gaps = own.search(_matrix(batch.column("vec")).astype(np.float64), ratio)
-                if sizes is None:
-                    order = np.argsort(gaps, axis=1, kind="stable")[:, :FILES]
-                    best = np.take_along_axis(gaps, order, 1)
-                    q, place = np.nonzero(best <= best[:, :1] * ratio)
-                    lists = order[q, place]
-                else:
-                    # by the ratio, and on through the nearest lists until one has enough rows
-                    enough = np.where(sizes > k, gaps, np.inf).min(1)
-                    limit = np.maximum(gaps.min(1) * ratio, enough)
-                    q, lists = np.nonzero((gaps <= limit[:, None]) | np.isinf(limit)[:, None])
+                order = np.argsort(gaps, axis=1, kind="stable")[:, :FILES]
+                best = np.take_along_axis(gaps, order, 1)
+                q, place = np.nonzero(best <= best[:, :1] * ratio)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.astype(np.int64)), batch.column("id").take(pa.array(q)), batch.column("vec").take(pa.array(q))],
+                    [pa.array(order[q, place].astype(np.int64)), batch.column("id").take(pa.array(q)), batch.column("vec").take(pa.array(q))],
                     ["list", "id", "vec"])
     return run
 
 
-def _nearest(k: int):
-    def run(base: pa.Table, queries: pa.Table) -> pa.Table:
-        """Exact distances of a slice's queries to its rows; the k nearest of each."""
-        out: list[list] = [[], [], []]
-        if base.num_rows and queries.num_rows:
-            base = base.sort_by("id").combine_chunks()
-            ids, rows = base.column("id").to_numpy(), _matrix(base.column("vec").combine_chunks()).astype(np.float64)
-            asked = _matrix(queries.column("vec").combine_chunks()).astype(np.float64)
-            squares = (rows ** 2).sum(1)
-            for own, q in zip(queries.column("id").to_pylist(), range(len(asked)), strict=True):
-                rough = squares - 2 * (rows @ asked[q])
-                rough[ids == own] = np.inf
-                if len(rough) > k:  # a margin covers the rounding of the short form
-                    edge = np.partition(rough, k)[k]
-                    at = np.flatnonzero(rough <= edge + 1e-9 * (1 + abs(edge) + float(asked[q] @ asked[q])))
-                else:
-                    at = np.arange(len(rough))
-                at = at[ids[at] != own]
-                score = np.sqrt(((rows[at] - asked[q]) ** 2).sum(1))
-                best = np.lexsort((ids[at], score))
-                best = best[np.unique(ids[at][best], return_index=True)[1]] if len(set(ids[at].tolist())) < len(at) else best
-                best = best[np.lexsort((ids[at][best], score[best]))][:k]
-                out[0] += [own] * len(best)
-                out[1] += ids[at][best].tolist()
-                out[2] += score[best].tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                        ["query_id", "vec_id", "score"])
+def _asked(centroids, counts, ratio: float, k: int):
+    """Arrow function (id, vec) -> (id, vec, lists): the lists that a query reads, a bit each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sizes = centroids.value, counts.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                gaps = own.search(_matrix(batch.column("vec")).astype(np.float64), ratio)
+                # by the ratio, and on through the nearest lists until one has enough rows
+                enough = np.where(sizes > k, gaps, np.inf).min(1)
+                limit = np.maximum(_reach(gaps, ratio), enough)
+                read = (gaps <= limit[:, None]) | np.isinf(limit)[:, None]
+                bits = [r.tobytes() for r in np.packbits(read, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(bits, pa.binary())], ["id", "vec", "lists"])
     return run
 
 
+class _Heaps:
+    """The ``k`` nearest (distance, id) of each of ``n`` queries, every id once; ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.scores, self.ids = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        touched = np.unique(who)
+        who = np.concatenate([np.repeat(touched, k), who])
+        scores, ids = np.concatenate([self.scores[touched].ravel(), scores]), np.concatenate([self.ids[touched].ravel(), ids])
+        order = np.lexsort((ids, scores, who))
+        who, scores, ids = who[order], scores[order], ids[order]
+        # a row filed under two lists is met twice, at the same distance
+        fresh = np.ones(len(who), bool)
+        fresh[1:] = (who[1:] != who[:-1]) | (ids[1:] != ids[:-1]) | np.isinf(scores[1:])
+        who, scores, ids = who[fresh], scores[fresh], ids[fresh]
+        best = np.arange(len(who)) - np.searchsorted(who, who) < k
+        self.scores[touched], self.ids[touched] = scores[best].reshape(-1, k), ids[best].reshape(-1, k)
+
+
+def _nearest(shipped, k: int):
+    """Arrow function (list, id, vec) sorted by list -> (query_id, vec_id, score): of a task's rows the
+    k nearest to each query that reads their lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked, reads = shipped.value
+        heaps, squares = _Heaps(len(own), k), (asked ** 2).sum(1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                lists, ids, rows = batch.column("list").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("vec")).astype(np.float64)
+                cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    readers = np.flatnonzero(reads[:, lists[first] // 8] >> (7 - lists[first] % 8) & 1)
+                    for some in range(0, len(readers), BLOCK):
+                        _offer(heaps, readers[some:some + BLOCK], own, asked, squares, ids[first:last], rows[first:last], k)
+        q, place = np.nonzero(np.isfinite(heaps.scores))
+        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(heaps.ids[q, place]), pa.array(heaps.scores[q, place])],
+                                         ["query_id", "vec_id", "score"])
+    return run
+
+
+def _offer(heaps: _Heaps, who: np.ndarray, own: np.ndarray, asked: np.ndarray, squares: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> None:
+    """Offer rows of one list to some queries; distances of those that may count are taken exactly."""
+    norms = (rows ** 2).sum(1)
+    rough = squares[who, None] + norms - 2 * asked[who] @ rows.T
+    rough[own[who, None] == ids] = np.inf
+    edge = heaps.scores[who, -1] ** 2
+    if rough.shape[1] > k:
+        edge = np.minimum(edge, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    # a margin covers the rounding of the short form
+    q, at = np.nonzero((rough <= (edge + 1e-9 * (1 + squares[who] + norms.max()))[:, None]) & np.isfinite(rough))
+    if len(q):
+        heaps.add(who[q], np.sqrt(((rows[at] - asked[who[q]]) ** 2).sum(1)), ids[at])
+
+
 def _exact(probes, k: int):
     """Arrow function (id, vec) -> (probe, id, score): the k nearest of a task's rows to each probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +252,7 @@ def measured_ratio(rows: DataFrame, base: DataFrame, centroids: Centroids, every
     """The least ratio, of ``READ_RATIO`` or more, at which ``PROBE_RECALL`` of the true neighbours
     of at most ``PROBES`` queries lie in lists that are read."""
     spark = rows.sparkSession
-    probes = (rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(PROBES)
+    probes = (rows.filter(F.col("id") % every == 0).orderBy(F.xxhash64("id"), "id").limit(PROBES)
               .toArrow().combine_chunks())
     if not probes.num_rows:
         return READ_RATIO
@@ -235,8 +279,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     """query_id, rank, vec_id, score: the k nearest found of the rows whose id ``every`` divides.
 
     Nearness is the Euclidean distance in double precision, ties go to the smaller id; a
-    query's own id is no candidate, and rows that repeat an id count once.  Vectors that
-    take no part are described at ``usable``.  Without ``read_ratio`` the ratio is measured.
+    query's own id is no candidate.  Vectors that take no part are described at ``usable``,
+    which also says what repeated ids give.  Without ``read_ratio`` the ratio is measured.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -246,32 +290,28 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     centroids = fit(rows, n)
     lists, kind = len(centroids.points), dict(rows.dtypes)["vec"]
     shipped = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS points
-    base = written(rows.mapInArrow(_filed(shipped, None, FILE_RATIO, k), f"list long, id long, vec {kind}"), "ann-base")
-
-    def per_list(filed: DataFrame) -> np.ndarray:
-        counts = np.zeros(lists, np.int64)
-        for r in filed.groupBy("list").count().collect():  # a row for each list
-            counts[r.list] = r["count"]
-        return counts
-
-    sizes = per_list(base)
+    filed = rows.mapInArrow(_filed(shipped, FILE_RATIO), f"list long, id long, vec {kind}")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
+    # ranges of lists; a list of many rows is cut by the hash of the id
+    base = written(filed.repartitionByRange(tasks, "list", F.xxhash64("id")).sortWithinPartitions("list"), "ann-base")
+    counts = np.zeros(lists, np.int64)
+    for r in base.groupBy("list").count().collect():  # a row for each list
+        counts[r.list] = r["count"]
     if read_ratio is None:
         read_ratio = measured_ratio(rows, base, centroids, every, k)
-    asked = written(rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(
-        _filed(shipped, spark.sparkContext.broadcast(sizes), read_ratio, k), f"list long, id long, vec {kind}"), "ann-queries")
-    cuts = F.broadcast(spark.createDataFrame(
-        [(i, max(1, math.ceil(b / SLICE)), max(1, math.ceil(q / SLICE))) for i, (b, q) in enumerate(zip(sizes.tolist(), per_list(asked).tolist(), strict=True))],
-        "list long, base_cuts long, query_cuts long"))
-
-    def sliced(filed: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in its own slice of the list, once for each slice of the other side."""
-        return filed.join(cuts, "list").select(
-            "list", F.pmod(F.xxhash64("id"), F.col(f"{own}_cuts")).alias(f"{own}_cut"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_cuts") - 1)).alias(f"{other}_cut"), "id", "vec")
-
-    keys = ["list", "base_cut", "query_cut"]
-    found = (sliced(base, "base", "query").groupBy(*keys).cogroup(sliced(asked, "query", "base").groupBy(*keys))
-             .applyInArrow(_nearest(k), "query_id long, vec_id long, score double"))
+    asked = written(rows.filter(F.col("id") % every == 0).mapInArrow(
+        _asked(shipped, spark.sparkContext.broadcast(counts), read_ratio, k), f"id long, vec {kind}, lists binary"), "ann-queries")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(nearest))
-            .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    parts = []
+    for block in hash_blocks(asked, "id", QUERIES):
+        own = block.toArrow().combine_chunks()  # at most QUERIES rows
+        if own.num_rows:
+            reads = np.frombuffer(b"".join(own.column("lists").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+            given = spark.sparkContext.broadcast((own.column("id").to_numpy(), _matrix(own.column("vec").combine_chunks()).astype(np.float64), reads))
+            parts.append(base.mapInArrow(_nearest(given, k), "query_id long, vec_id long, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # every block's queries are its own; a row filed twice comes from two tasks at most
+    found = functools.reduce(DataFrame.unionByName, parts).distinct()
+    return (found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))

@@ -30,6 +30,16 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """Rows of distinct keys by hash of the key, in blocks of at most ``most`` rows (counted)."""
+    blocks = max(1, -(-df.count() // most))
+    while True:
+        block = F.pmod(F.xxhash64(key), F.lit(blocks))
+        if (df.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] or 0) <= most:
+            return [df.filter(block == b) for b in range(blocks)]
+        blocks *= 2
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

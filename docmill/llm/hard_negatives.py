@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import forget, written
+from docmill.llm.common import forget, hash_blocks, written
 
 #: Anchors of a block (what is broadcast) and of a tile, candidates of a tile, and rows of a task at most.
 ANCHORS, GROUP, TILE, TASK_ROWS = 1 << 14, 1 << 9, 1 << 12, 1 << 20
@@ -188,16 +188,6 @@ def _scaled(score: np.ndarray, least: int, share: int) -> np.ndarray:
     return whole * least + -(-rest * least // share)
 
 
-def _blocks(anchors: DataFrame) -> list[DataFrame]:
-    """The anchors by hash of the id, in blocks of at most ``ANCHORS`` rows (counted)."""
-    blocks = max(1, math.ceil(anchors.count() / ANCHORS))
-    while True:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        if (anchors.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] or 0) <= ANCHORS:
-            return [anchors.filter(block == b) for b in range(blocks)]
-        blocks *= 2
-
-
 def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, least: int = 80, share: int = 100,
          id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
@@ -216,7 +206,7 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "id")
     inside = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "id")
     parts = []
-    for block in _blocks(anchors):
+    for block in hash_blocks(anchors, "id", ANCHORS):
         own = block.toArrow().combine_chunks().sort_by("id").combine_chunks()  # at most ANCHORS rows
         if not own.num_rows:
             continue

@@ -49,6 +49,8 @@ def test_generated_vectors(spark):
 def test_many_lists_keep_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_SIZE", 32)
     monkeypatch.setattr(ann, "SLICE", 64)
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERIES", 9)
     rng = np.random.default_rng(0)
     rows = {i: v.tolist() for i, v in enumerate(rng.standard_normal((3000, 16)).astype(np.float32))}
     for i in range(500, 1500):  # one very common vector
@@ -88,6 +90,22 @@ def test_vectors_that_take_no_part(spark):
         {q: [(i, round(s, 9)) for i, s in v] for q, v in exact({i: np.float32(v).tolist() for i, v, *_ in rows}).items()}
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    """An id is the row with the least vector, however often it comes."""
+    rows = {i: [float(i), 1.0] for i in range(30)}
+    more = [(0, [5.0, 1.0], 0, "x"), (7, [7.0, 2.0], 0, "x"), (8, [9.0, 0.5], 0, "x")] * 20
+    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows.items()] + more, SCHEMA).repartition(3)
+    assert held(ann.search(frame).collect()) == {q: [(r, i, s) for r, (i, s) in enumerate(v, 1)] for q, v in exact(rows).items()}
+
+
+def test_query_at_a_centroid_with_an_unlimited_ratio(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 4)
+    rows = {i: [float(i // 8) + 1, 1.0] for i in range(80)}  # eight copies of each point
+    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows.items()], SCHEMA)
+    got = held(ann.search(frame, every=10, read_ratio=math.inf).collect())
+    assert {q: [(i, s) for _, i, s in v] for q, v in got.items()} == exact(rows, every=10)
+
+
 def test_no_vectors(spark):
     assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.search(spark.createDataFrame([(100, None, 0, "x")], SCHEMA)).count() == 0

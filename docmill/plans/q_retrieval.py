@@ -11,7 +11,9 @@ from docmill.operators import evidence as evd
 from docmill.operators import retrieval as rt
 from docmill.plans.q_text import MARKLESS, SEARCH
 from docmill.plans.registry import query
-from docmill.session import spread, table
+from docmill.functions.arrays import stage
+from docmill.session import scratch_path, spread, table
+from docmill.sources.index import KeywordIndex
 
 
 # --- dense search: label centroids against all vectors ------------------------------------
@@ -188,11 +190,37 @@ LEX = f""",
 
 @query("rerank_two_stage", BM25 + LEX)
 def rerank_two_stage(spark, sf):
-    asked, docs = questions(spark, sf), corpus(spark, sf)
-    found = rt.bm25_topk(asked, docs, 30).join(docs.select("chunk_id", "text"), "chunk_id") \
-        .join(asked, "query_id")
-    return rt.rerank(found, k=10).select("query_id", "chunk_id", "rank", "rerank_score",
-                                         "rerank_rank")
+    """The lexical second score comes from the postings; no text is folded again."""
+    asked = questions(spark, sf)
+    sized = stage(asked, query=F.size(F.array_distinct(rt.tokens(F.col("query")))))
+    found = rt.bm25_topk(asked, corpus(spark, sf), 30, matched=True).join(sized, "query_id")
+    return rt.rerank(found, lambda size, matched: matched / size, 10, "matched").select(
+        "query_id", "chunk_id", "rank", "rerank_score", "rerank_rank")
+
+
+# Every third document arrives with its length in place of its text, and comes again with the text;
+# every seventh is deleted and every fourteenth comes back.
+@query("bm25_after_upsert", BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)", 1)
+       + " SELECT query_id, chunk_id, score, rank FROM b WHERE rank <= 10")
+def bm25_after_upsert(spark, sf):
+    docs = corpus(spark, sf).select("chunk_id", "text")
+    index = KeywordIndex(spark, scratch_path(spark, "stored-keyword-index"))
+    index.upsert(docs.withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.length("text").cast("string")).otherwise(F.col("text"))))
+    index.upsert(docs.filter("chunk_id % 3 = 0"))
+    index.delete(docs.filter("chunk_id % 7 = 0").select("chunk_id"))
+    index.upsert(docs.filter("chunk_id % 14 = 0"))
+    return index.search(questions(spark, sf), 10).drop("matched")
+
+
+# Null vectors, vectors of another length and vectors with a null component are no candidates.
+@query("dense_odd_vectors", CENTROIDS.replace("FROM q, e)", "FROM q, e WHERE vec_id % 5 <> 0)") + """
+    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def dense_odd_vectors(spark, sf):
+    v = F.col("embedding").cast("array<double>")
+    odd = F.when(F.col("vec_id") % 20 == 0, F.lit(None)).when(F.col("vec_id") % 20 == 5, F.slice(v, 1, 63)) \
+        .when(F.col("vec_id") % 20 == 10, F.array_append(v, F.lit(1.0))).when(F.col("vec_id") % 20 == 15, F.array_append(F.slice(v, 1, 63), F.lit(None)))
+    rows = spread(table(spark, sf, "embeddings")).withColumn("embedding", odd.when(F.col("vec_id") % 5 != 0, v))
+    return rt.dense_topk(centroids(spark, sf), rows, 10, "vec_id")
 
 
 WITHIN = "FROM (SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3'))"

@@ -2,18 +2,20 @@
 
 A table is a folder of numbered batches; a write adds its own batch and touches no
 other, and readers see a batch only once it is complete, so a lost executor never
-leaves a half-written one.
+leaves a half-written one.  ``compact`` folds all batches into one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import point_id, search_text
+from docmill.operators import postings
 from docmill.operators.evaluation import latest_per_key
+from docmill.session import scratch_path
 
 
 class VersionedTable:
@@ -32,29 +34,41 @@ class VersionedTable:
         if not fs.exists(path):
             return []
         names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(path)]
-        done = [int(n[1:]) for p, n in names if n.startswith("v") and n[1:].isdigit()
+        done = [int(n[6:]) for p, n in names if n.startswith("batch=") and n[6:].isdigit()
                 and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return sorted(done)
 
+    def _path(self, version: int) -> str:
+        return f"{self.root}/batch={version:08d}"
+
     def exists(self) -> bool:
         return bool(self.versions())
 
     def read(self) -> DataFrame:
-        """The rows of all batches; an absent column is NULL."""
-        paths = [f"{self.root}/v{v:08d}" for v in self.versions()]
-        frames = [self.spark.read.parquet(p).withColumn("batch", F.lit(v))
-                  for v, p in zip(self.versions(), paths, strict=True)]
-        out = frames[0]
-        for df in frames[1:]:
-            out = out.unionByName(df, allowMissingColumns=True)
-        return out
+        """The rows of all complete batches with their ``batch``, as one scan; an absent
+        column is NULL."""
+        paths = [self._path(v) for v in self.versions()]
+        return self.spark.read.option("basePath", self.root).option("mergeSchema", len(paths) > 1).parquet(*paths)
 
     def write(self, df: DataFrame) -> int:
         version = (self.versions() or [0])[-1] + 1
         writer = df.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.root}/v{version:08d}")
+        writer.parquet(self._path(version))
+        return version
+
+    def compact(self, rows: DataFrame) -> int:
+        """Put ``rows``, which stand for all that is stored, into a new batch and drop the others.
+
+        Whoever reads between the two steps sees both and, by its own rule for the latest
+        batch, the same rows.  No reader may still be at work on the former batches.
+        """
+        before = self.versions()
+        version = self.write(rows)
+        fs, _ = self._fs()
+        for old in before:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old)), True)
         return version
 
     def ensure(self, empty: DataFrame) -> None:
@@ -94,6 +108,68 @@ class ChunkIndex:
             .filter("NOT l.deleted").select("point_id", F.col("l.batch").alias("batch"))
         return rows.join(last, ["point_id", "batch"], "left_semi").drop("batch", "deleted")
 
+    def compact(self) -> int:
+        return self.table.compact(self.read().withColumn("deleted", F.lit(False)))
+
+
+class KeywordIndex:
+    """Inverted index of posting blocks kept beside the chunks, with upserts and deletions.
+
+    A write inverts its own chunks only.  Folders by hash of the term keep other terms'
+    postings unread; within a folder rows are sorted by term.  The latest entry of an item
+    counts: earlier ones are listed as dead, shard by shard, when the index is searched,
+    and ``compact`` rebuilds the batches without them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, item: str = "chunk_id", text: str = "text"):
+        self.spark, self.item, self.text = spark, item, text
+        self.table = VersionedTable(spark, root, ["bucket"])
+
+    def upsert(self, chunks: DataFrame) -> int:
+        """Add chunks; an existing item is replaced.  One of several chunks under an item stays."""
+        rows = postings.posting_blocks(chunks, self.item, self.text).withColumn("deleted", F.lit(False))
+        return self._write(rows)
+
+    def delete(self, ids: DataFrame) -> int | None:
+        """Drop items; nothing is written when there are none."""
+        if ids.isEmpty():
+            return None
+        kind = ids.schema[self.item].dataType
+        empty = self.spark.createDataFrame([], postings.block_schema(kind))
+        # lists of a bounded size
+        shard = F.pmod(F.xxhash64(self.item), F.lit(-(-ids.count() // postings.SHARD_DOCS))).alias("shard")
+        listed = ids.groupBy(shard).agg(F.collect_set(self.item).alias("items"))
+        return self._write(empty.unionByName(listed, allowMissingColumns=True).withColumn("deleted", F.lit(True)))
+
+    def _write(self, rows: DataFrame) -> int:
+        placed = rows.withColumn("bucket", postings.bucket_of("term"))
+        return self.table.write(placed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard"))
+
+    def blocks(self) -> DataFrame:
+        """All block rows, and for each shard with dead entries a row that lists them."""
+        rows = self.table.read()
+        listed = rows.filter(F.col("bucket") == -1)
+        entries = listed.select("batch", "shard", "deleted", F.posexplode("items").alias("ord", "item"))
+        last = entries.groupBy("item").agg(F.max(F.struct("batch", "shard", "ord")).alias("last"))
+        dead = (entries.filter("NOT deleted").join(last, "item").filter(F.struct("batch", "shard", "ord") != F.col("last"))
+                .groupBy("batch", "shard").agg(F.sort_array(F.collect_list("ord")).alias("ords")).withColumn("bucket", F.lit(-1)))
+        stored = scratch_path(self.spark, "dead")
+        dead.write.parquet(stored)
+        return rows.filter("NOT deleted").drop("deleted").unionByName(
+            self.spark.read.schema(dead.schema).parquet(stored), allowMissingColumns=True)
+
+    def search(self, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+        """(query_id, item, score, matched, rank) of (query_id, query); options as of BM25."""
+        found = postings.search_blocks(self.blocks(), queries, k, item=self.item, **options)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(self.item))
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def compact(self, chunks: DataFrame) -> int:
+        """Rebuild the index of ``chunks``, all chunks as they are now, and drop former batches."""
+        rows = postings.posting_blocks(chunks, self.item, self.text).withColumn("deleted", F.lit(False))
+        placed = rows.withColumn("bucket", postings.bucket_of("term"))
+        return self.table.compact(placed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard"))
+
 
 def source_key(config: dict[str, object], text: str = "text"):
     """Cache key of a document under a chunking configuration."""

@@ -41,17 +41,21 @@ class VersionedTable:
     def _path(self, version: int) -> str:
         return f"{self.root}/batch={version:08d}"
 
-    def exists(self) -> bool:
-        return bool(self.versions())
+    def exists(self, below: int | None = None) -> bool:
+        return bool(self._before(below))
 
-    def read(self) -> DataFrame:
-        """The rows of all complete batches with their ``batch``, as one scan; an absent
-        column is NULL."""
-        paths = [self._path(v) for v in self.versions()]
+    def _before(self, below: int | None) -> list[int]:
+        return [v for v in self.versions() if below is None or v < below]
+
+    def read(self, below: int | None = None) -> DataFrame:
+        """The rows of all complete batches (numbered less than ``below``) with their
+        ``batch``, as one scan; an absent column is NULL."""
+        paths = [self._path(v) for v in self._before(below)]
         return self.spark.read.option("basePath", self.root).option("mergeSchema", len(paths) > 1).parquet(*paths)
 
-    def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
+    def write(self, df: DataFrame, version: int | None = None) -> int:
+        """Write the next batch, or ``version`` again."""
+        version = (self.versions() or [0])[-1] + 1 if version is None else version
         writer = df.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
@@ -86,21 +90,32 @@ class ChunkIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.table = VersionedTable(spark, root, ["company_code"])
 
-    def upsert(self, chunks: DataFrame, order: str = "ingested_at") -> int:
-        """Add chunks; an existing id is replaced.  The search text is the ASCII form."""
+    def upsert(self, chunks: DataFrame, order: str = "ingested_at", gone: DataFrame | None = None,
+               version: int | None = None) -> int:
+        """Add chunks; an existing id is replaced.  The search text is the ASCII form.
+
+        ``gone`` has chunk ids that the same batch drops; a given ``version`` is written again.
+        """
         rows = chunks.withColumns({"point_id": point_id(F.col("chunk_id")), "deleted": F.lit(False),
                                    "search_text": search_text(F.col("text"))})
         if order not in rows.columns:
             rows = rows.withColumn(order, F.lit(1))
-        return self.table.write(latest_per_key(rows, ["point_id"], [order]))
+        rows = latest_per_key(rows, ["point_id"], [order])
+        if gone is not None:
+            rows = rows.unionByName(self._deletions(gone), allowMissingColumns=True)
+        return self.table.write(rows, version)
 
     def delete(self, ids: DataFrame) -> int | None:
         """Drop chunk ids; nothing is written when there are none."""
         if ids.isEmpty():
             return None
-        return self.table.write(ids.select("chunk_id").distinct().select(
+        return self.table.write(self._deletions(ids))
+
+    @staticmethod
+    def _deletions(ids: DataFrame) -> DataFrame:
+        return ids.select("chunk_id").distinct().select(
             "chunk_id", point_id(F.col("chunk_id")).alias("point_id"), F.lit(True).alias("deleted"),
-            F.lit("").alias("company_code")))
+            F.lit("").alias("company_code"))
 
     def read(self) -> DataFrame:
         rows = self.table.read()

@@ -82,6 +82,14 @@ def ascii_fold(text: Column) -> Column:
     return F.when(text.rlike(NON_ASCII), folded).otherwise(text)
 
 
+@cache
+def ascii_mapping() -> dict[int, str | None]:
+    """``ascii_fold`` for ``str.translate``; what is not ASCII afterwards goes as well."""
+    source, target, several = _ascii_table()
+    one = itertools.zip_longest(source, target)
+    return {ord(a): b for a, b in one} | {ord(a): b for a, b in several.items()}
+
+
 @cache
 def _char_class(chars: tuple[str, ...]) -> str:
     """A character class of the given characters, runs written as ranges."""

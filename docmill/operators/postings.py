@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.arrays import stage
-from docmill.functions.text import ascii_fold
+from docmill.functions.text import ascii_fold, ascii_mapping
 from docmill.session import hash_blocks
 
 #: Documents and tokens of a shard, and queries of a pass.
@@ -40,6 +40,27 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(ascii_fold(text)), "[^a-z0-9]+"), "")
 
 
+#: Letters and digits of folded texts; anything else separates terms.
+TERM_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """``tokens`` of one text, inside a task."""
+    raw = text if text.isascii() else text.translate(ascii_mapping())
+    return raw.encode("ascii", "ignore").translate(TERM_BYTES).split()
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) to (item, size, words); a null text has no size."""
+    for batch in batches:
+        found = [None if t is None else words_of(t) for t in batch.column(1).to_pylist()]
+        sizes = [None if f is None else len(f) for f in found]
+        ends = np.cumsum([0, *(s or 0 for s in sizes)]).astype(np.int32)
+        flat = pa.array([w for f in found if f for w in f], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                                         ["item", "size", "words"])
+
+
 def bucket_of(term: str) -> Column:
     """The index folder of a term; listings of documents lie in folder -1."""
     return F.when(F.col(term).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
@@ -62,8 +83,7 @@ def posting_blocks(corpus: DataFrame, item: str = "chunk_id", text: str = "text"
     ``terms`` only their postings are made; lengths are whole.  A null text has no terms
     and no length.
     """
-    rows = stage(corpus.select(F.col(item).alias("item"), text), words=tokens(F.col(text)))
-    rows = stage(rows, size=F.size("words")).select("item", "size", "words")
+    rows = corpus.select(F.col(item).alias("item"), F.col(text).alias("text"))
     schema = block_schema(corpus.schema[item].dataType)
 
     shipped = None if terms is None else corpus.sparkSession.sparkContext.broadcast(list(terms))
@@ -71,7 +91,7 @@ def posting_blocks(corpus: DataFrame, item: str = "chunk_id", text: str = "text"
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         wanted = None if shipped is None else pa.array(shipped.value, pa.string())
-        for number, part in enumerate(_shards(batches)):
+        for number, part in enumerate(_shards(_worded(batches))):
             yield from _invert(part, first + number, wanted, schema)
     return rows.mapInArrow(build, schema)
 
@@ -268,30 +288,36 @@ def _search_shard(table: pa.Table, queries: list, by_term: dict, best: list[Best
 
 
 def search_blocks(blocks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, use_idf: bool = True,
-                  average_length: float | None = None, item: str = "chunk_id") -> DataFrame:
+                  average_length: float | None = None, item: str = "chunk_id", dead: DataFrame | None = None) -> DataFrame:
     """(query_id, item, score, matched): BM25 candidates, k of every task, of which the k best
     of a query are its answer; ``matched`` counts the query's distinct terms that the document has.
 
-    ``blocks`` are block rows with a column ``batch``; a row with neither term nor items
-    lists the shard's deleted documents.
+    ``blocks`` are block rows with a column ``batch``; ``dead`` (batch, shard, ords) lists
+    documents of shards that no longer count.
     """
     spark, schema = blocks.sparkSession, blocks.schema
     asked = stage(queries.select("query_id", "query"), terms=F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).select("query_id", "terms")
-    listed = blocks.filter(F.col("items").isNotNull())
-    gone = blocks.filter(F.col("term").isNull() & F.col("items").isNull())
-    lengths = listed.join(gone.select("batch", "shard", F.col("ords").alias("dead")), ["batch", "shard"], "left").select(
-        F.explode(F.filter("lengths", lambda x, i: F.coalesce(~F.array_contains("dead", i), F.lit(True)))).alias("dl"))
+    listed, lengths, held = blocks.filter(F.col("term").isNull()), F.col("lengths"), F.size("ords")
+    counted = listed
+    if dead is not None:
+        gone = dead.select("batch", "shard", F.col("ords").alias("dead"))
+        counted = listed.join(gone, ["batch", "shard"], "left")
+        lengths = F.filter(lengths, lambda x, i: F.coalesce(~F.array_contains("dead", i), F.lit(True)))
+        held = F.when(F.col("dead").isNull(), held).otherwise(F.size(F.array_except("ords", "dead")))
+    lengths = counted.select(F.explode(lengths).alias("dl"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     mean = average_length or totals.mean or 1.0
     kind = queries.schema["query_id"].dataType.simpleString()
+    # shards are heavy rows: adaptive execution would put a few of them into one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = []
     for block in hash_blocks(asked.dropDuplicates(["query_id"]), "query_id", PASS_QUERIES):
         terms = F.broadcast(block.select(F.explode("terms").alias("term")).distinct())  # of PASS_QUERIES queries
         wanted = blocks.filter(F.col("term").isNotNull()).join(terms, "term", "left_semi")
         if "bucket" in blocks.columns:  # folders of the index, BUCKETS at most
             wanted = wanted.filter(F.col("bucket").isin([r[0] for r in terms.select(bucket_of("term")).distinct().collect()]))
-        counted = wanted.join(gone.select("batch", "shard", F.col("ords").alias("dead")), ["batch", "shard"], "left").groupBy("term").agg(
-            F.sum(F.when(F.col("dead").isNull(), F.size("ords")).otherwise(F.size(F.array_except("ords", "dead")))).alias("df")).filter("df > 0")
+        counted = wanted if dead is None else wanted.join(gone, ["batch", "shard"], "left")
+        counted = counted.groupBy("term").agg(F.sum(held).alias("df")).filter("df > 0")
         df = dict(counted.toPandas().itertuples(index=False, name=None))  # a row a term of the pass
         own = [(r.query_id, [t for t in r.terms if t in df]) for r in block.collect()]
         weights = {t: float(np.log1p((totals.n - f + 0.5) / (f + 0.5))) if use_idf else 1.0 for t, f in df.items()}
@@ -300,7 +326,10 @@ def search_blocks(blocks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2
             for t in found:
                 by_term.setdefault(t, []).append(q)
         shipped = spark.sparkContext.broadcast(([[(t, weights[t]) for t in found] for _, found in own], by_term))
-        rows = (wanted.unionByName(listed).unionByName(gone).repartition("batch", "shard").sortWithinPartitions("batch", "shard")
+        moved = wanted.unionByName(listed)
+        if dead is not None:
+            moved = moved.unionByName(dead, allowMissingColumns=True)
+        rows = (moved.repartition(tasks, "batch", "shard").sortWithinPartitions("batch", "shard")
                 .mapInArrow(_search(shipped, k, k1, b, mean, schema),
                             T.StructType([T.StructField("q", T.IntegerType()), T.StructField(item, schema["items"].dataType.elementType),
                                           T.StructField("score", T.DoubleType()), T.StructField("matched", T.IntegerType())])))

@@ -55,11 +55,12 @@ def hash_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     from pyspark.sql import functions as F
 
     blocks = max(1, -(-df.count() // most))
-    while True:
+    while blocks > 1:
         block = F.pmod(F.xxhash64(key), F.lit(blocks))
         if (df.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] or 0) <= most:
             return [df.filter(block == b) for b in range(blocks)]
         blocks *= 2
+    return [df]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -160,22 +160,20 @@ class KeywordIndex:
         placed = rows.withColumn("bucket", postings.bucket_of("term"))
         return self.table.write(placed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard"))
 
-    def blocks(self) -> DataFrame:
-        """All block rows, and for each shard with dead entries a row that lists them."""
-        rows = self.table.read()
-        listed = rows.filter(F.col("bucket") == -1)
-        entries = listed.select("batch", "shard", "deleted", F.posexplode("items").alias("ord", "item"))
+    def dead(self, rows: DataFrame) -> DataFrame:
+        """(batch, shard, ords) of entries that a later entry or a deletion of their item replaces."""
+        entries = rows.filter(F.col("bucket") == -1).select("batch", "shard", "deleted", F.posexplode("items").alias("ord", "item"))
         last = entries.groupBy("item").agg(F.max(F.struct("batch", "shard", "ord")).alias("last"))
         dead = (entries.filter("NOT deleted").join(last, "item").filter(F.struct("batch", "shard", "ord") != F.col("last"))
-                .groupBy("batch", "shard").agg(F.sort_array(F.collect_list("ord")).alias("ords")).withColumn("bucket", F.lit(-1)))
+                .groupBy("batch", "shard").agg(F.sort_array(F.collect_list("ord")).alias("ords")))
         stored = scratch_path(self.spark, "dead")
         dead.write.parquet(stored)
-        return rows.filter("NOT deleted").drop("deleted").unionByName(
-            self.spark.read.schema(dead.schema).parquet(stored), allowMissingColumns=True)
+        return self.spark.read.schema(dead.schema).parquet(stored)
 
     def search(self, queries: DataFrame, k: int = 10, **options) -> DataFrame:
         """(query_id, item, score, matched, rank) of (query_id, query); options as of BM25."""
-        found = postings.search_blocks(self.blocks(), queries, k, item=self.item, **options)
+        rows = self.table.read()
+        found = postings.search_blocks(rows.filter("NOT deleted").drop("deleted"), queries, k, item=self.item, dead=self.dead(rows), **options)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(self.item))
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

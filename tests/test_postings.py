@@ -74,6 +74,12 @@ def test_pruned_scores_equal_sums():
     assert skipped > 1000
 
 
+def test_words_in_tasks_equal_the_column_expression(spark):
+    texts = ["Bảo hiểm Đặc biệt", "½ ﬁne ﬄ Ⅷ x²", "a\u0301 ñ—ß_ÆØ", "日本 한글 b", "", "  ", "MIXED 12-3,4.x", "\u0130\u212a\ufb01", "".join(map(chr, range(0x80, 0x250)))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.tokens(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == {t: [w.decode() for w in P.words_of(t)] for t in texts}
+
+
 @pytest.mark.parametrize("sizes", [{}, {"SHARD_DOCS": 3, "SHARD_TOKENS": 60, "PASS_QUERIES": 2}])
 @pytest.mark.parametrize("kind", ["int", "string"])
 def test_against_all_pairs(spark, asked, monkeypatch, sizes, kind):

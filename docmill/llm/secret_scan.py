@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,7 +36,7 @@ CONTEXT = re.compile(
     rb"(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key"
     rb"|auth(?:orization)?|bearer)"
     rb"""["']?(?:(?P<sign>\x20*(?:=>|:=|[:=])\x20*(?:basic\x20+|bearer\x20+)?)|\x20+(?:is\x20+)?)"""
-    rb"""(?:"(?P<double>(?:[^"\\\r\n]++|\\[^\r\n])++)"|'(?P<single>(?:[^'\\\r\n]++|\\[^\r\n])++)'|["']?(?P<bare>[\x21\x23-\x26\x28-\x7e]+))""", re.I)
+    rb"""(?:"(?P<double>(?:[^"\\\r\n]++|\\[^\r\n])++)"|'(?P<single>(?:[^'\\\r\n]++|\\[^\r\n])++)'|["']?(?P<bare>[\x21\x23-\x26\x28-\x7e\x80-\xff]+))""", re.I)
 
 # Common words and passwords, most frequent first.
 WORDS = (
@@ -138,7 +139,9 @@ class Scanner:
                 m = CONTEXT.search(data, m.end() if strong else m.start(m.lastgroup))
         found.sort()
         if found and not data.isascii():
-            found = [(len(data[:s].decode("utf-8", "replace")), k, len(data[:e].decode("utf-8", "replace"))) for s, k, e in found]
+            # characters before each byte: a text is read once, however many spans it has
+            before = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
+            found = [(int(before[s]), k, int(before[e])) for s, k, e in found]
         return found
 
     def is_strong(self, value: str, prose: bool = True) -> bool:

@@ -105,3 +105,11 @@ def test_redaction_keeps_columns(awkward):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[15] == '[SECRET]" end' and texts[4] is None and texts[5] == ""
     assert not any("0123456789abcdef" in (t or "") for t in texts.values())
+
+
+@pytest.mark.parametrize("text, value", [
+    ("— pwd: pässwörtlang9xQ, und weiter", "pässwörtlang9xQ"), ("clé: x\npassphrase=Žluťoučký-kůň-4711.", "Žluťoučký-kůň-4711"),
+    ('pwd = "ñandú verde 77 größer" fin', "ñandú verde 77 größer"), ("pwd=日本語の秘密文字列です ok", "日本語の秘密文字列です")])
+def test_values_beyond_ascii_are_read_whole(text, value):
+    spans = [(s, e) for s, k, e in S.Scanner().scan(text.encode()) if k == 3]
+    assert [text[s:e] for s, e in spans] == [value]

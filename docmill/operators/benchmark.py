@@ -188,7 +188,7 @@ def context_candidates(blocks: DataFrame, distribution: dict[str, int], seed: in
         else:
             pool = text_blocks.join(size, "doc_id").filter(
                 F.col("chunk_index") + span - 1 <= F.col("last"))
-        draw = F.xxhash64("doc_id", "chunk_index", F.lit(seed), F.lit(case_type))
+        draw = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), F.lit(str(seed)), F.lit(case_type)))
         chosen = pool.select("doc_id", "chunk_index", draw.alias("draw")).orderBy(
             "draw", "doc_id", "chunk_index").limit(count)
         one = chosen.select(F.lit(case_type).alias("case_type"), "doc_id",

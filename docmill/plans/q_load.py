@@ -12,7 +12,7 @@ from docmill.operators import evaluation as ev
 from docmill.operators import graph as gr
 from docmill.operators.chunking import research as rs
 from docmill.operators.numbering import ranked
-from docmill.plans.corpus import DOCS_CTE, documents_corpus
+from docmill.plans.corpus import DOCS_CTE, documents_corpus, pages_corpus
 from docmill.plans.registry import query
 from docmill.session import scratch_path, spread, table
 
@@ -628,11 +628,30 @@ def benchmark_quality_caps(spark, sf):
     return bm.apply_quality_caps(rows)
 
 
+DRAWN = " UNION ALL ".join(f"""
+    (SELECT '{kind}' AS case_type, doc_id, chunk_index AS first_block, chunk_index + {span - 1} AS last_block FROM b
+     WHERE {"tab" if kind == "table_context" else f"NOT tab AND chunk_index + {span - 1} <= last"}
+     ORDER BY md5(concat_ws('|', doc_id, chunk_index, '42', '{kind}')), doc_id, chunk_index LIMIT 30)"""
+    for kind, span in bm.CONTEXTS.items())
+DRAWS = dict.fromkeys(bm.CONTEXTS, 30)
+
+
+@query("benchmark_context_draws", f"""
+    WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber - 1 AS chunk_index, l_linenumber % 3 = 0 AS tab FROM lineitem),
+    b AS (SELECT *, max(chunk_index) FILTER (NOT tab) OVER (PARTITION BY doc_id) AS last FROM r){DRAWN}""")
+def benchmark_context_draws(spark, sf):
+    """Order lines as blocks of a source, every third one a table: all four case types are drawn."""
+    blocks = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("chunk_index"),
+        (F.col("l_linenumber") % 3 == 0).alias("contains_table")).distinct()
+    return bm.context_candidates(blocks, DRAWS)
+
+
 @query("benchmark_context_candidates")
 def benchmark_context_candidates(spark, sf):
-    blocks = rs.context_blocks(documents_corpus(spark, sf), 200, 40)
-    return bm.context_candidates(blocks, {"single_context": 30, "two_context": 30,
-                                          "three_context": 30, "table_context": 0})
+    """Cases over the pages, whose menus are tables."""
+    pages = pages_corpus(spark, sf).withColumnRenamed("page_id", "doc_id")
+    return bm.context_candidates(rs.context_blocks(pages, 200, 40), DRAWS)
 
 
 # --- incremental ingestion --------------------------------------------------------------------------

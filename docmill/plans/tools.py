@@ -547,15 +547,22 @@ TOOLS: dict[str, Callable] = {
 }
 
 
+#: Rows that a call hands to its caller; larger results belong in a table.
+CALL_ROWS = 10_000
+
+
 def call_tool(db: Catalog, name: str, **arguments):
     """Run a tool to plain rows; a failure becomes a JSON error text.
 
-    Spark is lazy, so the envelope covers the collect of the limited result.
+    Spark is lazy, so the envelope covers the collect of the limited result.  More than
+    ``CALL_ROWS`` rows are a failure as well: none are left out in silence.
     """
     try:
         result = TOOLS[name](db, **arguments)
         if isinstance(result, DataFrame):
-            result = [row.asDict(recursive=True) for row in result.toLocalIterator()]
+            result = [row.asDict(recursive=True) for row in result.limit(CALL_ROWS + 1).collect()]
+            if len(result) > CALL_ROWS:
+                raise ValueError(f"The result has more than {CALL_ROWS} rows; add a LIMIT or write it to a table.")
             if name == "get-raw-source":
                 return result[0] if result else {}
         return result or []

@@ -7,10 +7,12 @@ leaves a half-written one.  ``compact`` folds all batches into one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import point_id, search_text
 from docmill.operators import postings
@@ -18,11 +20,16 @@ from docmill.operators.evaluation import latest_per_key
 from docmill.session import scratch_path
 
 
+#: The filter fields beside the company, in the order in which a batch is sorted.
+INDEXED = ("document_type", "product_line", "plan_code", "section_type", "document_id")
+
+
 class VersionedTable:
     """Parquet table of batches; every write adds the next one."""
 
-    def __init__(self, spark: SparkSession, root: str, partition_by: Sequence[str] = ()):
+    def __init__(self, spark: SparkSession, root: str, partition_by: Sequence[str] = (), options: dict[str, object] | None = None):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), list(partition_by)
+        self.options = dict(options or {})
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -50,13 +57,29 @@ class VersionedTable:
     def read(self, below: int | None = None) -> DataFrame:
         """The rows of all complete batches (numbered less than ``below``) with their
         ``batch``, as one scan; an absent column is NULL."""
-        paths = [self._path(v) for v in self._before(below)]
+        fs, _ = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        versions = self._before(below)
+        # a batch without rows has no part files where it is partitioned
+        paths = [p for p in map(self._path, versions)
+                 if any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(path(p)))]
+        if not paths:
+            stream = fs.open(path(f"{self.root}/_schema/{versions[-1]:08d}"))
+            try:
+                schema = T.StructType.fromJson(json.loads(stream.readUTF()))
+            finally:
+                stream.close()
+            return self.spark.createDataFrame([], schema.add("batch", T.IntegerType()))
         return self.spark.read.option("basePath", self.root).option("mergeSchema", len(paths) > 1).parquet(*paths)
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
         """Write the next batch, or ``version`` again."""
         version = (self.versions() or [0])[-1] + 1 if version is None else version
-        writer = df.write.mode("overwrite")
+        fs, _ = self._fs()
+        stream = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_schema/{version:08d}"), True)
+        stream.writeUTF(df.schema.json())
+        stream.close()
+        writer = df.write.mode("overwrite").options(**self.options)
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(self._path(version))
@@ -84,11 +107,14 @@ class ChunkIndex:
     """Chunks keyed by a stable numeric id, partitioned by company for hard filters.
 
     An upsert or a deletion writes its own rows only; a reader takes the latest batch of
-    every id, and ids whose latest row is a deletion are gone.
+    every id, and ids whose latest row is a deletion are gone.  The other filter fields
+    are indexed by the files themselves: rows lie sorted by them, and Bloom filters of
+    their values let a scan pass over row groups that cannot match.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.table = VersionedTable(spark, root, ["company_code"])
+    def __init__(self, spark: SparkSession, root: str, options: dict[str, object] | None = None):
+        blooms = {f"parquet.bloom.filter.enabled#{f}": "true" for f in INDEXED}
+        self.table = VersionedTable(spark, root, ["company_code"], blooms | (options or {}))
 
     def upsert(self, chunks: DataFrame, order: str = "ingested_at", gone: DataFrame | None = None,
                version: int | None = None) -> int:
@@ -103,7 +129,8 @@ class ChunkIndex:
         rows = latest_per_key(rows, ["point_id"], [order])
         if gone is not None:
             rows = rows.unionByName(self._deletions(gone), allowMissingColumns=True)
-        return self.table.write(rows, version)
+        order = [f for f in ("company_code", *INDEXED) if f in rows.columns]
+        return self.table.write(rows.sortWithinPartitions(*order), version)
 
     def delete(self, ids: DataFrame) -> int | None:
         """Drop chunk ids; nothing is written when there are none."""

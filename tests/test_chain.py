@@ -80,6 +80,14 @@ def test_changed_files(spark, place):
     assert {r.batch for r in chain.cache.read().filter("text = 'aaaa bbbb '").collect()} == {1}
 
 
+def test_first_batch_without_files(spark, place):
+    chain, _ = place
+    chain.process(spark.createDataFrame([], "source_path string, provider string, content binary"), 0)
+    assert chain.index.read().count() == 0 and chain.results().count() == 0
+    chain.process(spark.createDataFrame([("p", "x", bytearray(b"one"))], "source_path string, provider string, content binary"), 1)
+    assert indexed(chain) == want({"p": b"one"})
+
+
 def test_several_contents_under_a_path_and_nulls(spark, place):
     chain, _ = place
     batch = spark.createDataFrame([("p", None, bytearray(b"one")), ("p", None, bytearray(b"two")), ("q", "x", None), ("empty", "x", bytearray(b""))],

@@ -116,3 +116,24 @@ def test_pending_and_remaining_work(spark):
     done = spark.createDataFrame([("s1", 900, "success")],
                                  "strategy STRING, size INT, status STRING")
     assert ing.remaining_work(items, done, ["strategy", "size"]).first().strategy == "s2"
+
+
+def test_filters_skip_row_groups(spark, tmp_path):
+    """Each filter field lets the scan pass over most row groups."""
+    index = ix.ChunkIndex(spark, str(tmp_path / "index"), {"parquet.block.size": 16384, "parquet.page.row.count.limit": 200})
+    n = 6000
+    rows = spark.range(n).coalesce(1).select(
+        F.format_string("c%05d", "id").alias("chunk_id"), F.lit("aia").alias("company_code"), F.lit("some words of a chunk").alias("text"),
+        F.format_string("type%d", F.floor(F.col("id") / 1500)).alias("document_type"), F.format_string("line%d", F.floor(F.col("id") / 500)).alias("product_line"),
+        F.format_string("plan%d", F.floor(F.col("id") / 200)).alias("plan_code"), F.format_string("section%d", F.floor(F.col("id") / 100)).alias("section_type"),
+        F.sha2(F.floor(F.col("id") / 50).cast("string"), 256).alias("document_id"))
+    index.upsert(rows)
+    wanted = {"document_type": "type2", "product_line": "line7", "plan_code": "plan11", "section_type": "section40",
+              "document_id": rows.filter("chunk_id = 'c03333'").first().document_id}
+    for field, value in wanted.items():
+        found = index.table.read().filter(F.col(field) == value)
+        want = rows.filter(F.col(field) == value).count()
+        assert len(found.collect()) == want == index.read().filter(F.col(field) == value).count()
+        plan = found._jdf.queryExecution().executedPlan()
+        read = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+        assert want <= read < n / 2, (field, read)

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.arrays import indices, let, let_all, lines, running_total, stage
 from docmill.functions.text import file_stem, short_sha1, strip
 from docmill.operators.chunking import markdown as md
 from docmill.operators.chunking import splitters as sp
-from docmill.operators.embedding import NGRAM_EACH, EachEmbedder
+from docmill.operators.embedding import NGRAM_EACH, EachEmbedder, Embedder, cache_key, embedded
+from docmill.session import scratch_path
+from docmill.sources.index import VersionedTable
 
 
 def part(text: Column, **meta: Column) -> Column:
@@ -196,6 +201,60 @@ def stage_semantic(docs: DataFrame, text: str, out: str, threshold: Callable[[Co
         ).drop("_s", "_d", "_t")
 
 
+def semantic_cached(docs: DataFrame, cache: VersionedTable, embed: Embedder, model: str, percentile: float = 0.95,
+                    min_chars: int = 200, fallback: Embedder | None = None,
+                    prepare: Callable[[Column], Column] = lambda texts: texts) -> DataFrame:
+    """Semantic groups whose sentence windows are embedded once, whatever documents share them.
+
+    Distinct windows that ``cache`` lacks are embedded, one by one where a batch fails, and
+    stored under their key.  A window that fails even then takes its vector of the whole
+    document's from ``fallback``: vectors of two models are never compared.  Without a
+    fallback such a document stays in one piece.  Documents have distinct ``source_path``.
+    """
+    spark = docs.sparkSession
+    staged = stage(docs, _s=F.split(F.col("text"), SENTENCE, -1))
+    staged = stage(staged, _w=prepare(neighbour_windows(F.col("_s"))))
+    key = F.transform("_w", lambda w: cache_key(w, "semantic", model, "sentence", ""))
+    path = scratch_path(spark, "sentences")
+    stage(staged, _k=key).write.parquet(path)
+    staged = spark.read.parquet(path)
+    places = staged.select("source_path", F.posexplode(F.arrays_zip("_k", "_w")).alias("i", "w")).select(
+        "source_path", "i", F.col("w._k").alias("vector_key"), F.col("w._w").alias("text"))
+    misses = places.select("vector_key", "text").dropDuplicates(["vector_key"])
+    if cache.exists():
+        misses = misses.join(cache.read().filter("error IS NULL").select("vector_key").distinct(), "vector_key", "left_anti")
+    version = cache.write(embedded(misses, embed))
+    known = cache.read().filter("error IS NULL").dropDuplicates(["vector_key"]).select("vector_key", "embedding")
+    failed = places.join(cache.read().filter((F.col("batch") == version) & F.col("error").isNotNull()).select("vector_key"), "vector_key", "left_semi") \
+        .select("source_path").distinct()
+    # neighbouring keys; a pair that many documents share is measured once
+    steps = staged.select("source_path", F.posexplode(F.zip_with(
+        F.slice("_k", F.lit(1), F.greatest(F.size("_k") - 1, F.lit(0))), F.slice("_k", F.lit(2), F.greatest(F.size("_k") - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "p")).select("source_path", "i", "p.a", "p.b")
+    sides = [known.select(F.col("vector_key").alias(c), F.col("embedding").alias(f"v{c}")) for c in "ab"]
+    pairs = steps.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", _apart("va", "vb").alias("d"))
+    found = steps.join(pairs, ["a", "b"]).groupBy("source_path").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("_d"))
+    rest = staged.join(failed, "source_path", "left_anti").join(found, "source_path", "left").withColumn(
+        "_d", F.coalesce("_d", F.array().cast("array<double>")))
+    if fallback:
+        again = staged.join(failed, "source_path", "left_semi").withColumn("_d", EachEmbedder(fallback).distances(F.col("_w")))
+    else:
+        again = staged.join(failed, "source_path", "left_semi").withColumn("_d", F.array().cast("array<double>"))
+    staged = stage(rest.select(*again.columns).unionByName(again).drop("_w", "_k"), _t=array_percentile(F.col("_d"), percentile))
+    staged = stage(staged, _texts=F.when(F.size("_s") <= 1, F.array("text")).otherwise(
+        semantic_groups(F.col("_s"), F.col("_d"), F.col("_t"), min_chars))).drop("_s", "_d", "_t")
+    return assemble(stage(staged, _parts=F.transform("_texts", lambda t: part(t))), "semantic_embedding")
+
+
+def _apart(left: str, right: str) -> Column:
+    """1 - cosine of two unit vectors, summed as ``EachEmbedder.distances`` sums it."""
+    @F.pandas_udf(T.DoubleType())
+    def measure(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([1 - float((np.asarray(x)[None] * np.asarray(y)[None]).sum(axis=1)[0]) for x, y in zip(a, b, strict=True)], dtype=float)
+    return measure(left, right)
+
+
 def semantic_embedding(docs: DataFrame, percentile: float = 0.95, min_chars: int = 200,
                        embed_each: EachEmbedder = NGRAM_EACH) -> DataFrame:
     staged = stage_semantic(docs, "text", "_texts", lambda d: array_percentile(d, percentile),

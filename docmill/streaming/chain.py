@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docmill.operators.embedding import cache_key
+from docmill.operators.embedding import Embedder, cache_key, embedded, message
 from docmill.sources.index import ChunkIndex, VersionedTable, source_key
 
 Chunker = Callable[[str], Sequence[str]]
-Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 CHUNKS = "cache_key string, chunk_index int, text string, error string"
-VECTORS = "vector_key string, embedding array<double>, error string"
 RESULTS = ("source_path string, provider string, status string, chunk_count int, former_count int, "
            "total_chars bigint, least_chars int, most_chars int, cache_hit boolean, error string")
 
@@ -39,10 +37,6 @@ def file_stream(spark: SparkSession, root: str, pattern: str = "*.md", files_per
     return raw.select(rel.alias("source_path"), F.split(rel, "/")[0].alias("provider"), "content")
 
 
-def message(error: Exception) -> str:
-    return f"{type(error).__name__}: {error}"
-
-
 def chunked(texts: DataFrame, chunk: Chunker) -> DataFrame:
     """(cache_key, text) to chunk rows; a text whose chunker raises gives one row with the error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,25 +54,6 @@ def chunked(texts: DataFrame, chunk: Chunker) -> DataFrame:
     return texts.select("cache_key", "text").mapInArrow(run, CHUNKS)
 
 
-def embedded(texts: DataFrame, embed: Embedder, batch_size: int = 64) -> DataFrame:
-    """(vector_key, text) to vectors; when a batch raises, its texts are tried one by one."""
-    def each(texts: list[str]) -> list[tuple]:
-        try:
-            return [([float(x) for x in v], None) for v in embed(texts)]
-        except Exception as error:
-            return [(None, message(error))] if len(texts) == 1 else [r for t in texts for r in each([t])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch_size):
-                batch = whole.slice(at, batch_size)
-                found = each(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vector_key"), pa.array([v for v, _ in found], pa.list_(pa.float64())), pa.array([e for _, e in found], pa.string())],
-                    ["vector_key", "embedding", "error"])
-    return texts.select("vector_key", "text").mapInArrow(run, VECTORS)
-
-
 @dataclass
 class IngestChain:
     """Where a chain keeps its tables and how it chunks and embeds."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from docmill.functions import parse as ps
 from docmill.functions import text as tx
 from docmill.functions.arrays import lines
 from docmill.operators.numbering import ranked
-from docmill.session import scratch_path
+from docmill.session import hash_blocks, scratch_path, spread
 
 # Contexts per case type, in reporting order.
 CONTEXTS = {"single_context": 1, "two_context": 2, "three_context": 3, "table_context": 1}
@@ -33,6 +37,65 @@ def candidate_lines(docs: DataFrame, keywords: str = ps.KEYWORDS, low_value: str
                 & ~F.col("quote").rlike(f"(?iu){low_value}"))
 
 
+def sufficient(quotes: list[tuple], top: int) -> list[tuple]:
+    """Of (-overlap, id, path) in order, those among the best ``top`` for some source that is left out:
+    ``top`` of a source at most, and ``top + 1`` sources."""
+    kept, places = [], {}
+    for quote in quotes:
+        here = places.get(quote[2], 0)
+        if (here and here < top) or (not here and len(places) <= top):
+            kept.append(quote)
+            places[quote[2]] = here + 1
+    return kept
+
+
+def _similar(shipped, top: int, threshold: float):
+    """Arrow function (sid, tokens, offers) -> what a task's sets offer to each shipped set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sids, tokens = shipped.value
+        kept: list[list[tuple]] = [[] for _ in sids]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SHARD_SETS):
+                _offer_shard(whole.slice(at, SHARD_SETS), sids, tokens, kept, top, threshold)
+        rows = [(sid, -overlap, other, path) for sid, own in zip(sids, kept, strict=True) for overlap, other, path in own]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.string(), pa.string()), strict=True)],
+            ["sid", "overlap", "other", "other_path"])
+    return run
+
+
+def _offer_shard(shard: pa.RecordBatch, sids: list[int], tokens: list[list[str]], kept: list[list[tuple]], top: int, threshold: float) -> None:
+    """Count common tokens of the shipped sets with a shard's; the best quotes go to ``kept``."""
+    lists = shard.column("tokens")
+    encoded = lists.flatten().dictionary_encode()
+    code = np.asarray(encoded.indices)
+    order = np.argsort(code, kind="stable")
+    holders = np.asarray(pc.list_parent_indices(lists))[order]
+    ends = np.searchsorted(code[order], np.arange(len(encoded.dictionary) + 1))
+    where = {t: (ends[i], ends[i + 1]) for i, t in enumerate(encoded.dictionary.to_pylist())}
+    sizes, mine = np.asarray(pc.list_value_length(lists)), np.asarray(shard.column("sid"))
+    for q, (sid, asked) in enumerate(zip(sids, tokens, strict=True)):
+        places = [where[t] for t in asked if t in where]
+        if not places:
+            continue
+        common = np.bincount(np.concatenate([holders[a:b] for a, b in places]), minlength=len(sizes))
+        union = len(asked) + sizes - common
+        hit = np.flatnonzero((common > 0) & (common >= threshold * union) & (mine != sid))
+        overlap = np.round(common[hit] / union[hit], 6)
+        floor = 0.0
+        for i in np.argsort(-overlap, kind="stable").tolist():
+            own = kept[q]
+            if len({path for _, _, path in own}) > top:
+                # the last source's best quote: worse ones are nobody's answer
+                firsts = {path: -o for o, _, path in reversed(own)}
+                floor = min(firsts.values())
+            if overlap[i] < floor:
+                break
+            new = [(-float(overlap[i]), o["id"], o["path"]) for o in shard.column("offers")[int(hit[i])].as_py()]
+            kept[q] = sufficient(sorted(own + new), top)
+
+
 def interleave(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
     """Round-robin over providers, the largest provider first in every round.
 
@@ -44,15 +107,21 @@ def interleave(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
     return rows.orderBy("position", F.desc("provider_size"), "provider")
 
 
+#: Distinct token sets of a pass (what is shipped) and of a shard inside a task.
+PASS_SETS, SHARD_SETS = 1 << 12, 1 << 13
+
+
 def related_sources(candidates: DataFrame, top: int = 2, threshold: float = 0.12) -> DataFrame:
     """Quotes of other sources with token Jaccard at or above the threshold, best first.
 
-    Copies are compared once: quotes are reduced to distinct token sets, sets are
-    matched, and the answer of a (set, source) is given to all its quotes.  Sets
-    meet through an exact prefix filter: with tokens ordered from rare to
-    frequent, two sets that similar share a token among their rarest
-    ``n - ceil(t * n) + 1``, so frequent tokens build no pairs.
+    Copies are compared once: quotes are reduced to distinct token sets, and a set offers
+    the earliest quotes of its earliest sources, as many as can ever be an answer.  Sets
+    meet in memory: tasks invert their shards of sets and count common tokens against
+    passes of shipped sets.  A set keeps the few best quotes that suffice whichever source
+    asks, so neither pairs nor tokens are shuffled, and what leaves the tasks grows with
+    the sets.
     """
+    spark = candidates.sparkSession
     tokens = F.sort_array(tx.similarity_tokens(F.col("quote")))
     keyed = candidates.select(
         F.concat_ws("#", "source_path", F.format_string("%06d", F.col("line_start"))).alias("id"),
@@ -60,43 +129,31 @@ def related_sources(candidates: DataFrame, top: int = 2, threshold: float = 0.12
         tokens.alias("tokens")).filter(F.size("tokens") > 0) \
         .withColumn("sid", F.xxhash64(F.array_join("tokens", " ")))
     # every later step starts here: texts are read and cut into tokens once
-    path = scratch_path(candidates.sparkSession, "quotes")
+    path = scratch_path(spark, "quotes")
     keyed.write.parquet(path)
-    keyed = candidates.sparkSession.read.schema(keyed.schema).parquet(path)
-    sets = keyed.groupBy("sid").agg(F.max("tokens").alias("tokens"))
-    exploded = sets.select("sid", F.explode("tokens").alias("t"))
-    frequency = exploded.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = exploded.join(frequency, "t").groupBy("sid").agg(F.sort_array(F.collect_list(
-        F.struct("df", "t"))).alias("o"))  # the few tokens of one quote
-    n = F.size("o")
-    prefix = ranked.select("sid", F.explode(F.slice(
-        "o", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))).alias("p")) \
-        .select("sid", F.col("p.t").alias("t"))
-    pairs = prefix.alias("a").join(prefix.alias("b"), "t").filter("a.sid <> b.sid") \
-        .select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other_sid")).distinct()
-    theirs = sets.select(F.col("sid").alias("other_sid"), F.col("tokens").alias("theirs"))
-    overlap = F.round(F.size(F.array_intersect("tokens", "theirs"))
-                      / F.size(F.array_union("tokens", "theirs")), 6)
-    matched = pairs.join(sets, "sid").join(theirs, "other_sid") \
-        .select("sid", "other_sid", overlap.alias("overlap"), (
-            F.size(F.array_intersect("tokens", "theirs"))
-            >= threshold * F.size(F.array_union("tokens", "theirs"))).alias("close")) \
-        .filter("close").drop("close")
-    same = sets.select("sid", F.col("sid").alias("other_sid"), F.lit(1.0).alias("overlap"))
+    keyed = spark.read.schema(keyed.schema).parquet(path)
     # Whatever source is left out, the best `top` quotes of a set are among the first
     # `top` of its `top + 1` earliest sources.
     first = Window.partitionBy("sid", "path").orderBy("id")
-    members = keyed.select("sid", "path", "id").withColumn("r", F.row_number().over(first)) \
-        .filter(F.col("r") <= top)
+    members = keyed.select("sid", "path", "id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top)
     early = Window.partitionBy("sid").orderBy("lead")
     lead = members.filter("r = 1").select("sid", "path", F.col("id").alias("lead")) \
         .withColumn("p", F.row_number().over(early)).filter(F.col("p") <= top + 1)
-    members = members.join(lead.select("sid", "path"), ["sid", "path"]).select(
-        F.col("sid").alias("other_sid"), F.col("path").alias("other_path"),
-        F.col("id").alias("other"))
+    members = members.join(lead.select("sid", "path"), ["sid", "path"])
+    offers = members.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("id", "path"))).alias("offers"))
+    path = scratch_path(spark, "quote-sets")
+    keyed.groupBy("sid").agg(F.max("tokens").alias("tokens")).join(offers, "sid").write.parquet(path)
+    sets = spark.read.parquet(path)
+    found = "sid bigint, overlap double, other string, other_path string"
+    parts = []
+    for block in hash_blocks(sets.select("sid", "tokens"), "sid", PASS_SETS):
+        own = block.toArrow()  # PASS_SETS quotes at most
+        shipped = spark.sparkContext.broadcast((own.column("sid").to_pylist(), own.column("tokens").to_pylist()))
+        parts.append(spread(sets).mapInArrow(_similar(shipped, top, threshold), found))
+    same = members.select("sid", F.lit(1.0).alias("overlap"), F.col("id").alias("other"), F.col("path").alias("other_path"))
     asking = keyed.select("sid", "path").distinct()
     best = Window.partitionBy("sid", "path").orderBy(F.desc("overlap"), "other")
-    answers = asking.join(matched.unionByName(same), "sid").join(members, "other_sid") \
+    answers = asking.join(functools.reduce(DataFrame.unionByName, parts, same), "sid") \
         .filter("path <> other_path").withColumn("rank", F.row_number().over(best)) \
         .filter(F.col("rank") <= top)
     return keyed.select("id", "sid", "path").join(answers, ["sid", "path"]) \

@@ -312,6 +312,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # every block's queries are its own; a row filed twice comes from two tasks at most
-    found = functools.reduce(DataFrame.unionByName, parts).distinct()
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

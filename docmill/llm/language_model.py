@@ -106,106 +106,172 @@ def unflat(values: np.ndarray, outputs: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _softmax(x: np.ndarray, targets: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probability of each row's target, exponentials, their sums); overwrites ``x``.
 
-
-def _softmax(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probability of each row's target, exponentials, their sums); overwrites ``x``."""
-    x -= x.max(1, keepdims=True)
+    ``bounded`` says that no value is beyond what an exponential of 32 bits can hold.
+    """
+    if not bounded:
+        x -= x.max(1, keepdims=True)
     chosen = x[np.arange(len(x)), targets]
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x @ np.ones(x.shape[1], np.float32)
     return chosen - np.log(total), x, total
 
 
+def _logistic(x: np.ndarray) -> None:
+    """1 / (1 + e^-x) in place."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(80), out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _small(kernel: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether all outputs stay within +-60, states being within +-1."""
+    return kernel.size == 0 or float(np.abs(kernel).sum(-2).max() + np.abs(bias).max()) < 60
+
+
+def _gates(matrix: np.ndarray) -> np.ndarray:
+    """(3, rows, SIZE): the columns of the update gate, the reset gate and the candidate apart."""
+    return np.ascontiguousarray(matrix.reshape(len(matrix), 3, SIZE).transpose(1, 0, 2))
+
+
+def _joined(gates: np.ndarray) -> np.ndarray:
+    return gates.transpose(1, 0, 2).reshape(gates.shape[1], 3 * SIZE)
+
+
 class Gated:
     """A gated recurrent unit with a class-factored output."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w, self.projected = weights, None
+        self.w, self.fixed = weights, None
+
+    def _fixed(self, changed: bool):
+        """Every token's share of the gates, the recurrent gates, and which outputs are small."""
+        if changed or self.fixed is None:
+            w = self.w
+            self.fixed = (_gates(w["E"] @ w["Wx"] + w["b"]), _gates(w["Wh"]), _small(w["Wc"], w["bc"]), _small(w["Wo"], w["bo"]))
+        return self.fixed
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
-        """The state after each input (steps x lanes); ``fresh`` marks where a text begins."""
-        w, s = self.w, SIZE
-        if keep:
-            x = w["E"][inputs] @ w["Wx"] + w["b"]
-        else:  # the weights stand still: every token's share is computed once
-            if self.projected is None:
-                self.projected = w["E"] @ w["Wx"] + w["b"]
-            x = self.projected[inputs]
-        out, kept = np.empty((*inputs.shape, s), np.float32), []
+        """The state after each input (steps x lanes); ``fresh`` marks where a text begins.
+
+        With ``keep`` also (state before, gates, recurrent candidate, candidate) of each step.
+        """
+        shares, recurrent, *_ = self._fixed(keep)  # kept for gradients: the weights have moved
+        shape, begins, bias = (*inputs.shape, SIZE), fresh.any(1), self.w["bh"]
+        out = np.empty(shape, np.float32)
+        kept = (np.empty(shape, np.float32), np.empty((len(inputs), 2, *shape[1:]), np.float32),
+                np.empty(shape, np.float32), np.empty(shape, np.float32)) if keep else None
         for t in range(len(inputs)):
-            if fresh[t].any():
+            if begins[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
-            g = state @ w["Wh"]
-            zr = _sigmoid(x[t, :, :2 * s] + g[:, :2 * s])
-            z, r = zr[:, :s], zr[:, s:]
-            gn = g[:, 2 * s:] + w["bh"]
-            n = np.tanh(x[t, :, 2 * s:] + r * gn)
+            g = np.matmul(state, recurrent)
+            x = shares.take(inputs[t], axis=1)
+            zr = kept[1][t] if keep else g[:2]
+            np.add(g[:2], x[:2], out=zr)
+            _logistic(zr)
+            gn = np.add(g[2], bias, out=kept[2][t] if keep else g[2])
+            n = np.multiply(zr[1], gn, out=kept[3][t] if keep else None)
+            n += x[2]
+            n *= 2  # tanh(n) = 2 logistic(2 n) - 1; an exponential costs half as much here
+            _logistic(n)
+            n *= 2
+            n -= 1
             if keep:
-                kept.append((state, z, r, gn, n))
-            state = n + z * (state - n)
-            out[t] = state
-        return out, state, kept
+                kept[0][t] = state
+            after = np.subtract(state, n, out=out[t])
+            after *= zr[0]
+            after += n
+            state = after
+        return out, state.copy(), kept
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None):
         """Natural log of P(target | state) of every row, and with ``gradient`` that of the states."""
         w = self.w
-        groups = np.where(targets < 2, targets, 2 + (targets - 2) // CLASS_WORDS)
-        logs, d, total = _softmax(h @ w["Wc"] + w["bc"], groups)
-        out, back = logs.astype(np.float64), None
+        *_, small_classes, small_words = self._fixed(False)
+        groups = np.where(targets < 2, targets, 2 + (targets - 2) // CLASS_WORDS).astype(np.int16)
+        order = np.argsort(groups, kind="stable")
+        h, groups, words = h[order], groups[order], (targets[order] - 2) % CLASS_WORDS
+        x = h @ w["Wc"]
+        x += w["bc"]
+        logs, d, total = _softmax(x, groups, small_classes)
+        logs = logs.astype(np.float64)
+        back, ones = None, np.ones(len(h), np.float32)
         if gradient is not None:
             d /= total[:, None]
-            d[np.arange(len(targets)), groups] -= 1
+            d[np.arange(len(d)), groups] -= 1
             gradient["Wc"] += h.T @ d
-            gradient["bc"] += d.sum(0)
+            gradient["bc"] += ones @ d
             back = d @ w["Wc"].T
-        order = np.argsort(groups, kind="stable")
-        found, first = np.unique(groups[order], return_index=True)
-        for g, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        found, first = np.unique(groups, return_index=True)
+        for g, start, stop in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(groups)], strict=True):
             if g < 2:
                 continue
-            word = (targets[part] - 2) % CLASS_WORDS
-            own = h[part]
-            logs, d, total = _softmax(own @ w["Wo"][g - 2] + w["bo"][g - 2], word)
-            out[part] += logs
+            own = h[start:stop]
+            x = own @ w["Wo"][g - 2]
+            x += w["bo"][g - 2]
+            part, d, total = _softmax(x, words[start:stop], small_words)
+            logs[start:stop] += part
             if gradient is not None:
                 d /= total[:, None]
-                d[np.arange(len(part)), word] -= 1
+                d[np.arange(len(d)), words[start:stop]] -= 1
                 gradient["Wo"][g - 2] += own.T @ d
-                gradient["bo"][g - 2] += d.sum(0)
-                back[part] += d @ w["Wo"][g - 2].T
-        return out, back
+                gradient["bo"][g - 2] += ones[start:stop] @ d
+                back[start:stop] += d @ w["Wo"][g - 2].T
+        out = np.empty_like(logs)
+        out[order] = logs
+        if back is None:
+            return out, None
+        placed = np.empty_like(back)
+        placed[order] = back
+        return out, placed
 
     def gradients(self, inputs, targets, valid, fresh, state):
         """Gradients of the summed loss over one window, the state after it, and its tokens."""
         w, s = self.w, SIZE
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        h, last, kept = self.states(inputs, fresh, state, keep=True)
+        h, last, (before, zr, gn, n) = self.states(inputs, fresh, state, keep=True)
         at = np.flatnonzero(valid.ravel())
         _, back = self.log_probabilities(h.reshape(-1, s)[at], targets.ravel()[at], grad)
-        dh_out = np.zeros((inputs.size, s), np.float32)
-        dh_out[at] = back
-        dh_out = dh_out.reshape(*inputs.shape, s)
-        dx, dh = np.empty((*inputs.shape, 3 * s), np.float32), np.zeros_like(state)
+        if len(at) == inputs.size:
+            dh_out = back.reshape(h.shape)
+        else:
+            dh_out = np.zeros((inputs.size, s), np.float32)
+            dh_out[at] = back
+            dh_out = dh_out.reshape(h.shape)
+        z, r = zr[:, 0], zr[:, 1]
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * (z * (1 - z))
+        to_r = gn * (r * (1 - r))
+        turned, begins = np.ascontiguousarray(_gates(w["Wh"]).transpose(0, 2, 1)), fresh.any(1)
+        d = np.empty((4, *h.shape), np.float32)  # of z, r, the recurrent candidate, the candidate
+        dh = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, gn, n = kept[t]
             dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            grad["Wh"] += before.T @ dg
-            grad["bh"] += dg[:, 2 * s:].sum(0)
-            dh = dh * z + dg @ w["Wh"].T
-            if fresh[t].any():
+            dn = np.multiply(dh, to_n[t], out=d[3, t])
+            np.multiply(dh, to_z[t], out=d[0, t])
+            np.multiply(dn, to_r[t], out=d[1, t])
+            np.multiply(dn, r[t], out=d[2, t])
+            dh *= z[t]
+            for part, gate in zip(d[:3, t], turned, strict=True):
+                dh += part @ gate
+            if begins[t]:
                 dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        rows = dx.reshape(-1, 3 * s)
+        d = d.reshape(4, -1, s)
+        grad["Wh"] += _joined(np.matmul(before.reshape(-1, s).T, d[:3]))
+        ones = np.ones(inputs.size, np.float32)
+        grad["bh"] += ones @ d[2]
+        # the shares of equal tokens are summed before they meet the weights
+        ids = inputs.ravel()
+        order = np.argsort(ids.astype(np.int16 if len(w["E"]) < 1 << 15 else np.int32), kind="stable")
+        found, first = np.unique(ids[order], return_index=True)
+        rows = np.concatenate([np.add.reduceat(d[i][order], first, axis=0) for i in (0, 1, 3)], 1)
         grad["b"] += rows.sum(0)
-        grad["Wx"] += w["E"][inputs.ravel()].T @ rows
-        np.add.at(grad["E"], inputs.ravel(), rows @ w["Wx"].T)
+        grad["Wx"] += w["E"][found].T @ rows
+        grad["E"][found] += rows @ w["Wx"].T
         return grad, last, len(at)
 
 

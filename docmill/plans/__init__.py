@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load", "q_more", "q_extra", "q_stream", "q_join", "q_quality")
+MODULES = ("q_relational", "q_text", "q_chunk", "q_retrieval", "q_load", "q_more", "q_extra", "q_stream", "q_join", "q_quality", "q_proposals")
 
 
 def load_all():

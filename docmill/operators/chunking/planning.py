@@ -9,12 +9,12 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.arrays import delimited, let, stage
+from docmill.functions.rows import each_row
 from docmill.functions.text import strip
 from docmill.operators.chunking import splitters as sp
 
@@ -116,34 +116,29 @@ def plan_boundaries(tokens: Column, asked: Column | None = None, low: int = 80,
     ``asked`` is an optional map from a unit to the last unit a model wanted
     its chunk to reach.
     """
-    @F.pandas_udf(PLAN)
-    def solve(sizes: pd.Series, wishes: pd.Series) -> pd.Series:
-        return pd.Series([None if ts is None else [
-            dict(zip(("first", "last", "reason"), row)) for row in best_plan(
-                [int(t) for t in ts], {int(k): int(v) for k, v in dict(w or {}).items()},
-                low, target, preferred, high)] for ts, w in zip(sizes, wishes)])
+    def solve(ts: list, w: list | None) -> list[dict]:
+        return [dict(zip(("first", "last", "reason"), row)) for row in best_plan(
+            [int(t) for t in ts], {int(k): int(v) for k, v in dict(w or {}).items()},
+            low, target, preferred, high)]
     wishes = F.create_map().cast("map<int,int>") if asked is None else asked
-    return solve(tokens, wishes)
+    return each_row(solve, PLAN)(tokens, wishes)
 
 
 def middle_plan(tokens: Column, low: int, target: int, preferred: int, high: int) -> Column:
     """Deterministic plan: from each start take the middle preferred (else valid) cut."""
-    @F.pandas_udf(PLAN)
-    def walk(sizes: pd.Series) -> pd.Series:
-        def one(ts):
-            total, out, at = [0, *accumulate(int(t) for t in ts)], [], 0
-            while at < len(ts):
-                upto = max(at + 1, bisect_right(total, total[at] + high) - 1)
-
-                def band(a: int, b: int) -> list[int]:
-                    return [e for e in range(at + 1, upto + 1) if a <= total[e] - total[at] <= b]
-                ends = band(target, preferred) or band(low, high) or [upto]
-                stop = ends[len(ends) // 2]
-                out.append({"first": at, "last": stop - 1, "reason": "middle preferred cut"})
-                at = stop
-            return out
-        return sizes.map(lambda ts: None if ts is None else one(ts))
-    return walk(tokens)
+    def walk(ts: list) -> list[dict]:
+        total, out, at = [0, *accumulate(int(t) for t in ts)], [], 0
+        while at < len(ts):
+            upto = max(at + 1, bisect_right(total, total[at] + high) - 1)
+
+            def band(a: int, b: int) -> list[int]:
+                return [e for e in range(at + 1, upto + 1) if a <= total[e] - total[at] <= b]
+            ends = band(target, preferred) or band(low, high) or [upto]
+            stop = ends[len(ends) // 2]
+            out.append({"first": at, "last": stop - 1, "reason": "middle preferred cut"})
+            at = stop
+        return out
+    return each_row(walk, PLAN)(tokens)
 
 
 def boundary_chunks(docs: DataFrame, low: int = 80, target: int = 220, preferred: int = 320,

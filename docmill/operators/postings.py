@@ -13,7 +13,7 @@ a pass; queries are shipped in passes of a checked size.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.arrays import stage
+from docmill.functions.rows import SLICE_ROWS
 from docmill.functions.text import ascii_fold, ascii_mapping
 from docmill.session import hash_blocks
 
@@ -50,15 +51,23 @@ def words_of(text: str) -> list[bytes]:
     return raw.encode("ascii", "ignore").translate(TERM_BYTES).split()
 
 
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (item, size, words); a null text has no size."""
-    for batch in batches:
-        found = [None if t is None else words_of(t) for t in batch.column(1).to_pylist()]
-        sizes = [None if f is None else len(f) for f in found]
-        ends = np.cumsum([0, *(s or 0 for s in sizes)]).astype(np.int32)
-        flat = pa.array([w for f in found if f for w in f], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                         ["item", "size", "words"])
+def _worded(batches: Iterator[pa.RecordBatch], wanted: Collection[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """(item, text) to (item, size, words), the words among ``wanted`` if given; a null text has no size.
+
+    Words are Python objects of a few texts at a time, never of a whole batch.
+    """
+    kept = None if wanted is None else {w.encode() for w in wanted}
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(at, SLICE_ROWS)
+            found = [None if t is None else words_of(t) for t in batch.column(1).to_pylist()]
+            sizes = [None if f is None else len(f) for f in found]
+            if kept is not None:
+                found = [f and [w for w in f if w in kept] for f in found]
+            ends = np.cumsum([0, *(len(f or ()) for f in found)]).astype(np.int32)
+            flat = pa.array([w for f in found if f for w in f], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                                             ["item", "size", "words"])
 
 
 def bucket_of(term: str) -> Column:
@@ -90,9 +99,9 @@ def posting_blocks(corpus: DataFrame, item: str = "chunk_id", text: str = "text"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        wanted = None if shipped is None else pa.array(shipped.value, pa.string())
-        for number, part in enumerate(_shards(_worded(batches))):
-            yield from _invert(part, first + number, wanted, schema)
+        words = _worded(batches, None if shipped is None else shipped.value)
+        for number, part in enumerate(_shards(words)):
+            yield from _invert(part, first + number, schema)
     return rows.mapInArrow(build, schema)
 
 
@@ -111,16 +120,22 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 held.append(batch.slice(start, stop - start))
                 docs, words = docs + stop - start, words + int(ends[stop - 1]) - before
             if stop < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, docs, words = [], 0, 0
+                full, held, docs, words = held, [], 0, 0
+                yield _joined(full)
             start = max(stop, start)
     if held:
-        yield pa.Table.from_batches(held)
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.Table:
+    """One copy of the rows; the list is emptied."""
+    whole = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    return whole
 
 
-def _invert(part: pa.Table, shard: int, wanted: pa.Array | None, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+def _invert(part: pa.Table, shard: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
     """The block rows of one shard."""
-    part = part.combine_chunks()
     order = pc.sort_indices(part.column("item").combine_chunks())
     items, words, sizes = (part.column(c).combine_chunks().take(order) for c in ("item", "words", "size"))
     n, whole = len(items), pa.array([0, len(items)], pa.int32())
@@ -129,9 +144,6 @@ def _invert(part: pa.Table, shard: int, wanted: pa.Array | None, schema: T.Struc
         [pa.array([shard]), pa.nulls(1, pa.string()), pa.ListArray.from_arrays(whole, items), none, none,
          pa.ListArray.from_arrays(whole, sizes.cast(pa.int32())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], schema.names)
     doc, flat = np.asarray(pc.list_parent_indices(words)).astype(np.int64), words.flatten()
-    if wanted is not None:
-        kept = pc.is_in(flat, wanted)
-        doc, flat = doc[np.asarray(kept)], flat.filter(kept)
     if not len(flat):
         return
     encoded = flat.dictionary_encode()

@@ -163,3 +163,27 @@ def test_versioned_table_is_one_scan_and_compacts(spark, tmp_path):
     assert sorted((r.batch, r.id) for r in table.read().collect()) == [(v, i) for v in (1, 2, 3) for i in range(v)]
     table.compact(table.read().filter("batch = 3").drop("batch"))
     assert table.versions() == [4] and table.read().count() == 3
+
+
+def test_words_are_objects_of_a_few_texts_at_a_time(monkeypatch):
+    """A whole Arrow batch of words took 870 MB of a task's memory."""
+    import pyarrow as pa
+
+    from docmill.operators import postings
+
+    monkeypatch.setattr(postings, "SLICE_ROWS", 4)
+    read = []
+    whole = postings.words_of
+    monkeypatch.setattr(postings, "words_of", lambda t: read.append(t) or whole(t))
+    texts = [None if i == 5 else f"Café w{i} two w{i % 3}" for i in range(11)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(texts, pa.string())], ["item", "text"])
+    for wanted in (None, ["two", "w1", "absent"]):
+        read.clear()
+        out = postings._worded(iter([batch]), wanted)
+        first = next(out)
+        assert first.num_rows == len(read) == 4
+        rows = [r for b in (first, *out) for r in b.to_pylist()]
+        for r, t in zip(rows, texts, strict=True):
+            words = [] if t is None else [w.decode() for w in whole(t)]
+            assert r["size"] == (None if t is None else len(words))
+            assert r["words"] == [w for w in words if wanted is None or w in wanted]

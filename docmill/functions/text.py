@@ -524,21 +524,19 @@ def clean_image_noise(text: Column) -> Column:
             .when(strip(ln) == "", "blank").otherwise("text")
 
     def caption(paragraph: Column) -> Column:
-        body = F.array_join(F.transform(paragraph, strip), " ")
-        low = F.lower(body)
-        starts = low.startswith(CAPTION_STARTS[0])
-        for lead in CAPTION_STARTS[1:]:
-            starts = starts | low.startswith(lead)
-        return starts & ~body.rlike(r"^[#\-*|\[(<>]")
+        # no opening begins with one of the marks that make a paragraph more than a caption
+        return F.lower(F.array_join(F.transform(paragraph, strip), " ")).rlike("^(?:" + "|".join(CAPTION_STARTS) + ")")
 
     def clean(ls: Column) -> Column:
-        kinds = F.transform(ls, kind)
+        return let(F.transform(ls, kind), lambda kinds: cleaned(ls, kinds))
+
+    def cleaned(ls: Column, kinds: Column) -> Column:
         runs = islands(kinds, lambda a, b: a == b)
         start = F.struct(F.array().cast(kept).alias("out"), F.lit(False).alias("noise"))
 
         def step(acc: Column, r: Column) -> Column:
             block = F.slice(ls, r["first"] + 1, r["last"] - r["first"] + 1)
-            what = kind(F.get(ls, r["first"]))
+            what = F.get(kinds, r["first"])
             drop = (what == "image") | (acc["noise"] & ((what == "blank") | caption(block)))
             tidy = F.transform(block, lambda ln: F.regexp_replace(F.regexp_replace(
                 F.regexp_replace(ln, IMAGE_TOKEN, ""), "[ \t]{2,}", " "), r"\s+$", ""))
@@ -547,7 +545,7 @@ def clean_image_noise(text: Column) -> Column:
         return F.aggregate(runs, start, step, lambda acc: acc["out"])
     joined = F.array_join(let(lines(text), clean), "\n")
     joined = F.regexp_replace(F.regexp_replace(joined, r"\n{4,}", "\n\n\n"), r"^\n+|\n+$", "")
-    return F.when(strip(joined) == "", F.lit("")).otherwise(F.concat(joined, F.lit("\n")))
+    return let(joined, lambda j: F.when(strip(j) == "", F.lit("")).otherwise(F.concat(j, F.lit("\n"))))
 
 
 def first_json_object(text: Column) -> Column:

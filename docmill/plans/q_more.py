@@ -12,7 +12,7 @@ from docmill.operators.chunking import research as rs
 from docmill.plans.corpus import documents_corpus
 from docmill.plans.q_chunk import FIXED_SQL
 from docmill.plans.registry import query
-from docmill.session import scratch_path, table
+from docmill.session import dealt, scratch_path, table
 from docmill.sources.index import ChunkIndex
 
 
@@ -22,8 +22,8 @@ from docmill.sources.index import ChunkIndex
 def image_noise(spark, sf):
     dirty = F.concat(F.col("p_name"), F.lit("\n\n![](page_img.png)\n\nA man with a "),
                      F.col("p_name"), F.lit("\n\n\nend  "), F.col("p_type"))
-    return table(spark, sf, "part").select("p_partkey", tx.clean_image_noise(dirty)
-                                           .alias("cleaned"))
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return dealt(rows, "p_partkey").select("p_partkey", tx.clean_image_noise(dirty).alias("cleaned"))
 
 
 @query("text_json_recovery", "SELECT event_id, props AS recovered FROM events")

@@ -50,6 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows by hash of a distinct key to all cores, for work that costs more than a shuffle.
+
+    A scan of a table of few bytes is a task or two, however many rows it holds.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def hash_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     """Rows of distinct keys by hash of the key, in blocks of at most ``most`` rows (counted)."""
     from pyspark.sql import functions as F

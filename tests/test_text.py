@@ -124,3 +124,16 @@ def test_metadata_sanitizing(one):
     got = one(tx.sanitize_metadata(F.create_map(F.lit("keep"), F.lit("abcdef"), F.lit("heavy"),
                                                 F.lit("x")), ("heavy",), 3))
     assert got == {"keep": "abc"}
+
+
+def test_image_noise_is_dealt_to_all_cores(spark):
+    """The scan of a table of few bytes is one task, and a row costs more than its shuffle."""
+    from docmill.plans import load_all
+
+    found = load_all()[0]["text_image_noise"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_image_noise_takes_captions_by_any_opening(one):
+    for lead in tx.CAPTION_STARTS:
+        assert one(tx.clean_image_noise(F.col("t")), t=f"x\n![](p_img.png)\n\n{lead.title()}of it\nand on\n\n- {lead}item\n") == f"x\n- {lead}item\n"

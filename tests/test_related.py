@@ -41,3 +41,39 @@ def test_sufficient_serves_every_source_left_out():
         assert len(kept) <= top * (top + 1)
         for path in ["p0", "p1", "p2", "p3", "none"]:
             assert [q for q in quotes if q[2] != path][:top] == [q for q in kept if q[2] != path][:top]
+
+
+def test_a_source_of_later_copies_only_still_asks(spark):
+    rows = [(f"s{i}", 1, ["first", "second", "third"]) for i in range(6)] + [("t", 1, ["first", "second", "other"])]
+    frame = spark.createDataFrame([(p, n, " ".join(ws)) for p, n, ws in rows], "source_path string, line_start int, quote string")
+    got = {(r.id, r.other, r["rank"], r.overlap) for r in bm.related_sources(frame).collect()}
+    assert got == plain(rows, 2, 0.12)
+
+
+@pytest.mark.parametrize("threshold", [0.12, 0.4, 1.0])
+def test_only_pairs_that_may_arrive_are_counted_in_full(monkeypatch, threshold):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm, "CLASS_SETS", 150)
+    monkeypatch.setattr(bm, "CLASS_ASKING", 40)
+    monkeypatch.setattr(bm, "MEETINGS", 500)
+    rng = np.random.default_rng(3)
+    sets = [sorted({int(c) for c in 3000 - np.minimum(rng.zipf(1.3, rng.integers(1, 40)), 2999)}) for _ in range(900)]
+    extra = rng.integers(0, 4, len(sets))  # tokens of one set only
+    rows = pa.table({"sid": pa.array(range(900), pa.int64()), "n": pa.array([len(s) + int(e) for s, e in zip(sets, extra)], pa.int64()),
+                     "codes": pa.array(sets, pa.list_(pa.int32())),
+                     "offers": pa.array([[{"place": i, "source": i}] for i in range(900)])})
+    block, full = bm._Block(rows, threshold), []
+    best = block._best
+    monkeypatch.setattr(block, "_best", lambda asking, x, y, top: (full.append(len(x)), best(asking, x, y, top))[1])
+    found = block.offered(rows.combine_chunks().to_batches()[0], 900).to_pylist()
+    want = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(set(a) & set(b))
+            union = len(a) + len(b) + int(extra[i] + extra[j]) - common
+            if i != j and common and common >= threshold * union:
+                want.add((i, j, round(common / union, 6)))
+    assert {(r["sid"], r["place"], round(r["overlap"], 6)) for r in found} == want
+    assert sum(full) <= 3 * len(want) + 900  # the former code made a dense pass over all 810,000 pairs

@@ -1,8 +1,10 @@
 """Semantic chunking on cached vectors against the uncached method."""
 
+import numpy as np
 import pytest
 
 from docmill.functions.text import strip_marks
+from docmill.operators import embedding as em
 from docmill.operators.chunking import strategies as st
 from docmill.operators.embedding import ngram_vector
 from docmill.sources.index import VersionedTable
@@ -67,3 +69,34 @@ def test_failed_windows_take_their_document_to_the_fallback(spark, docs, tmp_pat
     # a failure is tried again, and mends the cache
     mended = rows(st.semantic_cached(docs, cache, good, "ngram", 0.6, 40, None, fold))
     assert mended == plain
+
+
+def test_neighbours_are_measured_where_they_are_embedded(spark, tmp_path):
+    cache = VersionedTable(spark, str(tmp_path / "cache"))
+    own = [(f"a/{i}.md", "a", " ".join(f"Sentence{i}x{j} of policy {WORDS[j % 10]}." for j in range(100 + i))) for i in range(3)]
+    frame = spark.createDataFrame(own, "source_path string, provider string, text string")
+    st.semantic_cached(frame, cache, good, "ngram", 0.6, 40, prepare=lambda w: st.F.transform(w, strip_marks))
+    kept = cache.read()
+    measured = kept.filter("apart IS NOT NULL")
+    assert measured.count() == 99 + 100 + 101  # over slices of 64: no vector has to be moved
+    by_key = {r.vector_key: r.embedding for r in kept.collect()}
+    for r in measured.collect():
+        assert r.apart == 1 - (np.asarray([by_key[r.prev_key]]) * np.asarray([by_key[r.vector_key]])).sum(axis=1)[0]
+
+
+def test_texts_of_a_batch_have_the_vectors_of_each(monkeypatch):
+    texts = ["", " ", "a", "ab", "a b", "ab cd  efg\n hij", "đường ß bcd 漢字漢字漢 xyz", "\x1c a\x00b c", *(text_of(i) for i in range(9))]
+    for chars in (1, 50, 1 << 16):
+        monkeypatch.setattr(em, "VECTOR_CHARS", chars)
+        assert (em.ngram_vectors(texts) == np.array([ngram_vector(t) for t in texts])).all()
+    assert em.ngram_vectors([]).shape == (0, 512)
+
+
+def test_vectors_of_odd_lengths_and_failures_keep_their_rows(spark):
+    def odd(texts):
+        if "bad" in texts:
+            raise ValueError("no vector")
+        return [[1.0] * len(t) for t in texts]
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a", "bad", "abc", ""])], "vector_key string, text string").coalesce(1)
+    got = {r.vector_key: (r.embedding, r.error) for r in em.embedded(frame, odd).collect()}
+    assert got == {"0": ([1.0], None), "1": (None, "ValueError: no vector"), "2": ([1.0] * 3, None), "3": ([], None)}

@@ -50,8 +50,9 @@ def test_a_source_of_later_copies_only_still_asks(spark):
     assert got == plain(rows, 2, 0.12)
 
 
+@pytest.mark.parametrize("own", [True, False])
 @pytest.mark.parametrize("threshold", [0.12, 0.4, 1.0])
-def test_only_pairs_that_may_arrive_are_counted_in_full(monkeypatch, threshold):
+def test_only_pairs_that_may_arrive_are_counted_in_full(monkeypatch, threshold, own):
     import numpy as np
     import pyarrow as pa
 
@@ -63,7 +64,7 @@ def test_only_pairs_that_may_arrive_are_counted_in_full(monkeypatch, threshold):
     extra = rng.integers(0, 4, len(sets))  # tokens of one set only
     rows = pa.table({"sid": pa.array(range(900), pa.int64()), "n": pa.array([len(s) + int(e) for s, e in zip(sets, extra)], pa.int64()),
                      "codes": pa.array(sets, pa.list_(pa.int32())),
-                     "offers": pa.array([[{"place": i, "source": i}] for i in range(900)])})
+                     "offers": pa.array([[{"place": i, "source": i}] for i in range(900)]), "own": pa.array([own] * 900)})
     block, full = bm._Block(rows, threshold), []
     best = block._best
     monkeypatch.setattr(block, "_best", lambda asking, x, y, top: (full.append(len(x)), best(asking, x, y, top))[1])

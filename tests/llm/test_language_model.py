@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docmill.llm import language_model as L
@@ -136,3 +137,65 @@ def test_every_training_document_reaches_the_network(spark, monkeypatch, tmp_pat
     seen = [int(f.read_text()) for f in tmp_path.iterdir()]
     assert sum(seen) == sum(r.n_tokens for r in scored if not r.held_out)
     assert len(seen) == L.ROUNDS
+
+
+def test_texts_are_read_twice_whatever_the_rounds(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"One two\tthree {i}") for i in range(50)], "doc_id long, text string")
+    assert len(L.score_texts(docs.mapInArrow(noted, docs.schema)).collect()) == 50
+    assert read.value == 100
+
+
+def test_words_of_a_batch():
+    texts = [" lead and Trail ", None, "", "\u0085 \x1c  mixed\x0bspace\x0c", "\u00c9T\u00c9 a", "\n\n", "x"]
+    for given in (pa.array(texts), pa.array(["cut", *texts, "cut"]).slice(1, len(texts))):
+        words, sizes = L.words_of(given)
+        ends = np.cumsum(sizes)
+        got = [[w.decode() for w in words.to_pylist()[e - n:e]] for e, n in zip(ends, sizes, strict=True)]
+        assert got == [tokens(t)[:-1] for t in texts]
+
+
+def test_token_ids_and_sums_of_a_table(spark, awkward):
+    rows = awkward.collect()
+    counts = Counter("" if t is None else t for r in rows for t in tokens(r.text))
+    known = {w: n for w, n in counts.items() if n > 1}
+    knowledge = L.Knowledge(sum(counts.values()), len(counts), [w.encode() for w in known], list(known.values()))
+    knowledge.inside = 100
+    number = {w: i for i, w in enumerate(knowledge.words.to_pylist()[:100], 2)}
+    coded = L.encoded(awkward.withColumn("held_out", L.F.lit(False)).select("doc_id", "held_out", "text"), spark.sparkContext.broadcast(knowledge))
+    want, got = [], []
+    for r in rows:
+        own = [t.encode() for t in tokens(r.text)[:-1]]
+        ids = [*(number.get(w, L.OTHER) for w in own), L.END]
+        want.append((ids, ids.count(L.OTHER), sum(w.decode() in known for w in own), [w for w in own if w.decode() not in known]))
+    for r in coded.collect():
+        ids = np.frombuffer(r.ids, L.TOKEN).tolist()
+        got.append((ids, r.n_other, r.n_common, [bytes(w) for w in r.rare]))
+        assert len(ids) == r.n_tokens and 0 <= r.turn < L.ROUNDS
+    assert sorted(got) == sorted(want)
+
+
+def test_equal_tokens_are_summed():
+    rng = np.random.default_rng(4)
+    for ids in (np.repeat(np.arange(5), [1, 200, 33, 32, 2]), np.zeros(100, np.int64), np.arange(7)):
+        ids = rng.permutation(ids)
+        parts = [rng.standard_normal((len(ids), L.SIZE)).astype(np.float32) for _ in range(2)]
+        want = np.zeros((ids.max() + 1, 2 * L.SIZE))
+        np.add.at(want, ids, np.concatenate(parts, 1))
+        assert L._sums(parts, ids, len(want)) == pytest.approx(want, abs=1e-4)
+
+
+def test_texts_are_taken_in_buffers(monkeypatch):
+    monkeypatch.setattr(L, "BUFFER", 10)
+    texts = [np.arange(n, dtype=L.TOKEN) for n in (3, 4, 30, 1, 1, 10, 2, 8, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary()), pa.array(range(len(texts)))], ["ids", "row"])
+    out = list(L.buffered(iter([batch.slice(0, 4), batch.slice(4)])))
+    assert [i for parts, _ in out for p in parts for i in p.column("row").to_pylist()] == list(range(len(texts)))
+    assert [t.tolist() for _, own in out for t in own] == [t.tolist() for t in texts]
+    assert [sum(map(len, own)) for _, own in out] == [37, 12, 10, 1]

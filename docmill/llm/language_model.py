@@ -40,7 +40,7 @@ ROUNDS, STEP, STEP_TOKENS = 4, 8e-3, 1024
 #: so at most this many words are broadcast.
 COMMON = 1 << 20
 #: Bytes of text that a task splits at once, and rows whose outputs are worked on at once.
-SLICE, BLOCK = 1 << 25, 1 << 10
+SLICE, BLOCK = 1 << 23, 1 << 10
 #: Equal tokens of a window up to so many are summed place by place, more of them token by token.
 REPEATS = 32
 #: How token ids are written; a vocabulary is smaller than this can hold.

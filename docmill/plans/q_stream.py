@@ -113,7 +113,7 @@ def _chain(spark, sf):
         F.when(F.col("doc_id") % 11 == 3, F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw).alias("content"))
     root = scratch_path(spark, "chain")
     for part in (0, 1):
-        files.filter(F.pmod(F.xxhash64("source_path"), F.lit(2)) == part).coalesce(8).write.mode("append").parquet(f"{root}/files")
+        files.filter(F.pmod(F.xxhash64("source_path"), F.lit(2)) == part).coalesce(8).write.mode("append").option("compression", "zstd").parquet(f"{root}/files")
     chain = IngestChain(spark, root, _chunk, _embed, {"size": 1000}, most_chunks=12)
     for run in (1, 2):
         stream = record_stream(spark, f"{root}/files", files.schema)

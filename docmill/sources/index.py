@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from docmill.functions.text import point_id, search_text
 from docmill.operators import postings
 from docmill.operators.evaluation import latest_per_key
-from docmill.session import scratch_path
+from docmill.session import scratch_path, swept
 
 
 #: The filter fields beside the company, in the order in which a batch is sorted.
@@ -25,11 +25,11 @@ INDEXED = ("document_type", "product_line", "plan_code", "section_type", "docume
 
 
 class VersionedTable:
-    """Parquet table of batches; every write adds the next one."""
+    """Parquet table of batches; every write adds the next one, and keeps no shuffle files of its making."""
 
     def __init__(self, spark: SparkSession, root: str, partition_by: Sequence[str] = (), options: dict[str, object] | None = None):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), list(partition_by)
-        self.options = dict(options or {})
+        self.options = {"compression": "zstd"} | dict(options or {})
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -82,7 +82,8 @@ class VersionedTable:
         writer = df.write.mode("overwrite").options(**self.options)
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(self._path(version))
+        with swept(df.sparkSession):
+            writer.parquet(self._path(version))
         return version
 
     def compact(self, rows: DataFrame) -> int:
@@ -117,16 +118,18 @@ class ChunkIndex:
         self.table = VersionedTable(spark, root, ["company_code"], blooms | (options or {}))
 
     def upsert(self, chunks: DataFrame, order: str = "ingested_at", gone: DataFrame | None = None,
-               version: int | None = None) -> int:
+               version: int | None = None, distinct: bool = False) -> int:
         """Add chunks; an existing id is replaced.  The search text is the ASCII form.
 
         ``gone`` has chunk ids that the same batch drops; a given ``version`` is written again.
+        Where ids are ``distinct`` no row is moved to find the latest of an id.
         """
         rows = chunks.withColumns({"point_id": point_id(F.col("chunk_id")), "deleted": F.lit(False),
                                    "search_text": search_text(F.col("text"))})
         if order not in rows.columns:
             rows = rows.withColumn(order, F.lit(1))
-        rows = latest_per_key(rows, ["point_id"], [order])
+        if not distinct:
+            rows = latest_per_key(rows, ["point_id"], [order])
         if gone is not None:
             rows = rows.unionByName(self._deletions(gone), allowMissingColumns=True)
         order = [f for f in ("company_code", *INDEXED) if f in rows.columns]

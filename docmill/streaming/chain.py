@@ -23,6 +23,8 @@ from docmill.sources.index import ChunkIndex, VersionedTable, source_key
 Chunker = Callable[[str], Sequence[str]]
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+#: Paths or keys (64 bytes each) that are shipped to where the texts lie.
+MANY_PATHS = 1 << 16
 CHUNKS = "cache_key string, chunk_index int, text string, error string"
 RESULTS = ("source_path string, provider string, status string, chunk_count int, former_count int, "
            "total_chars bigint, least_chars int, most_chars int, cache_hit boolean, error string")
@@ -83,53 +85,80 @@ class IngestChain:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One batch; the same number writes the same tables again.  Of several contents
-        under one path the greatest counts."""
+        under one path the greatest counts.
+
+        Texts are moved to be chunked, embedded and stored, once each; all else is joined on keys.
+        """
         number = batch_id + 1
-        content = F.col("content").cast("string")
-        files = (batch.groupBy("source_path").agg(F.max(F.struct("content", "provider")).alias("f")).select("source_path", "f.*")
-                 .withColumn("text", F.when(F.is_valid_utf8(content), content)).drop("content")
-                 .withColumn("cache_key", source_key(self.chunk_config)).persist())
+        again = batch.groupBy("source_path").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("source_path").alias("again")).persist()
+        files = self._files(batch, again)
+        keys = files.select("source_path", "provider", "cache_key", F.col("text").isNotNull().alias("read")).persist()
         try:
             self._chunks(files, number)
-            self._vectors(files, number)
-            self._finish(files, number)
+            self._vectors(keys, number)
+            self._finish(keys, number)
         finally:
-            files.unpersist()
+            keys.unpersist()
+            again.unpersist()
+
+    def _files(self, batch: DataFrame, again: DataFrame) -> DataFrame:
+        """(source_path, provider, text, cache_key); contents are compared under the paths that come ``again``."""
+        rows, several = batch.select("source_path", "provider", "content"), again.count()
+        if several:
+            again = F.broadcast(again) if several <= MANY_PATHS else again
+            same = F.col("source_path").eqNullSafe(F.col("again"))
+            most = rows.join(again, same, "left_semi").groupBy("source_path").agg(F.max(F.struct("content", "provider")).alias("f"))
+            rows = rows.join(again, same, "left_anti").unionByName(most.select("source_path", "f.provider", "f.content"))
+        content = F.col("content").cast("string")
+        return rows.select("source_path", "provider", F.when(F.is_valid_utf8(content), content).alias("text")) \
+            .withColumn("cache_key", source_key(self.chunk_config))
 
     def _chunks(self, files: DataFrame, number: int) -> None:
         """Chunk the texts that no former batch has chunked; equal texts once."""
-        misses = files.filter("text IS NOT NULL").dropDuplicates(["cache_key"])
+        misses = files.filter("text IS NOT NULL").select("cache_key", "text").dropDuplicates(["cache_key"])
         if self.cache.exists(number):
-            misses = misses.join(self.cache.read(number).filter("error IS NULL").select("cache_key"), "cache_key", "left_anti")
+            misses = misses.join(self.cache.read(number).filter("error IS NULL").select("cache_key").distinct(), "cache_key", "left_anti")
         self.cache.write(chunked(misses, self.chunk), number)
 
-    def _of_files(self, files: DataFrame, number: int) -> DataFrame:
-        """The cached chunks of each file, failures of this batch among them."""
-        rows = self.cache.read(number + 1).filter((F.col("batch") == number) | F.col("error").isNull())
+    def _cached(self, number: int) -> DataFrame:
+        """The chunks that count for a batch, its own failures among them, under the keys of their vectors."""
         key = cache_key(F.col("text"), "chain", self.model, "document", "")
-        return files.select("source_path", "provider", "cache_key").join(rows, "cache_key").withColumn("vector_key", key)
+        return self.cache.read(number + 1).filter((F.col("batch") == number) | F.col("error").isNull()).withColumn("vector_key", key)
 
-    def _vectors(self, files: DataFrame, number: int) -> None:
+    def _vectors(self, keys: DataFrame, number: int) -> None:
         """Embed the chunk texts that no former batch has embedded; equal texts once."""
-        wanted = self._of_files(files, number).filter("text IS NOT NULL").dropDuplicates(["vector_key"])
-        if self.vectors.exists(number):
-            wanted = wanted.join(self.vectors.read(number).filter("error IS NULL").select("vector_key"), "vector_key", "left_anti")
+        chunks = self._cached(number).filter("text IS NOT NULL")
+        wanted = chunks.filter(F.col("batch") == number).select("vector_key", "text")
+        known = self.vectors.read(number).filter("error IS NULL").select("vector_key") if self.vectors.exists(number) else None
+        if self.cache.exists(number):  # of former batches those whose vectors failed
+            former = chunks.filter(F.col("batch") < number)
+            lacking = former.join(keys.select("cache_key").distinct(), "cache_key", "left_semi").select("vector_key").distinct()
+            lacking = (lacking if known is None else lacking.join(known, "vector_key", "left_anti")).persist()
+            if count := lacking.count():
+                asked = F.broadcast(lacking) if count <= MANY_PATHS else lacking
+                wanted = wanted.unionByName(former.join(asked, "vector_key", "left_semi").select("vector_key", "text"))
+        wanted = wanted.dropDuplicates(["vector_key"])
+        if known is not None:
+            wanted = wanted.join(known, "vector_key", "left_anti")
         self.vectors.write(embedded(wanted, self.embed), number)
+        if self.cache.exists(number):
+            lacking.unpersist()
 
-    def _finish(self, files: DataFrame, number: int) -> None:
+    def _finish(self, keys: DataFrame, number: int) -> None:
         """Results, then the chunks of the completed files."""
         made = self.vectors.read(number + 1).filter((F.col("batch") == number) | F.col("error").isNull())
-        rows = self._of_files(files, number).join(
-            made.select("vector_key", "embedding", F.col("error").alias("vector_error")), "vector_key", "left")
         size = F.length("text")
+        sized = self._cached(number).select("cache_key", "vector_key", F.col("text").isNotNull().alias("chunk"), size.alias("chars"), "error", "batch")
+        rows = keys.select("source_path", "cache_key").join(sized, "cache_key").join(
+            made.select("vector_key", F.col("error").alias("vector_error")), "vector_key", "left")
         stats = rows.groupBy("source_path").agg(
-            F.count("text").cast("int").alias("n"), F.sum(size).alias("total_chars"), F.min(size).alias("least_chars"), F.max(size).alias("most_chars"),
+            F.count_if("chunk").cast("int").alias("n"), F.sum("chars").alias("total_chars"), F.min("chars").alias("least_chars"), F.max("chars").alias("most_chars"),
             F.min("error").alias("chunk_error"), F.min("vector_error").alias("vector_error"), F.bool_and(F.col("batch") < number).alias("cache_hit"))
         n = F.coalesce("n", F.lit(0))
         too_many = F.when(n > self.most_chunks, F.concat(n.cast("string"), F.lit(f" chunks are more than {self.most_chunks}."))) \
             if self.most_chunks is not None else F.lit(None).cast("string")
-        error = F.coalesce(F.when(F.col("text").isNull(), F.lit("UnicodeError: not UTF-8")), "chunk_error", too_many, "vector_error")
-        judged = files.join(stats, "source_path", "left").withColumn("error", error)
+        error = F.coalesce(F.when(~F.col("read"), F.lit("UnicodeError: not UTF-8")), "chunk_error", too_many, "vector_error")
+        judged = keys.join(stats, "source_path", "left").withColumn("error", error)
         good = F.col("error").isNull()
         former = self.log.read(number).filter("status = 'completed'").groupBy("source_path").agg(F.max_by("chunk_count", "batch").alias("former_count")) \
             if self.log.exists(number) else self.spark.createDataFrame([], "source_path string, former_count int")
@@ -140,9 +169,13 @@ class IngestChain:
             F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "error"), number)
         done = self.log.read(number + 1).filter((F.col("batch") == number) & (F.col("status") == "completed"))
         chunk_id = F.concat_ws(":", "source_path", F.col("chunk_index").cast("string"))
-        chunks = rows.join(done.select("source_path"), "source_path", "left_semi").filter("text IS NOT NULL").select(
+        # narrow rows find their owners and vectors before they meet the texts
+        held = self._cached(number).filter("text IS NOT NULL")
+        placed = keys.join(done.select("source_path"), "source_path", "left_semi").select("source_path", "provider", "cache_key") \
+            .join(held.select("cache_key", "chunk_index", "vector_key"), "cache_key").join(made.select("vector_key", "embedding"), "vector_key", "left")
+        chunks = held.select("cache_key", "chunk_index", "text").join(placed, ["cache_key", "chunk_index"]).select(
             chunk_id.alias("chunk_id"), F.coalesce("provider", F.lit("")).alias("company_code"), "source_path", "chunk_index", "text", "embedding")
         # chunks beyond the new end of a file that was longer before
         gone = done.filter("former_count > chunk_count").select(
             "source_path", F.explode(F.sequence("chunk_count", F.col("former_count") - 1)).alias("chunk_index")).select(chunk_id.alias("chunk_id"))
-        self.index.upsert(chunks, gone=gone, version=number)
+        self.index.upsert(chunks, gone=gone, version=number, distinct=True)

@@ -1,7 +1,10 @@
 """The ingestion chain: failures stay with their file, replays and returns change nothing."""
 
+import time
+
 import pytest
 
+from docmill.sources.index import VersionedTable
 from docmill.streaming.chain import IngestChain, file_stream
 
 
@@ -97,3 +100,51 @@ def test_several_contents_under_a_path_and_nulls(spark, place):
     assert {r.source_path: r.status for r in chain.results().collect()} == {"p": "completed", "q": "failed", "empty": "completed"}
     chain.process(batch.limit(0), 1)
     assert indexed(chain) == want({"p": b"two"})
+
+
+def test_contents_of_distinct_paths_are_not_moved(spark, place):
+    chain, _ = place
+    batch = spark.createDataFrame([(f"p{i}", "x", bytearray(b"text %d" % i)) for i in range(4)], "source_path string, provider string, content binary")
+    none = spark.createDataFrame([], "again string")
+    files = chain._files(batch, none)
+    assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString() and files.count() == 4
+    assert {r.text for r in files.collect()} == {f"text {i}" for i in range(4)}
+
+
+def test_paths_that_come_again_beside_others_and_without_a_path(spark, place, monkeypatch):
+    chain, _ = place
+    rows = [("p", "x", bytearray(b"one")), ("p", "y", bytearray(b"two")), ("q", "x", bytearray(b"only")), (None, "x", bytearray(b"a")), (None, "x", bytearray(b"b"))]
+    batch = spark.createDataFrame(rows, "source_path string, provider string, content binary")
+    for most in (1 << 16, 0):  # shipped paths and joined ones
+        monkeypatch.setattr("docmill.streaming.chain.MANY_PATHS", most)
+        again = batch.groupBy("source_path").count().filter("count > 1").selectExpr("source_path AS again")
+        got = {(r.source_path, r.provider, r.text) for r in chain._files(batch, again).collect()}
+        assert got == {("p", "y", "two"), ("q", "x", "only"), (None, "x", "b")}
+    chain.process(batch, 0)
+    assert indexed(chain) == want({"p": b"two", "q": b"only"})
+
+
+def test_vectors_that_failed_before_are_tried_again(spark, place):
+    chain, _ = place
+    batch = spark.createDataFrame([("p", "x", bytearray(b"poison")), ("q", "x", bytearray(b"good"))], "source_path string, provider string, content binary")
+    chain.process(batch, 0)
+    assert indexed(chain) == want({"q": b"good"})
+    chain.embed = lambda texts: [[len(t), t.count("a")] for t in texts]
+    chain.process(batch.filter("source_path = 'p'"), 1)  # its chunks are those of the first batch
+    assert indexed(chain) == want({"p": b"poison", "q": b"good"})
+    assert chain.vectors.read().filter("batch = 2").count() == 1 and chain.cache.read().filter("batch = 2").count() == 0
+
+
+def test_a_written_batch_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in map(str, (blocks.apply(i) for i in range(blocks.size()))) if b.startswith("shuffle_")}
+    before = shuffled()
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.read().count() == 1000
+    assert all("zstd" in p.name for p in (tmp_path / "t").rglob("part-*.parquet"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

@@ -100,3 +100,39 @@ def test_vectors_of_odd_lengths_and_failures_keep_their_rows(spark):
     frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a", "bad", "abc", ""])], "vector_key string, text string").coalesce(1)
     got = {r.vector_key: (r.embedding, r.error) for r in em.embedded(frame, odd).collect()}
     assert got == {"0": ([1.0], None), "1": (None, "ValueError: no vector"), "2": ([1.0] * 3, None), "3": ([], None)}
+
+
+def test_packed_vectors_keep_every_bit(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = {"counts": np.array([0.0, 3.0, 1.0, 1.0] * 40) / 7.1, "signs": np.array([0.0, -0.0, 1e-300, -1.5] * 9), "dense": rng.normal(size=64),
+               "many": np.repeat(rng.normal(size=95), 3), "most": np.repeat(rng.normal(size=90), 2), "empty": np.zeros(0), "zeros": np.zeros(512)}
+    frame = spark.createDataFrame([(k, k, None) for k in vectors] + [("bad", "bad", None)], "vector_key string, text string, prev_key string").coalesce(1)
+
+    def give(texts):
+        return [vectors[t] for t in texts]  # a KeyError for the unknown one
+    cache = VersionedTable(spark, str(tmp_path / "cache"))
+    cache.write(em.embedded(frame, give))
+    got = {r.vector_key: r.embedding for r in cache.read().collect()}
+    assert got.pop("bad") is None and {k: np.array(v).tobytes() for k, v in got.items()} == {k: v.tobytes() for k, v in vectors.items()}
+    kept = {r.vector_key: r.codes is not None for r in cache.read(packed=True).collect()}
+    assert {k for k, packed in kept.items() if packed} == {"counts", "signs", "most", "zeros"}
+    cache.compact(cache.read().drop("batch"))  # vectors as they were kept before
+    assert {r.vector_key: r.embedding for r in cache.read().collect()} == got | {"bad": None}
+
+
+def test_windows_of_several_documents_take_their_vectors_from_the_cache(spark, docs, tmp_path):
+    cache = VersionedTable(spark, str(tmp_path / "cache"))
+    fold = {"prepare": lambda w: st.F.transform(w, strip_marks)}
+    st.semantic_cached(docs, cache, good, "ngram", 0.6, 40, **fold)
+    stored = cache.read()
+    # sentences of two documents in turn: neighbours that no document had
+    pieces = [text_of(i).split(". ") for i in (1, 2)]
+    mixed = ". ".join(x for pair in zip(*pieces, strict=True) for x in pair)
+    more = spark.createDataFrame([("c/mixed.md", "c", mixed), ("c/again.md", "c", text_of(1))], docs.schema)
+    both = docs.unionByName(more)
+    want = rows(st.semantic_embedding(both, 0.6, 40))
+    assert rows(st.semantic_cached(both, cache, good, "ngram", 0.6, 40, **fold)) == want
+    # the same from a cache that keeps no distances, as one of before
+    old = VersionedTable(spark, str(tmp_path / "old"))
+    old.write(stored.select("vector_key", "embedding", "error"))
+    assert rows(st.semantic_cached(both, old, good, "ngram", 0.6, 40, **fold)) == want

@@ -13,6 +13,7 @@ a pass; queries are shipped in passes of a checked size.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
@@ -26,12 +27,12 @@ from pyspark.sql import types as T
 from docmill.functions.arrays import stage
 from docmill.functions.rows import SLICE_ROWS
 from docmill.functions.text import ascii_fold, ascii_mapping
-from docmill.session import hash_blocks
+from docmill.session import hash_blocks, stored
 
 #: Documents and tokens of a shard, and queries of a pass.
 SHARD_DOCS, SHARD_TOKENS, PASS_QUERIES = 1 << 14, 1 << 22, 1 << 12
-#: Folders of a stored index, by hash of the term.
-BUCKETS = 64
+#: Folders of a stored index, by hash of the term; tasks that write the listings of documents.
+BUCKETS, LISTING_TASKS = 64, 8
 #: Scores are rounded to six places; a bound must fall short by more than that.
 SLACK = 1e-6
 
@@ -45,9 +46,27 @@ def tokens(text: Column) -> Column:
 TERM_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+#: A text of so many distinct odd characters is translated character by character.
+ODD, MOST_ODD = re.compile("[^\\x00-\\x7f]"), 64
+
+
+@functools.cache
+def _ascii_of(char: str) -> str:
+    return char.translate(ascii_mapping()).encode("ascii", "ignore").decode()
+
+
+def _ascii(text: str) -> str:
+    odd = set(ODD.findall(text))
+    if len(odd) > MOST_ODD:
+        return text.translate(ascii_mapping())
+    for char in odd:
+        text = text.replace(char, _ascii_of(char))
+    return text
+
+
 def words_of(text: str) -> list[bytes]:
     """``tokens`` of one text, inside a task."""
-    raw = text if text.isascii() else text.translate(ascii_mapping())
+    raw = text if text.isascii() else _ascii(text)
     return raw.encode("ascii", "ignore").translate(TERM_BYTES).split()
 
 
@@ -75,6 +94,21 @@ def bucket_of(term: str) -> Column:
     return F.when(F.col(term).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
+def by_folder(rows: DataFrame) -> DataFrame:
+    """Block rows by index folder, in files sorted by term; a term lies in one file.
+
+    Rows are placed by hashes: ranges of them would be drawn from a sample, for which all texts are inverted once more.
+    """
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.withColumn("bucket", bucket_of("term"))
+    within = F.pmod(F.shiftright(F.xxhash64("term"), 16), F.lit(1 << 20))
+    # tasks share out the folders in their order: each has about as many rows and no more folders than it must
+    task = F.floor((F.col("bucket") * (1 << 20) + within) * tasks / (BUCKETS << 20)).cast("int")
+    listings = F.pmod("shard", F.lit(min(tasks, LISTING_TASKS))).cast("int")
+    return placed.repartitionById(tasks, F.when(F.col("term").isNull(), listings).otherwise(task)).sortWithinPartitions("bucket", "term", "shard")
+
+
 def block_schema(item: T.DataType) -> T.StructType:
     numbers = T.ArrayType(T.IntegerType())
     return T.StructType([
@@ -299,6 +333,38 @@ def _search_shard(table: pa.Table, queries: list, by_term: dict, best: list[Best
             best[q].add(list(zip((-scores).tolist(), items.take(pa.array(found)).to_pylist(), matched.tolist(), strict=True)))
 
 
+def _totals(listed: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """(n, mean): how many documents of the listings count, and the mean of their lengths."""
+    none = F.array().cast("array<int>")
+    rows = listed.withColumn("dead", none) if gone is None else listed.join(gone, ["batch", "shard"], "left").withColumn("dead", F.coalesce("dead", none))
+
+    def known(lengths: Column) -> tuple[Column, Column]:
+        return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))), F.size(F.filter(lengths, lambda x: x.isNotNull()))
+    whole, lost = known(F.col("lengths")), known(F.transform("dead", lambda i: F.get("lengths", i)))
+    sums = rows.select((F.size("lengths") - F.size("dead")).alias("n"), (whole[0] - lost[0]).alias("length"), (whole[1] - lost[1]).alias("known"))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("length") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"))
+
+
+#: Shards whose bitmaps of dead documents are shipped (2 KB each).
+SHIPPED_SHARDS = 1 << 14
+
+
+def _bitmaps(dead: DataFrame) -> DataFrame:
+    """(batch, shard, bits): the dead documents of a shard, 64 to a number."""
+    words = dead.select("batch", "shard", F.explode("ords").alias("o")).groupBy("batch", "shard", F.shiftright("o", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, o & 63)")).alias("x"))
+    held = F.map_from_entries(F.collect_list(F.struct("w", "x")))
+    bits = stored(words.groupBy("batch", "shard").agg(held.alias("m"), F.max("w").alias("last")).select("batch", "shard", F.transform(
+        F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("bits")), "dead-bits")
+    return F.broadcast(bits) if bits.count() <= SHIPPED_SHARDS else bits
+
+
+def _alive(ords: str, bits: str) -> Column:
+    """How many of a block's documents are not dead."""
+    word = lambda o: F.coalesce(F.get(bits, F.shiftright(o, 6)), F.lit(0).cast("bigint"))
+    return F.when(F.col(bits).isNull(), F.size(ords)).otherwise(F.size(F.filter(ords, lambda o: F.getbit(word(o), o.bitwiseAND(F.lit(63))) == 0)))
+
+
 def search_blocks(blocks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, use_idf: bool = True,
                   average_length: float | None = None, item: str = "chunk_id", dead: DataFrame | None = None) -> DataFrame:
     """(query_id, item, score, matched): BM25 candidates, k of every task, of which the k best
@@ -309,15 +375,10 @@ def search_blocks(blocks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2
     """
     spark, schema = blocks.sparkSession, blocks.schema
     asked = stage(queries.select("query_id", "query"), terms=F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).select("query_id", "terms")
-    listed, lengths, held = blocks.filter(F.col("term").isNull()), F.col("lengths"), F.size("ords")
-    counted = listed
+    listed = blocks.filter(F.col("term").isNull())
     if dead is not None:
-        gone = dead.select("batch", "shard", F.col("ords").alias("dead"))
-        counted = listed.join(gone, ["batch", "shard"], "left")
-        lengths = F.filter(lengths, lambda x, i: F.coalesce(~F.array_contains("dead", i), F.lit(True)))
-        held = F.when(F.col("dead").isNull(), held).otherwise(F.size(F.array_except("ords", "dead")))
-    lengths = counted.select(F.explode(lengths).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+        gone = _bitmaps(dead)
+    totals = _totals(listed, None if dead is None else dead.select("batch", "shard", F.col("ords").alias("dead"))).first()
     mean = average_length or totals.mean or 1.0
     kind = queries.schema["query_id"].dataType.simpleString()
     # shards are heavy rows: adaptive execution would put a few of them into one task
@@ -329,6 +390,7 @@ def search_blocks(blocks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2
         if "bucket" in blocks.columns:  # folders of the index, BUCKETS at most
             wanted = wanted.filter(F.col("bucket").isin([r[0] for r in terms.select(bucket_of("term")).distinct().collect()]))
         counted = wanted if dead is None else wanted.join(gone, ["batch", "shard"], "left")
+        held = F.size("ords") if dead is None else _alive("ords", "bits")
         counted = counted.groupBy("term").agg(F.sum(held).alias("df")).filter("df > 0")
         df = dict(counted.toPandas().itertuples(index=False, name=None))  # a row a term of the pass
         own = [(r.query_id, [t for t in r.terms if t in df]) for r in block.collect()]

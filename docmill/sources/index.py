@@ -189,8 +189,7 @@ class KeywordIndex:
         return self._write(empty.unionByName(listed, allowMissingColumns=True).withColumn("deleted", F.lit(True)))
 
     def _write(self, rows: DataFrame) -> int:
-        placed = rows.withColumn("bucket", postings.bucket_of("term"))
-        return self.table.write(placed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard"))
+        return self.table.write(postings.by_folder(rows))
 
     def dead(self, rows: DataFrame) -> DataFrame:
         """(batch, shard, ords) of entries that a later entry or a deletion of their item replaces."""
@@ -212,8 +211,7 @@ class KeywordIndex:
     def compact(self, chunks: DataFrame) -> int:
         """Rebuild the index of ``chunks``, all chunks as they are now, and drop former batches."""
         rows = postings.posting_blocks(chunks, self.item, self.text).withColumn("deleted", F.lit(False))
-        placed = rows.withColumn("bucket", postings.bucket_of("term"))
-        return self.table.compact(placed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard"))
+        return self.table.compact(postings.by_folder(rows))
 
 
 def source_key(config: dict[str, object], text: str = "text"):

@@ -187,3 +187,49 @@ def test_words_are_objects_of_a_few_texts_at_a_time(monkeypatch):
             words = [] if t is None else [w.decode() for w in whole(t)]
             assert r["size"] == (None if t is None else len(words))
             assert r["words"] == [w for w in words if wanted is None or w in wanted]
+
+
+def test_odd_characters_one_by_one_and_all_at_once(monkeypatch):
+    texts = ["Bảo hiểm Đặc biệt", "½ ﬁne ﬄ Ⅷ x²", "\u0130\u212a\ufb01 a\u0301", "".join(map(chr, range(0x80, 0x250))), "日本 b 한글"]
+    got = [P.words_of(t) for t in texts]
+    for most in (0, 10_000):
+        monkeypatch.setattr(P, "MOST_ODD", most)
+        assert [P.words_of(t) for t in texts] == got
+
+
+def test_an_index_is_written_without_a_sample_of_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_DOCS", 8)
+    blocks = P.posting_blocks(frame(spark, made(60, 6))).withColumn("deleted", F.lit(False))
+    placed = P.by_folder(blocks)
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString().lower()
+    rows = placed.select("bucket", "term", "shard", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == blocks.count() and {r.bucket for r in rows if r.term is None} == {-1}
+    terms = {}
+    for r in rows:
+        if r.term is not None:
+            terms.setdefault(r.term, set()).add(r.task)
+    assert all(len(t) == 1 for t in terms.values()) and len({t for x in terms.values() for t in x}) > 1
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.task, []).append((r.bucket, r.term or "", r.shard))
+    assert all(t == sorted(t) for t in tasks.values())
+
+
+@pytest.mark.parametrize("shipped", [0, 1 << 14])
+def test_dead_documents_are_counted_by_shard(spark, asked, tmp_path, monkeypatch, shipped):
+    monkeypatch.setattr(P, "SHIPPED_SHARDS", shipped)
+    docs = made(300, 7) | {1000: None, 1001: "", 1002: None}
+    index = KeywordIndex(spark, str(tmp_path / "keywords"))
+    index.upsert(frame(spark, docs).coalesce(1))  # one shard
+    changed = {i: ("bonus" if i % 2 else None) for i in [*range(0, 300, 4), 130, 131, 1000, 1001]}
+    index.upsert(frame(spark, changed))
+    docs |= changed
+    gone = [5, 64, 63, 128, 299, 1002, 1000]
+    index.delete(spark.createDataFrame([(i,) for i in gone], "chunk_id int"))
+    docs = {i: t for i, t in docs.items() if i not in gone}
+    assert found(index.search(asked, 9)) == plain_bm25(docs, QUERIES, 9)
+    rows = index.table.read()
+    dead = index.dead(rows)
+    totals = P._totals(rows.filter("NOT deleted AND term IS NULL"), dead.withColumnRenamed("ords", "dead")).first()
+    sized = [len(t.split()) for t in docs.values() if t is not None]
+    assert totals.n == len(docs) and abs(totals.mean - sum(sized) / len(sized)) < 1e-12

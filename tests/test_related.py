@@ -78,3 +78,14 @@ def test_only_pairs_that_may_arrive_are_counted_in_full(monkeypatch, threshold,
                 want.add((i, j, round(common / union, 6)))
     assert {(r["sid"], r["place"], round(r["overlap"], 6)) for r in found} == want
     assert sum(full) <= 3 * len(want) + 900  # the former code made a dense pass over all 810,000 pairs
+
+
+def test_quotes_and_tokens_are_cut_once(spark):
+    """Each condition on a quote stripped its line again, and each use of its tokens cut it again."""
+    docs = spark.createDataFrame([("p", "p/1.md", "| the " + "x" * 90 + "\n" + " the " + "policy " * 20 + " \nthe short\n" + "the " * 30)], "provider string, source_path string, text string")
+    lines = bm.candidate_lines(docs, "the", "ist")
+    sets = bm._token_sets(lines)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("+$") == 1 and plan.count("{L}") == 1
+    assert [(r.line_start, r.quote) for r in lines.orderBy("line_start").collect()] == [(2, "the " + ("policy " * 20).strip()), (4, ("the " * 30).strip())]
+    assert [(r.id, r.path, r.tokens) for r in sets.collect()] == [("p/1.md#000002", "p/1.md", ["policy"])]
